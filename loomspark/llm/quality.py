@@ -78,9 +78,9 @@ class QualityRules:
     min_words: int = 20
     max_repeat_percent: int = 30
     min_chars_for_classes: int = 200
-    min_words_for_common: int = 60
-    max_class_distance: float = 0.25
-    max_common_distance: float = 0.45
+    min_words_for_common: int = 100
+    max_class_distance: float = 0.32
+    max_common_distance: float = 0.31
     min_reference_docs: int = 30
     window: int = 8
     words: dict = field(default_factory=lambda: COMMON_WORDS)
