@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,17 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
-
-    A folder of our own is set only where the session names none, which is the case in tests.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share, as ``spark.checkpoint.dir`` names it; one of our own only where that is unset, as in tests."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ls-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; Spark's cleaner removes it in the end."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage is cut, later scans prune columns."""
+    path = f"{shared_folder(df.sparkSession)}/ls-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A side of a join is broadcast only if it has been counted and holds at most so many narrow rows.
+BROADCAST_ROWS = 400_000
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a saved table for broadcast if it is small, by its count; else leave the choice, and the shuffle, to Spark."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def map_rows(
     df: DataFrame,
     inputs: list[str],

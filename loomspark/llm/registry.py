@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, personal, quality, sentencepieces
+from . import media, near, packing, personal, quality, sentencepieces
 from .common import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,17 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(table(spark, sf_dir, "documents"), keep=["doc_id"], with_media=False)
 
 
+def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_packing": op3_packing,
     "op5_pii": op5_pii,
     "op6_media": op6_media,
+    "op9_near": op9_near,
 }
 
 ORACLE_SQL: dict[str, str] = {}
