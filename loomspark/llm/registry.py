@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, near, packing, personal, quality, sentencepieces
+from . import media, near, packing, personal, quality, sentencepieces, substrings
 from .common import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(checkpointed(packing.pieces(table(spark, sf_dir, "documents"))))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(personal.detect(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_packing": op3_packing,
+    "op4_substrings": op4_substrings,
     "op5_pii": op5_pii,
     "op6_media": op6_media,
     "op9_near": op9_near,
