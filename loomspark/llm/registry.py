@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, near, packing, personal, quality, sentencepieces, substrings
+from . import lines, media, near, packing, personal, quality, sentencepieces, substrings
 from .common import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_sentencepiece": op2_sentencepiece,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op5_pii": op5_pii,
     "op6_media": op6_media,
     "op9_near": op9_near,
+    "op10_lines": op10_lines,
 }
 
 ORACLE_SQL: dict[str, str] = {}
