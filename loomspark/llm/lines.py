@@ -199,7 +199,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Li
     close = slim.join(few(near), ["h", "g"], "left_semi").select("d", "t", "n", F.lit(1).alias("near"))
     gone = copies.union(close).groupBy("d", "t", "n").agg(F.max("near").alias("near"), F.min("near").alias("exact"))
     words = gone.groupBy("d", "t", F.floor(F.col("n") / 64).cast("int").alias("w")).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("n") % 64)).alias("bits"), F.sum(F.when(F.col("exact") == 0, 1).otherwise(0)).alias("e"), F.count("*").alias("c")
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n") % 64)).alias("bits"), F.sum(F.when(F.col("exact") == 0, 1).otherwise(0)).alias("e"), F.count("*").alias("c")
     )
     by_doc = words.groupBy(F.col("d").alias(f"{P}e"), F.col("t").alias(f"{P}u")).agg(
         F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias(f"{P}b"), F.sum("e").alias(f"{P}x"), F.sum("c").alias(f"{P}c"), F.max("w").alias(f"{P}w")
@@ -210,7 +210,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Li
     # A dense array of words, so that asking for a line takes constant time.
     dense = F.transform(F.sequence(F.lit(0), F.col(f"{P}w")), lambda k: F.coalesce(F.element_at(f"{P}b", k), F.lit(0).cast("long")))
     lines = F.split(F.col(text), "\n")
-    rest = _let(dense, lambda m: F.filter(lines, lambda x, i: F.coalesce(F.get(m, F.floor(i / 64).cast("int")), F.lit(0).cast("long")).bitwiseAND(F.shiftleft(F.lit(1).cast("long"), i % 64)) == 0))
+    rest = _let(dense, lambda m: F.filter(lines, lambda x, i: F.coalesce(F.get(m, F.floor(i / 64).cast("int")), F.lit(0).cast("long")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))) == 0))
     new = F.when(F.col(f"{P}w").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
     extra = {
         "n_lines": F.coalesce(F.size(F.filter(lines, lambda x: F.char_length(x) >= rules.min_chars)), F.lit(0)).cast("long"),
