@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, media, near, packing, personal, quality, sentencepieces, substrings
+from . import chats, lines, media, near, packing, personal, quality, sentencepieces, substrings, urls
 from .common import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,14 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(table(spark, sf_dir, "documents"), keep=["doc_id"], with_media=False)
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.link(table(spark, sf_dir, "conversations"))
+
+
 def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,8 +60,10 @@ QUERIES: dict[str, Query] = {
     "op4_substrings": op4_substrings,
     "op5_pii": op5_pii,
     "op6_media": op6_media,
+    "op7_urls": op7_urls,
+    "op8_chats": op8_chats,
     "op9_near": op9_near,
     "op10_lines": op10_lines,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_urls": urls.oracle_sql(), "op8_chats": chats.ORACLE_SQL}
