@@ -1,6 +1,8 @@
-"""Queries by name and the SQL they are compared with."""
+"""All queries of the engine by name, and the SQL they are compared with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import text_queries  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
