@@ -272,9 +272,10 @@ def required_negatives(message: str | Column, lex: Lexicon = _ZH) -> Column:
 def bigrams(c: str | Column, keep: str = r"[^\p{IsHan}]") -> Column:
     """TXT-38: distinct pairs of neighbouring characters, after all but the kept ones are dropped."""
     t = F.regexp_replace(col(c), keep, "")
-    return F.when(F.char_length(t) < 2, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))
+    pairs = lambda x: F.when(F.size(x) < 2, F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.zip_with(F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: F.concat(a, b)))
     )
+    return F.transform(F.array(F.split(t, "")), pairs)[0]
 
 
 def quoted_line(c: str | Column) -> Column:
