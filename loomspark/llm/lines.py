@@ -30,7 +30,8 @@ class LineRules:
 def occurrences(docs: DataFrame, doc_id: str, text: str, rules: LineRules) -> DataFrame:
     """A row for each line that is long enough: document key, line number and line, with 128 bits of hashes."""
     lines = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    return lines.where(F.char_length("line") >= rules.min_chars).select("d", "t", "n", "line", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
+    sized = lines.select("d", "t", "n", "line", F.char_length("line").alias("size")).where(F.col("size") >= rules.min_chars)
+    return sized.select("d", "t", "n", "line", "size", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
 
 
 #: Characters whose counts make the sketch; lines of other scripts have equal lanes, which costs time but loses nothing.
@@ -41,7 +42,7 @@ def sketch(line: str) -> Column:
     """Counts, modulo 32, of twelve characters in lanes of five bits. One edit changes two lanes at most."""
     word = F.lit(0).cast("long")
     for k, c in enumerate(SKETCH):
-        count = F.char_length(line) - F.char_length(F.replace(F.col(line), F.lit(c), F.lit("")))
+        count = F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(c), F.lit("")))
         word = word.bitwiseOR(F.shiftleft((count % 32).cast("long"), 5 * k))
     return word
 
@@ -68,29 +69,31 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return F.lit(i) * size + F.greatest(F.lit(0), F.lit(i) - (F.lit(k) - longer)).cast("int"), size + F.when(F.lit(i) >= F.lit(k) - longer, 1).otherwise(0)
 
 
-def index_keys(line: str, tau: int) -> Column:
-    n = F.char_length(line)
+def index_keys(line: str, size: str, tau: int) -> list[Column]:
+    """Keys of a line's own segments."""
+    n = F.col(size)
     parts = []
     for i in range(tau + 1):
-        start, size = _segment(n, i, tau + 1)
-        parts.append(F.xxhash64(n, F.lit(i), F.substring(F.col(line), start + 1, size)))
-    return F.array(*parts)
+        start, width = _segment(n, i, tau + 1)
+        parts.append(F.xxhash64(n, F.lit(i), F.substring(F.col(line), start + 1, width)))
+    return parts
 
 
-def probe_keys(line: str, tau: int) -> Column:
+def probe_keys(line: str, size: str, tau: int) -> list[Column]:
     """Keys of the substrings that can match segment ``i`` of a line ``delta`` shorter: the edits before a segment and
-    those after it bound how far it may have moved, from either end."""
-    n = F.char_length(line)
+    those after it bound how far it may have moved, from either end. A line's own segments, which lines of its own
+    length may hold, are left out; a substring that does not fit is null."""
+    n = F.col(size)
     parts = []
     for delta in range(tau + 1):
         short = n - delta
         for i in range(tau + 1):
-            start, size = _segment(short, i, tau + 1)
+            start, width = _segment(short, i, tau + 1)
             for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
-                at = start + shift
-                ok = (at >= 0) & (at + size <= n)
-                parts.append(F.when(ok, F.xxhash64(short, F.lit(i), F.substring(F.col(line), at + 1, size))))
-    return F.array_compact(F.array(*parts))
+                if (delta, shift) != (0, 0):
+                    at = start + shift
+                    parts.append(F.when((at >= 0) & (at + width <= n), F.xxhash64(short, F.lit(i), F.substring(F.col(line), at + 1, width))))
+    return parts
 
 
 def _let(value: Column, use) -> Column:
@@ -152,15 +155,22 @@ def within(a: str, b: str, tau: int) -> Column:
     return (F.abs(F.char_length(a) - F.char_length(b)) <= tau) & _let(F.split(a, ""), distance)
 
 
-def near_pairs(lines: DataFrame, rules: LineRules) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of line hashes, from distinct lines ``(h, g, line)``. Only numbers are shuffled."""
+def keyed(occ: DataFrame, tau: int) -> DataFrame:
+    """Occurrences as numbers only: place, hashes, sketch, own segments' keys ``i0..`` and other probes ``p0..``."""
+    own = [c.alias(f"i{k}") for k, c in enumerate(index_keys("line", "size", tau))]
+    other = [c.alias(f"p{k}") for k, c in enumerate(probe_keys("line", "size", tau))]
+    return occ.select("d", "t", "n", "h", "g", sketch("line").alias("w"), *own, *other)
+
+
+def near_pairs(rows: DataFrame, rules: LineRules) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of line hashes, from :func:`keyed` rows."""
     tau = rules.threshold
-    made = lines.select("h", "g", sketch("line").alias("w"), index_keys("line", tau).alias("own"), probe_keys("line", tau).alias("other"))
-    # One row per line; the keys are flattened, so that the aggregation combines before the shuffle.
-    n_own, n_other = tau + 1, sum(min(i, d + (tau - i)) - max(-i, d - (tau - i)) + 1 for d in range(tau + 1) for i in range(tau + 1))
-    flat = made.select("h", "g", "w", *[F.get("own", F.lit(k)).alias(f"i{k}") for k in range(n_own)], *[F.get("other", F.lit(k)).alias(f"p{k}") for k in range(n_other)]).dropDuplicates(["h", "g"])
-    index = flat.select("h", "w", F.explode(F.array(*[f"i{k}" for k in range(n_own)])).alias("key"))
-    probe = flat.select("h", "w", F.explode(F.array_compact(F.array(*[f"p{k}" for k in range(n_other)]))).alias("key"))
+    keys = [c for c in rows.columns if c[0] in "ip" and c[1:].isdigit()]
+    own = [c for c in keys if c[0] == "i"]
+    # One row per distinct line; numbers only, so the aggregation combines before the shuffle.
+    flat = rows.select("h", "g", "w", *keys).dropDuplicates(["h", "g"])
+    index = flat.select("h", "w", F.explode(F.array(*own)).alias("key"))
+    probe = flat.select("h", "w", F.explode(F.array_compact(F.array(*keys))).alias("key"))
     hot = saved(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > rules.hot).select("key", F.lit(True).alias("hot")))
     hot = few(hot)
 
@@ -185,16 +195,17 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Li
     source = docs.select(F.col(doc_id).alias("d0"), F.col(text).alias("x"))
     occ = occurrences(source, "d0", "x", rules)
     place = F.struct("d", "t", "n")
-    pairs = saved(near_pairs(occ.select("h", "g", "line"), rules))
+    rows = saved(keyed(occ, rules.threshold))
+    pairs = saved(near_pairs(rows, rules))
     ids = saved(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     texts = saved(occ.join(few(ids), "h", "left_semi").groupBy("h", "g", "line").agg(F.min(place).alias("first")))
     side = lambda s: texts.select(F.col("h").alias(s), F.struct("h", "g", "line", "first").alias(f"{s}x"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where("ax.line <> bx.line")
     near = both.where(within("ax.line", "bx.line", rules.threshold))
     near = saved(near.select(F.explode(F.when(F.col("ax.first") < F.col("bx.first"), F.array("bx")).otherwise(F.array("ax"))).alias("x")).select("x.h", "x.g").distinct())
-    again = occ.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "g", "first")
+    slim = rows.select("d", "t", "n", "h", "g")
+    again = slim.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "g", "first")
     again = saved(again)
-    slim = occ.select("d", "t", "n", "h", "g")
     copies = slim.join(few(again), ["h", "g"]).where(~place.eqNullSafe(F.col("first"))).select("d", "t", "n", F.lit(0).alias("near"))
     close = slim.join(few(near), ["h", "g"], "left_semi").select("d", "t", "n", F.lit(1).alias("near"))
     gone = copies.union(close).groupBy("d", "t", "n").agg(F.max("near").alias("near"), F.min("near").alias("exact"))
