@@ -173,26 +173,34 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, round
     return chosen
 
 
-def solve(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+def solve(histogram: dict[int, int], capacity: int, shares: tuple[float, ...] = (1.0, 0.97, 0.9, 0.8, 0.6, 0.4, 0.2)) -> list[tuple[list[tuple[int, int]], int]]:
     """Sequences by configuration: ``[([(length, copies), ...], number of sequences), ...]`` that use every piece.
 
-    Fractional numbers are rounded down to whole sequences, as long as pieces last; configurations that leave room
-    are left out. What remains is packed best fit, longest first.
+    A share of each fractional number is rounded down to whole sequences, as long as pieces last; configurations that
+    leave room are left out. What remains is packed best fit, longest first. Of the given shares the one that needs
+    the fewest sequences is taken: the more is left to the last step, the more kinds of pieces it can choose from.
     """
-    left = {int(k): int(v) for k, v in histogram.items() if v > 0}
-    if not left:
+    start = {int(k): int(v) for k, v in histogram.items() if v > 0}
+    if not start:
         return []
-    lengths = np.array(sorted(left, reverse=True))
-    counts = np.array([left[k] for k in lengths.tolist()], dtype=np.int64)
-    plan: list[tuple[list[tuple[int, int]], int]] = []
-    for config, x in sorted(configurations(lengths, counts, capacity).items(), key=lambda m: (-m[1], m[0])):
-        content = [(int(lengths[k]), n) for k, n in config]
-        number = min(int(x), *(left[size] // n for size, n in content))
-        if number > 0 and sum(size * n for size, n in content) == capacity:
-            plan.append((content, number))
-            for size, n in content:
-                left[size] -= n * number
-    return plan + best_fit({k: v for k, v in left.items() if v}, capacity)
+    lengths = np.array(sorted(start, reverse=True))
+    counts = np.array([start[k] for k in lengths.tolist()], dtype=np.int64)
+    mix = sorted(configurations(lengths, counts, capacity).items(), key=lambda m: (-m[1], m[0]))
+    full = [([(int(lengths[k]), n) for k, n in config], x) for config, x in mix if sum(int(lengths[k]) * n for k, n in config) == capacity]
+    best: list[tuple[list[tuple[int, int]], int]] = []
+    for share in shares:
+        left = dict(start)
+        plan = []
+        for content, x in full:
+            number = min(int(x * share), *(left[size] // n for size, n in content))
+            if number > 0:
+                plan.append((content, number))
+                for size, n in content:
+                    left[size] -= n * number
+        plan += best_fit({k: v for k, v in left.items() if v}, capacity)
+        if not best or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+    return best
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
