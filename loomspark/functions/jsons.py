@@ -16,7 +16,8 @@ from .text import col, strip
 
 def clamp_label(c: str | Column) -> Column:
     """JSN-08: a number cut to 0, 1 or 2; anything else is 0."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(2), col(c).try_cast("double").cast("int"))), F.lit(0))
+    n = F.coalesce(col(c).try_cast("double").cast("int"), F.lit(0))  # least and greatest pass over nulls
+    return F.greatest(F.lit(0), F.least(F.lit(2), n))
 
 
 def coerce_bool(c: str | Column, extra: tuple[str, ...] = ()) -> Column:

@@ -116,12 +116,13 @@ def pool_books(sections: DataFrame, book: str, kind: str, vector: str = "embeddi
         counts = sections.groupBy(book, kind).agg(F.count("*").alias("__n"))
         rows = rows.join(counts, [book, kind]).withColumn("__w", F.col("__w") / F.col("__n"))
     v = array_to_vector(F.transform(vector, lambda x: x.cast("double")))
-    pooled = rows.withColumn("__v", v).groupBy(book).agg(
-        Summarizer.metrics("mean").summary(F.col("__v"), F.col("__w"))["mean"].alias("weighted"), Summarizer.metrics("mean").summary(F.col("__v"))["mean"].alias("plain"), F.sum("__w").alias("__t")
-    )
-    mean = F.when(F.col("__t") > 0, vector_to_array("weighted")).otherwise(vector_to_array("plain"))
-    unit = pooled.select(book, mean.alias("m"), F.sqrt(F.aggregate(mean, F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
-    return unit.select(book, F.transform("m", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(x)).alias(vector))
+    mean = lambda d, *w: d.groupBy(book).agg(vector_to_array(Summarizer.metrics("mean").summary(F.col("__v"), *w)["mean"]).alias("m"))
+    rows = rows.withColumn("__v", v)
+    weighted = mean(rows.where(F.col("__w") > 0), F.col("__w"))
+    # Only books whose sections all weigh nothing are averaged plainly.
+    pooled = weighted.unionByName(mean(rows.join(weighted.select(book), book, "left_anti"))) if weights else weighted
+    pooled = pooled.withColumn("norm", F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x)))
+    return pooled.select(book, F.transform("m", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(x)).alias(vector))
 
 
 def all_or_nothing(keys: DataFrame, vectors: DataFrame, book: str, on: list[str]) -> DataFrame:
