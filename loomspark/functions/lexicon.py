@@ -122,6 +122,6 @@ LATIN = Lexicon(
     boilerplate_inner=r"(?i)all rights reserved",
     ruler=r"^[ ]*[=*_-]{8,}[ ]*$",
     edge_lines=3,
-    blurb_marker=r"(?m)^[ ]*(?:The|Die|Le|La)\b[ ]*",
+    blurb_marker=r"(?m)^[ ]*(?:The|Die|Le|La) +",
     finished="in\\.$|en\\.$",
 )

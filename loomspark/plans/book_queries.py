@@ -220,3 +220,112 @@ def filled_sheet(spark, sf):
     """SRC-36."""
     lab = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("item_id")).agg(F.max("quality").alias("quality"))
     return table(spark, sf, "benchmark").join(lab, "item_id", "left").select("item_id", "quality", "text")
+
+
+@query(f"""WITH b AS (SELECT doc_id, text, regexp_extract(substr(text, 1, 6000), '(?s)(?:(?m)^[ ]*(?:The|Die|Le|La) +)(.*)$', 1) AS x FROM documents),
+c AS (SELECT doc_id, text, regexp_replace(regexp_replace(x, '(?m)\\n{L.chapter_heading}[\\s\\S]*\\z', ''), '^\\s+|\\s+$', '', 'g') AS x FROM b)
+SELECT doc_id, CASE WHEN length(x) <= 100 THEN x WHEN length(regexp_extract(substr(x, 1, 100), '(?s)^(.*[.!?])', 1)) >= 52 THEN regexp_extract(substr(x, 1, 100), '(?s)^(.*[.!?])', 1) ELSE substr(x, 1, 100) END AS blurb,
+  CASE WHEN contains(text, 'the') THEN substr(regexp_replace(regexp_extract(text, '(?s)the[:：]?\\s*(.*)$', 1), '^\\s+|\\s+$', '', 'g'), 1, 80) ELSE substr(text, 1, 80) END AS preview FROM c""")
+def blurbs(spark, sf):
+    """TXT-17, TXT-28."""
+    from ..functions import text as X
+
+    return docs(spark, sf).select("doc_id", X.blurb("text", 100, 6000, L).alias("blurb"), X.synopsis_preview("text", 80, "the").alias("preview"))
+
+
+@query("""WITH t AS (SELECT p_partkey, string_split(p_name, ' ') AS w, lower(p_type) AS t FROM part) SELECT p_partkey, len([x FOR x IN w IF contains(x, substr(t, 1, 2)) OR contains(substr(t, 1, 2), x)]) > 0 AS covered FROM t""")
+def covered_terms(spark, sf):
+    """FLT-23, FLT-24."""
+    from ..operators import supply as P
+
+    return table(spark, sf, "part").select("p_partkey", P.covers(F.split("p_name", " "), F.substring(F.lower("p_type"), 1, 2)).alias("covered"))
+
+
+@query("SELECT doc_id, string_split(text, chr(10))[1] AS first, len([x FOR x IN string_split(text, chr(10)) IF trim(x) <> ''])::BIGINT AS n FROM documents")
+def sampled_titles(spark, sf):
+    """ARR-15, ARR-16: the titles section split back."""
+    from ..functions import text as X
+
+    s = docs(spark, sf).select("doc_id", F.split("text", "\n")[0].alias("first"), F.array(F.struct(F.lit("titles").alias("kind"), F.col("text").alias("text"))).alias("sections"))
+    return s.select("doc_id", "first", F.size(D.sampled_titles("sections")).cast("long").alias("n"))
+
+
+_PROFILE = "'MARK-A one' || chr(10) || substr(text, 1, 30) || chr(10) || 'MARK-B' || chr(10) || lang"
+
+
+@query("SELECT doc_id, 0 AS ordinal, 'blurb' AS kind, md5('one' || chr(10) || trim(regexp_replace(substr(text, 1, 30), '\\s+', ' ', 'g'))) AS text FROM documents UNION ALL SELECT doc_id, 1, 'opening', md5(lang) FROM documents")
+def split_profiles(spark, sf):
+    """ARR-06."""
+    flat = F.trim(F.regexp_replace(F.substring("text", 1, 30), r"\s+", " "))
+    d = docs(spark, sf).select("doc_id", F.concat(F.lit("MARK-A one\n"), flat, F.lit("\nMARK-B\n"), "lang").alias("p"))
+    rows = D.over_texts(d, ["doc_id"], "p", lambda k, t: [(i, *s) for i, s in enumerate(D.split_profile(t, {"MARK-A": "blurb", "MARK-B": "opening"}))], "ordinal int, kind string, text string")
+    return rows.select("doc_id", "ordinal", "kind", F.md5("text").alias("text"))
+
+
+@query("SELECT c.c_custkey AS task_id, o_orderkey AS session, 'p' || (row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1) AS positive FROM customer c JOIN orders ON o_custkey = c_custkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) <= 3")
+def session_positives(spark, sf):
+    """JON-07: the n-th order of a customer goes with the n-th positive."""
+    from ..operators import trajectories as R
+
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("task_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    tasks = o.select("task_id", "keys", F.transform("keys", lambda k: F.lit("request")).alias("sessions"), F.array(F.lit("p0"), F.lit("p1"), F.lit("p2")).alias("positives"))
+    pairs = R.session_positives(tasks).join(tasks.select("task_id", "keys"), "task_id")
+    return pairs.select("task_id", F.get("keys", F.col("session")).alias("session"), "positive")
+
+
+@query("SELECT item_id || '~' || row_number() OVER (PARTITION BY item_id ORDER BY conv_id, turn) AS query_id, md5(c.text) AS query FROM conversations c JOIN benchmark ON item_id = conv_id % 60 WHERE role = 'user' AND trim(c.text) <> ''")
+def rewritten_queries(spark, sf):
+    """JON-04."""
+    from ..operators import trajectories as R
+
+    c = table(spark, sf, "conversations").where("role = 'user'")
+    rw = c.select((F.col("conv_id") % 60).cast("string").alias("task_id"), F.struct("conv_id", "turn").alias("ordinal"), F.col("text").alias("query"), F.lit(None).cast("string").alias("variant"))
+    return R.rewritten_queries(rw, table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("task_id"))).select("query_id", F.md5("query").alias("query"))
+
+
+@query("SELECT l_orderkey AS task_id FROM (SELECT l_orderkey, CASE WHEN p_size >= 40 THEN true WHEN p_size <= 10 THEN false END AS v FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1 HAVING bool_or(v) AND bool_or(NOT v)")
+def precheck_pool(spark, sf):
+    """GEN-06."""
+    from ..operators import trajectories as R
+
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("novel_id"), F.when(F.col("p_size") >= 40, True).when(F.col("p_size") <= 10, False).alias("violation"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_partkey").alias("novel_id"), F.lit(1).alias("rank"))
+    return R.precheck(li, p)
+
+
+@query("SELECT p_partkey::VARCHAR AS query_id, p_name AS query, array_to_string(string_split(p_name, ' '), ' ') AS positives FROM part")
+def task_queries(spark, sf):
+    """EVL-15, EVL-16."""
+    from ..operators import trajectories as R
+
+    p = table(spark, sf, "part")
+    q = R.task_queries(p.select(F.col("p_partkey").cast("string").alias("task_id"), F.split("p_name", " ").alias("positives")))
+    old = R.legacy_queries(p.select(F.col("p_partkey").cast("string").alias("query_id"), F.col("p_name").alias("query"), F.split("p_name", " ").alias("positives")), L)
+    return q.join(old.select("query_id", F.array_join("positives", " ").alias("positives")), "query_id")
+
+
+@query("""SELECT p_partkey AS novel_id, to_json(string_split(p_name, ' '))::VARCHAR AS elements, p_type AS genre, substr(d.text, 1, 60) AS opening FROM part LEFT JOIN documents d ON d.doc_id = p_partkey""")
+def profiles(spark, sf):
+    """SRC-23, JSN-17, TOOL-04: cards with JSON fields beside the openings of their books."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("novel_id"), F.to_json(F.split("p_name", " ")).alias("elements"), F.col("p_type").alias("genre"))
+    return p.join(docs(spark, sf).select(F.col("doc_id").alias("novel_id"), F.substring("text", 1, 60).alias("opening")), "novel_id", "left")
+
+
+@query("SELECT unnest([0, 1, 2, 3]) AS idx UNION SELECT round_even(4 + 90 * k / 6.0, 0)::INTEGER FROM range(1, 7) t(k)")
+def profile_indices(spark, sf):
+    """ARR-12: places of the ten chapters sampled from a hundred."""
+    return spark.createDataFrame([(i,) for i in D.profile_indices(100)], "idx int")
+
+
+@query()
+def trajectories(spark, sf):
+    """JON-05, JON-06, EVL-01, EVL-03, EVL-07 to EVL-10, SET-05 to SET-10: conversations as trajectories, scored by task."""
+    from ..operators import trajectories as R
+
+    c = table(spark, sf, "conversations")
+    hits = F.to_json(F.array(F.struct(F.concat(F.lit("b"), (F.col("conv_id") % 30).cast("string")).alias("novel_id"), F.lit("t").alias("title"))))
+    obs = F.array(F.struct(F.lit("search_books").alias("tool"), F.create_map(F.lit("query"), F.substring("text", 1, 20)).alias("arguments"), hits.alias("result"), F.lit(None).cast("string").alias("error")))
+    rec = F.array(F.struct(F.concat(F.lit("b"), ((F.col("conv_id") + F.col("turn")) % 30).cast("string")).alias("novel_id"), F.lit("t").alias("title")))
+    tr = c.where("role = 'user'").select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").cast("int").alias("session"), F.array(F.struct(obs.alias("observations"))).alias("steps"), rec.alias("recommendations"), F.col("text").alias("final_answer"))
+    v = spark.range(30).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("novel_id"), F.when(F.col("id") < 5, True).when(F.col("id") < 20, False).alias("violation"))
+    return R.score_tasks(R.score_sessions(tr, v)).select("task_id", "passed", F.array_join("labels", ",").alias("labels"))
