@@ -2,9 +2,9 @@
 
 Exact copies of a shingle set are one node. Nodes meet in bands of their minima; the estimate from packed b-bit
 signatures, corrected for chance collisions, drops far pairs; what stays is confirmed on the full sets. A bucket never
-emits all its pairs. First, members are compared with the least member of each of their buckets. Then, in buckets
-that still hold several components, the members outside the largest component are compared with all others, block by
-block, within the join's condition, so only near pairs leave it.
+emits all its pairs. First, members are compared with the least member of each of their buckets. Then the other members
+of a bucket that holds part of a large component are compared with that component within a join's condition, on full
+sets and block by block. At last, members of small components that still differ meet in their buckets, by signature.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ class NearRules:
     rows: int = 4
     bits: int = 2
     margin: float = 0.23
+    large: int = 64
     block: int = 256
     seed: int = 17
 
@@ -109,8 +110,8 @@ def estimate(a: str | Column, b: str | Column, rules: NearRules) -> Column:
     return ((1 - unequal / F.lit(float(k))) - chance) / (1 - chance)
 
 
-def described(docs: DataFrame, doc_id: str, text: str, rules: NearRules) -> DataFrame:
-    """One row per document: its id, the size and 128-bit name of its set, band keys and signature."""
+def described(docs: DataFrame, keep: list[str], text: str, rules: NearRules) -> DataFrame:
+    """One row per document: the kept columns, the size and 128-bit name of its set, band keys and signature."""
 
     def fn(columns):
         for t in columns[0]:
@@ -122,31 +123,40 @@ def described(docs: DataFrame, doc_id: str, text: str, rules: NearRules) -> Data
             keys, packed = signature(s, rules)
             yield len(s), int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), keys, packed
 
-    return map_rows(docs, [text], fn, "n_shingles long, s1 long, s2 long, keys array<long>, sig array<long>", keep=[doc_id])
+    return map_rows(docs, [text], fn, "n_shingles long, s1 long, s2 long, keys array<long>, sig array<long>", keep=keep)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, rules: NearRules) -> DataFrame:
-    """Those pairs ``(a, b)`` whose full shingle sets are similar enough; texts are read again for the ids in pairs only."""
-    ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(few(ids), "id", "left_semi")
+def sets_of(ids: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
+    """``(id, set)`` for the documents named in ``ids``; only their texts are read again."""
+    own = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(few(saved(ids.distinct())), "id", "left_semi")
     found = map_rows(own, ["t"], lambda c: ((s.view(np.int64).tolist(),) for s in (shingles(t, rules.width) for t in c[0])), "set array<long>", keep=["id"])
-    sets = saved(found.where(F.size("set") > 0))
-    left = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a")
-    both = left.join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
-    n = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * n >= rules.percent * (F.size("sa") + F.size("sb") - n)).select("a", "b").distinct()
+    return saved(found.where(F.size("set") > 0))
+
+
+def similar(a: str, b: str, rules: NearRules) -> Column:
+    """The link itself, on full sets."""
+    n = F.size(F.array_intersect(a, b))
+    return 100 * n >= rules.percent * (F.size(a) + F.size(b) - n)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
+    """Those pairs ``(a, b)`` whose full shingle sets are similar enough."""
+    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, rules)
+    both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
+    return both.where(similar("sa", "sb", rules)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: NearRules | None = None) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, a row per input row.
+    """``(doc_id, n_shingles, component_id, kept)``, a row per input row, and ``text_hash`` to find the row by.
 
-    Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id are versions of one
-    document: a link of either holds for both. A row without an id is linked with nothing, has no component and is
-    kept. Ties do not matter, as components and the least id are unique. Extra columns are not read.
+    Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id are judged each by its own
+    text; where their sets are nodes of the graph under that id, a link of either holds for both. Equal rows get equal
+    results. A row without an id is linked with nothing, has no component and is kept. Ties do not matter, as components
+    and their least ids are unique. Extra columns are not read.
     """
     rules = rules or NearRules()
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    base = saved(described(docs, "doc_id", "text", rules))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    base = saved(described(docs, ["doc_id", "text_hash"], "text", rules))
     known = base.where("doc_id is not null and s1 is not null")
     classes = saved(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
     # A node's row is found by its id, which no group of copies makes hot.
@@ -154,38 +164,61 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         known.join(classes.withColumnsRenamed({"s1": "c1", "s2": "c2"}), (F.col("doc_id") == F.col("node")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")))
         .select("node", "keys", "sig", "s1", "s2").dropDuplicates(["node", "s1", "s2"])
     )
-    bands = nodes.select("node", F.explode("keys").alias("key"))
     least = rules.percent / 100 - rules.margin
     sig = nodes.select("node", "sig")
 
+    def close(pairs: DataFrame) -> DataFrame:
+        given = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "ga"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "gb"}), "b")
+        return saved(given.where(estimate("ga", "gb", rules) >= least).select("a", "b").distinct())
+
     # Members against the least member of each of their buckets.
+    bands = nodes.select("node", F.explode("keys").alias("key"))
     centres = bands.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = bands.join(centres, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    star = star.join(sig.withColumnsRenamed({"node": "a", "sig": "ga"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "gb"}), "b")
-    star = saved(star.where(estimate("ga", "gb", rules) >= least).select("a", "b").distinct())
-    edges = saved(confirmed(star, docs, "doc_id", "text", rules))
-    # Versions of a repeated id are one node already, by its id.
-    first = saved(components(edges, "a", "b"))
-
-    # Buckets that still hold several components: members outside the largest against all, in blocks.
-    labelled = nodes.join(first, "node", "left").select("node", "sig", "keys", F.coalesce("root", "node").alias("comp"))
+    star = close(bands.join(centres, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
+    first = saved(components(confirmed(star, docs, rules), "a", "b"))
+    labelled = saved(nodes.join(first, "node", "left").select("node", "keys", "sig", F.coalesce("root", "node").alias("comp")))
+
+    # Where a bucket holds part of a large component, its other members are compared with all of that component, on full
+    # sets, block by block; of two large components the smaller one looks for the larger.
     member = labelled.select("node", "comp", F.explode("keys").alias("key"))
-    counts = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    split = counts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max_by("comp", "n").alias("top")).where("k > 1")
-    split = split.select("key", "top", F.ceil(F.col("n") / rules.block).cast("int").alias("blocks"))
-    inside = member.join(split, "key").join(sig, "node")
-    every = inside.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("gb"))
-    minority = inside.where("comp <> top").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("ga"))
-    speaks = F.expr("ca <> cb") & (estimate("ga", "gb", rules) >= least)
-    rest = minority.join(every, ["key", "block"]).where(speaks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = saved(rest)
-    more = confirmed(rest, docs, "doc_id", "text", rules)
-    roots = first.withColumnRenamed("root", "comp")
-    joined = more.join(roots.withColumnsRenamed({"node": "a", "comp": "ra"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "comp": "rb"}), "b", "left")
-    second = components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "a", "b")
-    final = nodes.select("node", "s1", "s2").join(first, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    final = final.join(second.withColumnsRenamed({"node": "comp"}), "comp", "left").select("s1", "s2", F.coalesce("root", "comp").alias("component"))
-
-    out = base.select("doc_id", "n_shingles", "s1", "s2").join(final, ["s1", "s2"], "left")
+    sizes = labelled.groupBy("comp").agg(F.count("*").alias("size"))
+    large = few(saved(sizes.where(F.col("size") > rules.large)))
+    ranked = member.join(large, "comp", "left")
+    crowds = ranked.where("size is not null").groupBy("key", F.col("comp").alias("crowd")).agg(F.max("size").alias("crowd_size"))
+    smaller = F.expr("comp <> crowd and (size is null or (size, comp) < (crowd_size, crowd))")
+    seek = saved(ranked.join(crowds, "key").where(smaller).select(F.col("node").alias("a"), "crowd", "crowd_size").distinct())
+    crowd = labelled.join(few(saved(seek.select(F.col("crowd").alias("comp"), "crowd_size").distinct())), "comp")
+    crowd = crowd.select(F.col("comp").alias("crowd"), F.col("node").alias("b"), F.col("sig").alias("gb"), F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd_size") / rules.block)).cast("int").alias("block"))
+    sets = sets_of(seek.select(F.col("a").alias("id")).union(crowd.select("b")), docs, rules)
+    seeker = seek.join(sig.withColumnsRenamed({"node": "a", "sig": "ga"}), "a").join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a")
+    seeker = seeker.select("a", "crowd", "ga", "sa", F.explode(F.sequence(F.lit(0), F.ceil(F.col("crowd_size") / rules.block).cast("int") - 1)).alias("block"))
+    full = crowd.join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
+    found = saved(seeker.join(full, ["crowd", "block"]).where((estimate("ga", "gb", rules) >= least) & similar("sa", "sb", rules)).select("a", "b").distinct())
+    label = labelled.select("node", "comp")
+    met = found.join(label.withColumnsRenamed({"node": "a", "comp": "ca"}), "a").join(label.withColumnsRenamed({"node": "b", "comp": "cb"}), "b")
+    second = saved(components(met.select("ca", "cb"), "ca", "cb").withColumnsRenamed({"node": "comp", "root": "comp2"}))
+
+    # What is left are pairs of nodes in small components. In each bucket the members outside its largest component look
+    # for all others; a pair leaves the join only if it is near by its estimate, and once.
+    small = saved(labelled.join(large, "comp", "left_anti").join(few(second), "comp", "left").select("node", "keys", "sig", F.coalesce("comp2", "comp").alias("comp")))
+    inside = small.select("node", "comp", F.explode("keys").alias("key"))
+    split = inside.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("n", "comp")).alias("top")).where("k > 1")
+    split = saved(split.select("key", "top"))
+    here = inside.join(few(split), "key").join(small.select("node", "keys", "sig"), "node")
+    side = lambda s: here.select("key", *[F.col(c).alias(f"{n}{s}") for c, n in (("node", ""), ("comp", "c"), ("sig", "g"), ("keys", "k"))], "top")
+    asking = side("a").where("ca <> top")
+    # Two nodes that share several buckets meet in the first of them.
+    shared = F.zip_with("ka", "kb", lambda x, y: F.when(x == y, x))
+    once = F.filter(shared, lambda x: x.isNotNull())[0] == F.col("key")
+    near = asking.join(side("b").drop("top"), "key").where(F.expr("ca <> cb and (cb = top or a < b)") & (estimate("ga", "gb", rules) >= least) & once)
+    pairs = saved(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = confirmed(pairs, docs, rules)
+    label = saved(labelled.select("node", "comp").join(few(second), "comp", "left").select("node", F.coalesce("comp2", "comp").alias("comp")))
+    met = links.join(label.withColumnsRenamed({"node": "a", "comp": "ca"}), "a").join(label.withColumnsRenamed({"node": "b", "comp": "cb"}), "b")
+    third = saved(components(met.select("ca", "cb"), "ca", "cb").withColumnsRenamed({"node": "comp", "root": "comp3"}))
+    final = label.join(few(third), "comp", "left").select("node", F.coalesce("comp3", "comp").alias("component"))
+    final = nodes.select("node", "s1", "s2").join(final.distinct(), "node").select("s1", "s2", "component")
+
+    out = base.select("doc_id", "text_hash", "n_shingles", "s1", "s2").join(final, ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.least("doc_id", F.coalesce("component", "doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -46,7 +46,7 @@ def op8_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
