@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .lexicon import Lexicon
 
-C = Column
 _ZH = Lexicon()
 
 
@@ -325,7 +324,7 @@ def numeral(c: str | Column) -> Column:
 def chapter_number(c: str | Column) -> Column:
     """TXT-26: the number in a heading, in digits of either width or as a numeral."""
     mark = F.regexp_extract(F.translate(col(c), "０１２３４５６７８９", "0123456789"), r"第\s*([一二三四五六七八九十百千万零〇两\d]+)\s*[章节回集卷部篇]", 1)
-    return F.coalesce(F.try_cast(mark, "int") if hasattr(F, "try_cast") else mark.try_cast("int"), numeral(mark))
+    return F.coalesce(mark.try_cast("int"), numeral(mark))
 
 
 def match_chapter(citation: str | Column, heading: str | Column) -> Column:

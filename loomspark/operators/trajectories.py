@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicon import Lexicon
-from .cards import Vocabulary  # noqa: F401
 
 SCHEMA = (
     "task_id string, session int, steps array<struct<observations:array<struct<tool:string,arguments:map<string,string>,result:string,error:string>>>>,"

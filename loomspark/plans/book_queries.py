@@ -157,9 +157,6 @@ def coerce_values(spark, sf):
     return table(spark, sf, "events").select("event_id", J.clamp_label(F.col("value").cast("string")).alias("label"), J.coerce_bool("event_type", extra=("click",)).alias("truthy"), J.normalize_confidence("event_type").alias("confidence"))
 
 
-_SV = "('a1', 'genre-a'), ('a2', 'genre-a'), ('b1', 'genre-b')"
-
-
 @query("""WITH v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a' || (1 + p_partkey % 3) WHEN 1 THEN 'genre-b:b1' WHEN 2 THEN 'a2(genre-a)' ELSE 'genre-a' END AS raw FROM part)
 SELECT p_partkey, CASE WHEN raw IN ('a1', 'a2') THEN raw WHEN raw = 'genre-b:b1' THEN 'b1' WHEN raw = 'a2(genre-a)' THEN 'a2' ELSE '' END AS subgenre,
  CASE WHEN raw IN ('a1', 'a2', 'a2(genre-a)', 'genre-a') THEN 'genre-a' WHEN raw = 'genre-b:b1' THEN 'genre-b' ELSE 'other' END AS genre FROM v""")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ingest as I
 from ..operators import supply as S
 from .base import query, table
 from .ingest_queries import POOL, pool
