@@ -17,7 +17,6 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import P, map_rows
 
@@ -46,7 +45,7 @@ class WordTokenizer:
     space to one space, and its splitter drops it. Each distinct word is encoded by the library itself.
     """
 
-    def __init__(self, file: str, cache_size: int = 1_000_000):
+    def __init__(self, file: str, cache_size: int = 600_000):
         import json
 
         from tokenizers import Tokenizer
@@ -254,8 +253,8 @@ def intervals(plan: list[tuple[list[tuple[int, int]], int]], first: int = 0) ->
 
 # ---------------------------------------------------------------- the distributed part
 
-#: Pieces of one length are ranked in this many independent groups at least, and one more for so many pieces.
-_RANK_GROUP = 200_000
+#: Pieces of one length are ranked in independent groups of about so many.
+_RANK_GROUP = 1_000
 
 
 def pack(rows: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_id", "piece"), length: str = "length") -> DataFrame:
@@ -265,14 +264,13 @@ def pack(rows: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_i
     Ranks are counted within ``(length, salt)`` groups, and the groups' sizes are summed up, so a length that most
     pieces share is dealt out to many tasks. A length over the capacity, under one, or null is an error.
     """
+    from pyspark.sql import Window
+
     spark = rows.sparkSession
-    salted = rows.withColumn(f"{P}h", F.xxhash64(*order))
-    total = salted.groupBy(length).count().collect()  # at most ``capacity`` rows
+    total = rows.groupBy(length).count().collect()  # at most ``capacity`` rows
     histogram = {r[0]: r[1] for r in total}
     if any(k is None or k < 1 or k > capacity for k in histogram):
         raise ValueError("a piece is longer than a sequence, or empty")
-    groups = max(16, -(-max(histogram.values(), default=1) // _RANK_GROUP))
-    salted = salted.withColumn(f"{P}g", F.pmod(F.col(f"{P}h"), F.lit(groups)).cast("int"))
     plan = solve({k: v for k, v in histogram.items() if k < capacity}, capacity)
     n_packed = sum(n for _, n in plan)
     table = intervals(plan)
@@ -282,14 +280,15 @@ def pack(rows: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_i
     by_length = (
         spark.createDataFrame(table, schema).groupBy("l").agg(F.sort_array(F.collect_list(F.struct("a", "b", "n", "s", "o"))).alias("t"))
     )  # one row per length; its intervals are as many as there are configurations that use it
+    # Each length is ranked in as many groups as its pieces need; where a group's ranks begin is joined, not broadcast.
+    groups = spark.createDataFrame([(k, -(-v // _RANK_GROUP)) for k, v in histogram.items()], f"{P}l long, {P}n long")
+    salted = rows.join(F.broadcast(groups), F.col(length) == F.col(f"{P}l")).withColumn(f"{P}g", F.pmod(F.xxhash64(*order), F.col(f"{P}n")).cast("int")).drop(f"{P}l", f"{P}n")
     sizes = salted.groupBy(F.col(length).alias("l"), F.col(f"{P}g").alias("g")).count()
-    from pyspark.sql import Window
-
     before = Window.partitionBy("l").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("l").alias(f"{P}l"), F.col("g").alias(f"{P}s"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(f"{P}first"))
     within = Window.partitionBy(length, f"{P}g").orderBy(*order)
     ranked = salted.withColumn(f"{P}r", F.row_number().over(within) - 1)
-    ranked = ranked.join(F.broadcast(starts), (F.col(length) == F.col(f"{P}l")) & (F.col(f"{P}g") == F.col(f"{P}s"))).withColumn(f"{P}r", F.col(f"{P}r") + F.col(f"{P}first"))
+    ranked = ranked.join(starts, (F.col(length) == F.col(f"{P}l")) & (F.col(f"{P}g") == F.col(f"{P}s"))).withColumn(f"{P}r", F.col(f"{P}r") + F.col(f"{P}first"))
     found = ranked.drop(f"{P}l", f"{P}s").join(F.broadcast(by_length.withColumnsRenamed({"l": f"{P}l", "t": f"{P}t"})), F.col(length) == F.col(f"{P}l"))
     slot = F.filter(f"{P}t", lambda t: (t["a"] <= F.col(f"{P}r")) & (F.col(f"{P}r") < t["b"]))[0]
     placed = found.withColumn(f"{P}slot", slot)
