@@ -40,6 +40,8 @@ class PieceEncoder:
         if any(SPACE in p.lstrip(SPACE) for p in self.normal):
             raise ValueError("a piece holds the space mark inside a word")
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE} if proto.trainer_spec.byte_fallback else None
+        self.score = {p: s for p, (_, s) in self.normal.items()}
+        self.halves: dict[str, list[str]] = {}
         self.singles = {p for p in self.normal if len(p) == 1}
         # Pieces that the merges never yield are left out of the automaton.
         reachable = {p for p in self.normal if len(p) == 1 or self.merge(p) == [p]}
@@ -52,18 +54,19 @@ class PieceEncoder:
         self.words: dict[str, list[int]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
-    def merge(self, word: str) -> list[str]:
-        """Merge neighbours, best score first and leftmost among equals, until no merge is left."""
+    def merge(self, word: str, stop: int = 1) -> list[str]:
+        """Merge neighbours, best score first and leftmost among equals, until no merge, or no more than ``stop`` parts, are left."""
         parts, normal = list(word), self.normal
-        while True:
+        while len(parts) > stop:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 found = normal.get(parts[i] + parts[i + 1])
                 if found is not None and (best is None or found[1] > best):
                     best, at = found[1], i
             if at < 0:
-                return parts
+                break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
 
     def compatible(self, left: str, right: str) -> bool:
         """Do these neighbours come out of merging their joined text again?"""
@@ -72,7 +75,37 @@ class PieceEncoder:
         if known is None:
             if len(self.pairs) >= self.cache_size:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge(left + right) == [left, right]
+            # Runs of space marks all have one score, so only merging them tells.
+            tied = SPACE * 2 in left + right
+            known = self.pairs[key] = self.merge(left + right) == [left, right] if tied else self.apart(left, right)
+        return known
+
+    def apart(self, left: str, right: str) -> bool:
+        """Re-merge two pieces along their border only, backwards in time.
+
+        The last of the merges that made the two is undone; the parts that then touch must not merge earlier than the
+        merge just undone, or, if that one lies to the right, at the same score. Equal when no merge is left to undo.
+        """
+        score, last, after_equal = self.score, -float("inf"), False
+        while True:
+            both = score.get(left + right)
+            if both is not None and (both > last or both == last and after_equal):
+                return False
+            a, b = score[left], score[right]
+            if len(left) > 1 and (len(right) == 1 or a < b):
+                last, after_equal = a, False
+                left = self.parts(left)[1]
+            elif len(right) > 1:
+                last, after_equal = b, True
+                right = self.parts(right)[0]
+            else:
+                return True
+
+    def parts(self, piece: str) -> list[str]:
+        """The two parts whose merge makes a piece."""
+        known = self.halves.get(piece)
+        if known is None:
+            known = self.halves[piece] = self.merge(piece, 2)
         return known
 
     def backtrack(self, word: str) -> list[str]:
