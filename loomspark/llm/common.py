@@ -50,6 +50,13 @@ def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+_SLICE = 250
+
+#: Rows in an Arrow batch, at most: documents are long, and a task holds some batches on either side of its pipe. A
+#: session that asks for larger ones gets this many.
+ARROW_ROWS = 500
+
+
 def map_rows(
     df: DataFrame,
     inputs: list[str],
@@ -64,19 +71,27 @@ def map_rows(
     A kept column named like one of ``out`` gives way to the computed one.
     """
     out = T._parse_datatype_string(out) if isinstance(out, str) else out
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     keep = [c for c in (df.columns if keep is None else keep) if c not in out.names]
     kept = [f"{P}k{i}" for i in range(len(keep))]
-    names = [f"{P}i{i}" for i in range(len(inputs))]
-    sent = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)], *[F.col(f"`{c}`").alias(n) for c, n in zip(inputs, names)])
+    more = [c for c in dict.fromkeys(inputs) if c not in keep]  # a column that is kept anyway is sent once
+    names = [f"{P}i{i}" for i in range(len(more))]
+    at = [[*keep, *more].index(c) for c in inputs]
+    sent = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)], *[F.col(f"`{c}`").alias(n) for c, n in zip(more, names)])
     types = [to_arrow_type(f.dataType) for f in out.fields]
-    n_kept, n_in = len(kept), len(names)
+    n_kept = len(kept)
 
     def run(batches):
-        for batch in batches:
-            rows = list(fn([batch.column(n_kept + i).to_pylist() for i in range(n_in)])) if batch.num_rows else []
-            columns = list(zip(*rows)) if rows else [[] for _ in types]
-            made = [pa.array(c, type=t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n_kept)] + made, names=[*kept, *out.names])
+        # Small slices: a batch's texts are never all held as Python objects.
+        for whole in batches:
+            for start in range(0, max(1, whole.num_rows), _SLICE):
+                batch = whole.slice(start, _SLICE)
+                rows = list(fn([batch.column(i).to_pylist() for i in at])) if batch.num_rows else []
+                columns = list(zip(*rows)) if rows else [[] for _ in types]
+                made = [pa.array(c, type=t) for c, t in zip(columns, types)]
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n_kept)] + made, names=[*kept, *out.names])
 
     schema = T.StructType([T.StructField(k, df.schema[c].dataType) for c, k in zip(keep, kept)] + out.fields)
     done = sent.mapInArrow(run, schema)

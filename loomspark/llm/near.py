@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, components, few, map_rows, saved
+from .common import components, few, map_rows, saved
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -44,7 +44,7 @@ class _Words(dict):
     """Hashes of words, made when missing; the memory starts anew when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         value = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:

@@ -9,7 +9,6 @@ import pytest
 from helpers import ODD, documents, empty, words
 from loomspark.llm import lines, near, substrings
 from loomspark.llm.common import components
-from pyspark.sql import functions as F
 
 
 def find(parent, x):
@@ -211,4 +210,3 @@ def test_line_dedup_keeps_to_columns(spark):
     assert rows[2].text == "and one more that stays here" and rows[2].n_exact == 1 and rows[2].n_near == 0
     plan = lines.dedup(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    assert isinstance(F.lit(1), object)
