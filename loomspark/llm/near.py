@@ -180,10 +180,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # Where a bucket holds part of a large component, its other members are compared with all of that component, on full
     # sets, block by block; of two large components the smaller one looks for the larger.
-    member = labelled.select("node", "comp", F.explode("keys").alias("key"))
     sizes = labelled.groupBy("comp").agg(F.count("*").alias("size"))
     large = few(saved(sizes.where(F.col("size") > rules.large)))
-    ranked = member.join(large, "comp", "left")
+    ranked = labelled.join(large, "comp", "left").select("node", "comp", "size", F.explode("keys").alias("key"))
     crowds = ranked.where("size is not null").groupBy("key", F.col("comp").alias("crowd")).agg(F.max("size").alias("crowd_size"))
     smaller = F.expr("comp <> crowd and (size is null or (size, comp) < (crowd_size, crowd))")
     seek = saved(ranked.join(crowds, "key").where(smaller).select(F.col("node").alias("a"), "crowd", "crowd_size").distinct())
