@@ -22,7 +22,7 @@ class LineRules:
     """Lines under ``min_chars`` code points are left alone. Lines within ``threshold`` edits of an earlier line are near
     copies. A segment that over ``hot`` indexed lines share is split."""
 
-    threshold: int = 1
+    threshold: int = 2
     min_chars: int = 24
     hot: int = 64
 
@@ -56,10 +56,12 @@ def lanes_apart(a: Column, b: Column) -> Column:
 
 
 def piece(word: Column, j: Column, tau: int) -> Column:
-    """Piece ``j`` of ``2 tau + 1`` of a sketch; lines within ``tau`` edits have at least one piece in common."""
+    """Piece ``j`` of ``2 tau + 1`` of a sketch; lines within ``tau`` edits have at least one piece in common. The first
+    ones take the remaining lanes, so that none is empty: all lines would share that one."""
     k = 2 * tau + 1
-    per = -(-len(SKETCH) // k) * 5
-    return F.shiftrightunsigned(word, 0).bitwiseAND(F.element_at(F.array(*[F.lit(((1 << per) - 1) << (per * i) & ((1 << 60) - 1)).cast("long") for i in range(k)]), j + 1))
+    ends = [sum(len(SKETCH) // k + (i < len(SKETCH) % k) for i in range(n)) for n in range(k + 1)]
+    masks = [(1 << (5 * b)) - (1 << (5 * a)) for a, b in zip(ends, ends[1:])]
+    return word.bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), j + 1))
 
 
 def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
