@@ -19,18 +19,28 @@ from .common import P, few, saved
 
 @dataclass(frozen=True)
 class LineRules:
-    """Lines under ``min_chars`` code points are left alone. Lines within ``threshold`` edits of an earlier line are near
-    copies. A segment that over ``hot`` indexed lines share is split."""
+    """Exact copies of every line that isn't blank go. Lines of ``near_chars`` code points or more that are within
+    ``threshold`` edits of an earlier one are near copies. With ``min_chars``, shorter lines are left alone, and it is the
+    edit join's minimum instead. A segment that over ``hot`` indexed lines share is split."""
 
     threshold: int = 2
-    min_chars: int = 24
+    min_chars: int | None = None
     hot: int = 64
+    near_chars: int = 24
+
+    def taken(self, line: Column) -> Column:
+        """Is a line one that may go?"""
+        return line.rlike(r"\S") if self.min_chars is None else F.char_length(line) >= self.min_chars
+
+    def joined(self, size: Column) -> Column:
+        """Does a line of this size take part in the edit join?"""
+        return size >= (self.near_chars if self.min_chars is None else self.min_chars)
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str, rules: LineRules) -> DataFrame:
-    """A row for each line that is long enough: document key, line number and line, with 128 bits of hashes."""
+    """A row for each line that may go: document key, line number and line, with 128 bits of hashes."""
     lines = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    sized = lines.select("d", "t", "n", "line", F.char_length("line").alias("size")).where(F.col("size") >= rules.min_chars)
+    sized = lines.select("d", "t", "n", "line", F.char_length("line").alias("size")).where(rules.taken(F.col("line")))
     return sized.select("d", "t", "n", "line", "size", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
 
 
@@ -157,11 +167,13 @@ def within(a: str, b: str, tau: int) -> Column:
     return (F.abs(F.char_length(a) - F.char_length(b)) <= tau) & _let(F.split(a, ""), distance)
 
 
-def keyed(occ: DataFrame, tau: int) -> DataFrame:
-    """Occurrences as numbers only: place, hashes, sketch, own segments' keys ``i0..`` and other probes ``p0..``."""
-    own = [c.alias(f"i{k}") for k, c in enumerate(index_keys("line", "size", tau))]
-    other = [c.alias(f"p{k}") for k, c in enumerate(probe_keys("line", "size", tau))]
-    return occ.select("d", "t", "n", "h", "g", sketch("line").alias("w"), *own, *other)
+def keyed(occ: DataFrame, rules: LineRules) -> DataFrame:
+    """Occurrences as numbers only: place, hashes, sketch, own segments' keys ``i0..`` and other probes ``p0..``; sketch
+    and keys are null for lines that the edit join leaves out."""
+    tau, joined = rules.threshold, rules.joined(F.col("size"))
+    own = [F.when(joined, c).alias(f"i{k}") for k, c in enumerate(index_keys("line", "size", tau))]
+    other = [F.when(joined, c).alias(f"p{k}") for k, c in enumerate(probe_keys("line", "size", tau))]
+    return occ.select("d", "t", "n", "h", "g", F.when(joined, sketch("line")).alias("w"), *own, *other)
 
 
 def near_pairs(rows: DataFrame, rules: LineRules) -> DataFrame:
@@ -170,7 +182,7 @@ def near_pairs(rows: DataFrame, rules: LineRules) -> DataFrame:
     keys = [c for c in rows.columns if c[0] in "ip" and c[1:].isdigit()]
     own = [c for c in keys if c[0] == "i"]
     # One row per distinct line; numbers only, so the aggregation combines before the shuffle.
-    flat = rows.select("h", "g", "w", *keys).dropDuplicates(["h", "g"])
+    flat = rows.where("w is not null").select("h", "g", "w", *keys).dropDuplicates(["h", "g"])
     index = flat.select("h", "w", F.explode(F.array(*own)).alias("key"))
     probe = flat.select("h", "w", F.explode(F.array_compact(F.array(*keys))).alias("key"))
     hot = saved(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > rules.hot).select("key", F.lit(True).alias("hot")))
@@ -191,16 +203,16 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Li
     """All rows and columns, the text without repeated lines, and ``n_lines``, ``n_exact`` and ``n_near``.
 
     A line goes if it equals an earlier line of the corpus, or is within the threshold of one that differs; earlier is
-    by id (null first), then text hash, then line number. Shorter lines stay. Null and empty texts stay as they are and
-    have no long line. Rows that repeat an id and a text are one document and keep the same lines.
+    by id (null first), then text hash, then line number. Blank lines stay, and short ones go as
+    exact copies only. Null and empty texts stay as they are. Rows that repeat an id and a text are one document and keep the same lines.
     """
     source = docs.select(F.col(doc_id).alias("d0"), F.col(text).alias("x"))
     occ = occurrences(source, "d0", "x", rules)
     place = F.struct("d", "t", "n")
-    rows = saved(keyed(occ, rules.threshold))
+    rows = saved(keyed(occ, rules))
     pairs = saved(near_pairs(rows, rules))
     ids = saved(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    texts = saved(occ.join(few(ids), "h", "left_semi").groupBy("h", "g", "line").agg(F.min(place).alias("first")))
+    texts = saved(occ.where(rules.joined(F.col("size"))).join(few(ids), "h", "left_semi").groupBy("h", "g", "line").agg(F.min(place).alias("first")))
     side = lambda s: texts.select(F.col("h").alias(s), F.struct("h", "g", "line", "first").alias(f"{s}x"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where("ax.line <> bx.line")
     near = both.where(within("ax.line", "bx.line", rules.threshold))
@@ -226,7 +238,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Li
     rest = _let(dense, lambda m: F.filter(lines, lambda x, i: F.coalesce(F.get(m, F.floor(i / 64).cast("int")), F.lit(0).cast("long")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))) == 0))
     new = F.when(F.col(f"{P}w").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
     extra = {
-        "n_lines": F.coalesce(F.size(F.filter(lines, lambda x: F.char_length(x) >= rules.min_chars)), F.lit(0)).cast("long"),
+        "n_lines": F.coalesce(F.size(F.filter(lines, rules.taken)), F.lit(0)).cast("long"),
         "n_exact": F.coalesce(f"{P}x", F.lit(0)).cast("long"),
         "n_near": (F.coalesce(f"{P}c", F.lit(0)) - F.coalesce(f"{P}x", F.lit(0))).cast("long"),
     }
