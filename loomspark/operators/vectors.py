@@ -9,9 +9,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: A batch of queries is sent to all tasks; larger batches are refused and have to be cut by the caller.
-MAX_QUERIES = 200_000
+#: Queries in a block, about: a task scores one block of queries against one block of vectors at a time.
+BLOCK = 8_192
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -53,39 +54,52 @@ def topk(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", ve
 def topk_batch(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", key: str = "vec_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """VEC-04, VEC-28: the ``k`` nearest for each of many queries.
 
-    Queries travel to the vectors: each Arrow batch is one matrix product, and only its best ``k`` rows per query leave
-    the task. The merge then sees ``k`` rows per query and batch, whatever the number of vectors.
+    Queries and vectors are both dealt into blocks by a hash, and each pair of blocks is one group whose scores are matrix
+    products of slices; only its best ``k`` rows per query leave it. The merge then sees ``k`` rows per query and block of
+    vectors. No side is collected or broadcast, so any number of queries is answered.
     """
-    rows = queries.select(query_id, vector).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError("too many queries for one batch")
     id_type, key_type = queries.schema[query_id].dataType, vectors.schema[key].dataType
-    out = T.StructType([T.StructField(query_id, id_type), T.StructField(key, key_type), T.StructField("score", T.DoubleType())])
-    ids = [r[0] for r in rows]
-    shared = queries.sparkSession.sparkContext.broadcast((ids, np.asarray([r[1] for r in rows], dtype=np.float64)))
-
-    def search(batches):
-        names, q = shared.value
-        for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            keys = np.asarray(batch.column(0).to_pylist(), dtype=object)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            v = flat.reshape(len(keys), -1)
-            for start in range(0, len(names), 256):
-                scores = np.round(q[start : start + 256] @ v.T, 12)
-                for i, s in enumerate(scores):
-                    name = names[start + i]
-                    if exclude_self:
-                        s = np.where(keys == name, -np.inf, s)
-                    n = min(k, len(keys))
-                    # All that tie with the k-th score stay, so the merge can break ties by id.
-                    edge = np.partition(s, -n)[-n]
-                    pick = np.flatnonzero((s >= edge) & (s > -np.inf))
-                    pick = pick[np.lexsort((keys[pick], -s[pick]))][:n]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(pick)), pa.array(keys[pick].tolist()), pa.array(s[pick])], names=[query_id, key, "score"])
-
-    near = vectors.select(key, vector).mapInArrow(search, out)
+    out = T.StructType([T.StructField("q", id_type), T.StructField("v", key_type), T.StructField("score", T.DoubleType())])
+    n_queries, n_vectors = queries.count(), vectors.count()
+    q_blocks, v_blocks = max(1, -(-n_queries // BLOCK)), max(1, -(-n_vectors // BLOCK))
+    # Rows are dealt by row number in their partition, so that equal ids or vectors don't meet in one block.
+    dealt = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("x"), dealt(q_blocks).alias("a")).select("id", "x", "a", every(v_blocks).alias("b"))
+    right = vectors.select(F.col(key).alias("id"), F.col(vector).alias("x"), dealt(v_blocks).alias("b")).select("id", "x", every(q_blocks).alias("a"), "b")
+
+    def matrix(table):
+        flat = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return table.column("id").to_pylist(), flat.reshape(table.num_rows, -1)
+
+    def search(ours, theirs):
+        empty = pa.table({"q": pa.array([], to_arrow_type(id_type)), "v": pa.array([], to_arrow_type(key_type)), "score": pa.array([], pa.float64())})
+        if not ours.num_rows or not theirs.num_rows:
+            return empty
+        names, q = matrix(ours)
+        ids, v = matrix(theirs)
+        keys = np.empty(len(ids), dtype=object)
+        keys[:] = ids
+        found = [empty]
+        for start in range(0, len(names), 256):
+            scores = np.round(q[start : start + 256] @ v.T, 12)
+            who, whom, much = [], [], []
+            for i, s in enumerate(scores):
+                name = names[start + i]
+                if exclude_self:
+                    s = np.where(keys == name, -np.inf, s)
+                n = min(k, len(keys))
+                # All that tie with the k-th score stay, so the merge can break ties by id.
+                edge = np.partition(s, -n)[-n]
+                pick = np.flatnonzero((s >= edge) & (s > -np.inf))
+                pick = pick[np.lexsort((keys[pick], -s[pick]))][:n]
+                who += [name] * len(pick)
+                whom += keys[pick].tolist()
+                much.append(s[pick])
+            found.append(pa.table({"q": pa.array(who, to_arrow_type(id_type)), "v": pa.array(whom, to_arrow_type(key_type)), "score": np.concatenate(much)}))
+        return pa.concat_tables(found)
+
+    near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(search, out).select(F.col("q").alias(query_id), F.col("v").alias(key), "score")
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), key)
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
