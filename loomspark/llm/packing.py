@@ -176,7 +176,7 @@ def solve(histogram: dict[int, int], capacity: int, shares: tuple[float, ...] =
     """Sequences by configuration: ``[([(length, copies), ...], number of sequences), ...]`` that use every piece.
 
     A share of each fractional number is rounded down to whole sequences, as long as pieces last; configurations that
-    leave room are left out. What remains is packed best fit, longest first. Of the given shares the one that needs
+    leave room are left out, but for one more plan that takes them in. What remains is packed best fit, longest first. Of these plans the one that needs
     the fewest sequences is taken: the more is left to the last step, the more kinds of pieces it can choose from.
     """
     start = {int(k): int(v) for k, v in histogram.items() if v > 0}
@@ -185,12 +185,13 @@ def solve(histogram: dict[int, int], capacity: int, shares: tuple[float, ...] =
     lengths = np.array(sorted(start, reverse=True))
     counts = np.array([start[k] for k in lengths.tolist()], dtype=np.int64)
     mix = sorted(configurations(lengths, counts, capacity).items(), key=lambda m: (-m[1], m[0]))
-    full = [([(int(lengths[k]), n) for k, n in config], x) for config, x in mix if sum(int(lengths[k]) * n for k, n in config) == capacity]
+    every = [([(int(lengths[k]), n) for k, n in config], x) for config, x in mix]
+    full = [(content, x) for content, x in every if sum(size * n for size, n in content) == capacity]
     best: list[tuple[list[tuple[int, int]], int]] = []
-    for share in shares:
+    for pool, share in [*((full, share) for share in shares), (every, 1.0)]:
         left = dict(start)
         plan = []
-        for content, x in full:
+        for content, x in pool:
             number = min(int(x * share), *(left[size] // n for size, n in content))
             if number > 0:
                 plan.append((content, number))
