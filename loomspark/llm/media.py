@@ -55,13 +55,14 @@ def read_wav(media: bytes) -> tuple[int, bytes]:
 def peaks(samples: bytes, rules: MediaRules = MediaRules()) -> np.ndarray:
     """The strongest bin of each frequency band in each frame: an array of frames by bands.
 
-    Frames are transformed in blocks, so memory does not grow with the recording. A recording under one frame is
-    filled up with silence. Magnitudes are rounded before they are compared, so ties go to the lower bin.
+    Frames are transformed in blocks, so memory does not grow with the recording. The last frame is
+    filled up with silence, so frames cover the whole recording. Magnitudes are rounded before they are compared, so ties go to the lower bin.
     """
     x = np.frombuffer(samples, dtype=np.uint8)
-    n = max(1, 1 + (len(x) - rules.frame) // rules.hop)
-    if len(x) < rules.frame:
-        x = np.concatenate([x, np.full(rules.frame - len(x), 128, dtype=np.uint8)])
+    n = 1 + max(0, -(-(len(x) - rules.frame) // rules.hop))
+    missing = rules.frame + (n - 1) * rules.hop - len(x)
+    if missing > 0:
+        x = np.concatenate([x, np.full(missing, 128, dtype=np.uint8)])
     window = np.hanning(rules.frame).astype(np.float32)
     views = np.lib.stride_tricks.sliding_window_view(x, rules.frame)[:: rules.hop]
     out = np.empty((n, len(rules.bands) - 1), dtype=np.int64)
