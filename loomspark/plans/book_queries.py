@@ -62,6 +62,13 @@ def tiered_evidence(spark, sf):
     return d.select("doc_id", F.md5(D.tiered_evidence(2)).alias("t2"), F.md5(D.tiered_evidence(1)).alias("t1"))
 
 
+@query("SELECT doc_id, md5(source || chr(10) || chr(10) || text) AS t2, md5(source) AS t1 FROM documents")
+def tiered_evidence_whole(spark, sf):
+    """UDF-10 with whole texts."""
+    d = docs(spark, sf).select("doc_id", F.col("source").alias("card_text"), F.col("text").alias("blurb"), F.lit("").alias("evidence"))
+    return d.select("doc_id", F.md5(D.tiered_evidence(2)).alias("t2"), F.md5(D.tiered_evidence(1)).alias("t1"))
+
+
 @query("SELECT user_id, event_type, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, round(arg_max(value, (ts, event_id)), 6) AS value FROM events GROUP BY 1, 2")
 def labels_latest(spark, sf):
     """STR-01, STR-03, STR-05."""
@@ -259,6 +266,15 @@ def split_profiles(spark, sf):
     return rows.select("doc_id", "ordinal", "kind", F.md5("text").alias("text"))
 
 
+@query("SELECT doc_id, 0 AS ordinal, 'blurb' AS kind, md5('one' || chr(10) || trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text FROM documents UNION ALL SELECT doc_id, 1, 'opening', md5(lang) FROM documents")
+def split_profiles_whole(spark, sf):
+    """ARR-06 with whole texts."""
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    d = docs(spark, sf).select("doc_id", F.concat(F.lit("MARK-A one\n"), flat, F.lit("\nMARK-B\n"), "lang").alias("p"))
+    rows = D.over_texts(d, ["doc_id"], "p", lambda k, t: [(i, *s) for i, s in enumerate(D.split_profile(t, {"MARK-A": "blurb", "MARK-B": "opening"}))], "ordinal int, kind string, text string")
+    return rows.select("doc_id", "ordinal", "kind", F.md5("text").alias("text"))
+
+
 @query("SELECT c.c_custkey AS task_id, o_orderkey AS session, 'p' || (row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1) AS positive FROM customer c JOIN orders ON o_custkey = c_custkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) <= 3")
 def session_positives(spark, sf):
     """JON-07: the n-th order of a customer goes with the n-th positive."""

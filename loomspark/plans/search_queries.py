@@ -264,6 +264,15 @@ def split_negatives(spark, sf):
     return b.select("item_id", F.array_join(s["in_text"], ",").alias("in_text"), F.array_join(s["meta"], ",").alias("meta"))
 
 
+@query("""WITH t AS (SELECT item_id, [x FOR x IN list_concat(string_split(text, ' '), ['system', ' ', 'boring', 'love']) IF trim(x) <> ''] AS t FROM benchmark)
+SELECT item_id, array_to_string([x FOR x IN t IF x IN ('system', 'travel', 'school', 'love', 'robot')], ',') AS in_text, array_to_string([x FOR x IN t IF x NOT IN ('system', 'travel', 'school', 'love', 'robot')], ',') AS meta FROM t""")
+def split_negatives_whole(spark, sf):
+    """FLT-05, FLT-06 over whole texts."""
+    b = table(spark, sf, "benchmark")
+    s = K.split_negatives(F.concat(F.split("text", " "), F.array(*map(F.lit, ["system", " ", "boring", "love"]))), L)
+    return b.select("item_id", F.array_join(s["in_text"], ",").alias("in_text"), F.array_join(s["meta"], ",").alias("meta"))
+
+
 _VOC = K.Vocabulary(genres={"the": ("of", "and"), "in": ("to",)}, elements=("a", "is", "on"), subgenre_aliases={"for": "to", "the": "of"}, element_aliases={"are": "is"})
 
 
