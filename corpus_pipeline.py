@@ -34,7 +34,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least id."""
+    """One document of each group of near copies, that of the least id; of rows that repeat an id and a text, one.
+
+    Where ids are missing or stand for several rows, a row is named by its id and its text's hash, null ids last.
+    """
+    counts = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if counts.where("doc_id is null or n > 1").limit(1).count():
+        name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"))
+        named = docs.withColumn(f"{P}name", name)
+        gone = near.near_duplicates(named, doc_id=f"{P}name").where("not kept").select(F.col("doc_id").alias(f"{P}name")).distinct()
+        left = named.join(few(saved(gone)), f"{P}name", "left_anti")
+        # Texts of rows that are alone with their name are not shuffled.
+        again = few(saved(named.groupBy(f"{P}name").agg(F.count("*").alias(f"{P}n")).where(f"{P}n > 1").select(f"{P}name")))
+        once = left.join(again, f"{P}name", "left_anti")
+        return once.unionByName(left.join(again, f"{P}name", "left_semi").dropDuplicates([f"{P}name"])).select(*docs.columns)
     gone = near.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(f"{P}d"), F.col("text_hash").alias(f"{P}t")).distinct()
     return docs.join(few(saved(gone)), (docs["doc_id"] == F.col(f"{P}d")) & (F.xxhash64(docs["text"]) == F.col(f"{P}t")), "left_anti")
 
