@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import col, squash
+from .text import col, squash, strip
 
 
 def novel_id(path: str | Column) -> Column:
@@ -60,32 +60,36 @@ def split_report(inventory: DataFrame) -> DataFrame:
 
 def fractions(count: int, skip: float = 0.05) -> list[float]:
     """ARR-10: evenly spread fractions that stop short of the end."""
-    return [round((1 - skip) * i / max(count - 1, 1), 6) for i in range(count)]
+    return [round(i * max(1 - skip, 0.0) / max(count - 1, 1), 6) for i in range(count)]
 
 
-def judge_fractions(windows: int, samples: int, skip: float = 0.05) -> list[float]:
-    """HSH-09: midpoints between the fractions that a profile samples."""
+def judge_fractions(windows: int = 6, samples: int = 10, skip: float = 0.05) -> list[float]:
+    """HSH-09: midpoints between the fractions that a profile samples, all of them or as many as asked for, spread evenly;
+    the middle of the text where a profile samples one place at most."""
     f = fractions(samples, skip)
-    middle = [round((a + b) / 2, 6) for a, b in zip(f, f[1:])]
-    step = len(middle) / windows
-    return [middle[int(i * step)] for i in range(min(windows, len(middle)))]
+    middle = [(a + b) / 2 for a, b in zip(f, f[1:])] or [0.5]
+    step = max(1.0, len(middle) / max(windows, 1))
+    return [middle[int(i * step)] for i in range(max(0, min(windows, len(middle))))]
 
 
 def window_at(text: str | Column, fraction: Column, size: int) -> Column:
-    """HSH-11: a window at a fraction of the text, moved inside it."""
+    """HSH-11: a window at a fraction of the text, moved inside it, stripped."""
     t = col(text)
     n = F.char_length(t)
-    at = F.least(F.floor(n * fraction).cast("int"), F.greatest(n - size, F.lit(0)))
-    return F.substring(t, at + 1, F.lit(size))
+    at = F.least(F.floor(n * F.least(F.greatest(fraction, F.lit(0.0)), F.lit(1.0))).cast("int"), F.greatest(n - size, F.lit(0)))
+    return strip(F.substring(t, at + 1, F.lit(max(size, 0))))
 
 
-def jittered(key: str | Column, windows: int, fixed: list[float], gap: float = 0.02) -> Column:
-    """HSH-10: one hashed fraction per band; one that falls too near a fixed point moves past it."""
+def jittered(key: str | Column, windows: int = 6, fixed: tuple[float, ...] = (0.0, 0.5, 1.0), gap: float = 0.08) -> Column:
+    """HSH-10: a hashed fraction in each of equal bands; one that falls too near a fixed point moves past it."""
+    if windows < 1:
+        raise ValueError("at least one window")
     out = []
     for i in range(windows):
-        f = (F.lit(float(i)) + stable_unit_float(F.concat(col(key), F.lit(f":{i}")))) / windows
-        near = F.array_min(F.transform(F.array(*map(F.lit, fixed)), lambda p: F.abs(f - p)))
-        out.append(F.when(near < gap, F.least(f + 2 * gap, F.lit(0.98))).otherwise(f))
+        f = F.least((F.lit(i + 0.15) + stable_unit_float(F.concat(col(key), F.lit(f":{i}"))) * 0.7) / (windows + 1), F.lit(1.0))
+        for p in fixed:
+            f = F.when(F.abs(f - p) < gap, F.lit(min(p + 1.5 * gap, 0.97))).otherwise(f)
+        out.append(F.round(f, 4))
     return F.array(*out)
 
 

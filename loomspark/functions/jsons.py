@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ def clamp_label(c: str | Column) -> Column:
 
 
 def coerce_bool(c: str | Column, extra: tuple[str, ...] = ()) -> Column:
-    """JSN-09."""
-    return F.coalesce(F.lower(F.trim(col(c))).isin("true", "1", "yes", "y", "是", *extra), F.lit(False))
+    """JSN-09. Other words for yes, such as those of a verdict in Chinese, are ``extra``."""
+    return F.coalesce(F.lower(strip(c)).isin("true", "1", "yes", "y", *extra), F.lit(False))
 
 
 def normalize_confidence(c: str | Column) -> Column:
@@ -37,60 +38,87 @@ def strings(c: str | Column, limit: int, longest: int = 40) -> Column:
     return F.slice(F.array_distinct(F.filter(cut, lambda x: x != "")), 1, limit)
 
 
+#: What may stand between a genre and a sub-genre, in the order in which they are looked for.
+SEPARATORS = "：:·-/（("
+_BRACKETS = " （）()"
+
+
 def normalise_subgenre(c: str | Column, vocabulary: Vocabulary) -> Column:
-    """JSN-13, JSN-19: ``struct<subgenre, genre>`` of ``name``, ``genre:name``, ``name(genre)`` or a bare genre."""
-    raw = strip(c)
-    name = F.regexp_replace(F.regexp_replace(raw, r"^[^:：]*[:：]", ""), r"[(（].*$", "")
-    pairs = [(s, g) for g, subs in vocabulary.genres.items() for s in subs]
-    table = F.create_map(*[F.lit(x) for p in pairs for x in p])
-    alias = vocabulary.subgenre_aliases
-    name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in alias.items() for x in p]), name), name) if alias else name
-    genre = F.element_at(table, name)
-    bare = raw.isin(*vocabulary.genres)
-    return F.struct(F.when(genre.isNotNull(), name).otherwise("").alias("subgenre"), F.coalesce(genre, F.when(bare, raw), F.lit("other")).alias("genre"))
+    """JSN-13, JSN-19: ``struct<subgenre, genre>`` of a sub-genre, an alias, ``genre:name``, ``name(genre)`` or a bare genre.
+
+    Of two parts a known sub-genre wins, the second before the first. A bare genre leaves the sub-genre empty.
+    """
+    mapped = lambda table: F.create_map(*[F.lit(x) for p in table.items() for x in p])
+    known = mapped({s: g for g, subs in vocabulary.genres.items() for s in subs})
+    aliases = mapped(vocabulary.subgenre_aliases) if vocabulary.subgenre_aliases else None
+    peel = lambda x: F.regexp_replace(x, f"^[{_BRACKETS}]+|[{_BRACKETS}]+$", "")
+    named = lambda x: F.coalesce(F.element_at(aliases, x), x) if aliases is not None else x
+    whole = named(peel(strip(c)))
+    sign = F.coalesce(*[F.when(F.contains(whole, F.lit(x)), x) for x in SEPARATORS])
+
+    def choose(p: Column) -> Column:
+        genre_of = lambda x: F.element_at(known, x)
+        rest = F.when(p["left"].isin(*vocabulary.genres), p["left"]).otherwise(p["right"])
+        best = F.when(p["sign"].isNull(), p["whole"]).when(genre_of(p["right"]).isNotNull(), p["right"]).when(genre_of(p["left"]).isNotNull(), p["left"]).otherwise(rest)
+        is_sub = genre_of(best).isNotNull()
+        return F.struct(F.when(is_sub, best).otherwise("").alias("subgenre"), F.coalesce(genre_of(best), F.when(best.isin(*vocabulary.genres), best), F.lit(vocabulary.unknown)).alias("genre"))
+
+    at = F.instr(whole, sign)
+    parts = F.struct(whole.alias("whole"), sign.alias("sign"), named(peel(F.substring(whole, F.lit(1), at - 1))).alias("left"), named(peel(F.substring(whole, at + 1, F.char_length(whole)))).alias("right"))
+    return F.transform(F.array(parts), choose)[0]
 
 
 # ------------------------------------------------------------------ one text
 
 
-def split_first_object(text: str) -> tuple[str, str]:
-    """JSN-01: the first object whose braces balance, and the rest, after reasoning blocks are cut; braces in strings count."""
+def without_reasoning(text: str) -> str:
+    """Closed reasoning blocks cut, and what stands before an end mark whose beginning is lost."""
     text = re.sub(r"(?s)<think>.*?</think>", "", text)
-    text = text.rpartition("</think>")[2]
-    start = text.find("{")
-    depth = 0
-    for i in range(max(start, 0), len(text) if start >= 0 else 0):
-        depth += (text[i] == "{") - (text[i] == "}")
-        if depth == 0:
-            return text[start : i + 1], text[i + 1 :]
+    head, mark, rest = text.partition("</think>")
+    return rest if mark else head
+
+
+def objects_in(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the outermost parts in balanced braces, in one pass; braces in strings count."""
+    depth, start = 0, 0
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            start = m.start() if depth == 0 else start
+            depth += 1
+        elif depth:
+            depth -= 1
+            if depth == 0:
+                yield start, m.end()
+
+
+def split_first_object(text: str) -> tuple[str, str]:
+    """JSN-01: the first object whose braces balance, and the rest, after reasoning is cut."""
+    text = without_reasoning(text)
+    for start, end in objects_in(text):
+        return text[start:end], text[end:]
     raise ValueError("no JSON object")
 
 
 def first_object(text: str) -> dict:
     """JSN-02."""
-    found = json.loads(split_first_object(text)[0])
-    if not isinstance(found, dict):
-        raise ValueError("not an object")
-    return found
+    return json.loads(split_first_object(text)[0])
 
 
 def last_object(text: str) -> dict | None:
-    """JSN-03: the last object in a text that parses; each brace is tried from the last, by a decoder that stops where the object ends."""
-    decoder, best, best_end = json.JSONDecoder(), None, -1
-    for m in re.finditer(r"\{", text):
-        if m.start() < best_end:
-            continue
+    """JSN-03: the last of the outermost objects that parses, after reasoning is cut."""
+    text = without_reasoning(text)
+    for start, end in reversed(list(objects_in(text))):
         try:
-            value, end = decoder.raw_decode(text, m.start())
+            return json.loads(text[start:end])
         except (ValueError, RecursionError):
             continue
-        if isinstance(value, dict):
-            best, best_end = value, end
-    return best
+    return None
 
 
 def recommendations(value) -> tuple[list, str | None]:
-    """JSN-04: a list of objects, also as JSON text; else an error to tell."""
+    """JSN-04: a list of objects, also as JSON text; nothing is an empty list; else an error to tell."""
+    if value is None or value == "":
+        return [], None
     if isinstance(value, str):
         try:
             value = json.loads(value)
@@ -102,8 +130,13 @@ def recommendations(value) -> tuple[list, str | None]:
 
 
 def recommendations_or_none(value) -> list:
-    """JSN-05."""
-    return recommendations(value)[0]
+    """JSN-05: the objects of a list, also as JSON text; no error."""
+    if isinstance(value, str):
+        try:
+            value = json.loads(value)
+        except ValueError:
+            return []
+    return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
 
 
 def _level(value) -> int:
@@ -113,99 +146,164 @@ def _level(value) -> int:
         return 0
 
 
-def _truth(value) -> bool:
-    return value if isinstance(value, bool) else str(value).strip().lower() in {"true", "1", "yes", "y", "是"}
+def _truth(value, yes: tuple[str, ...] = ("true", "1", "yes", "y")) -> bool:
+    return value if isinstance(value, bool) else str(value).strip().lower() in yes
+
+
+def _confidence(value) -> str:
+    word = str(value).strip().lower()
+    return word if word in ("high", "medium", "low") else "low"
 
 
 def supply_verdict(text: str, negatives: list[str]) -> dict | None:
-    """JSN-06: from the first brace to the last; null if it does not parse, never nought."""
+    """JSN-06: from the first brace to the last; null if it does not parse or its grade is no whole number. A grade that
+    is missing is nought; violations may also be told in Chinese."""
     m = re.search(r"(?s)\{.*\}", text)
     try:
         data = json.loads(m[0]) if m else None
-    except ValueError:
-        data = None
-    if not isinstance(data, dict) or "positive" not in data:
+        grade = int(data.get("positive", 0)) if isinstance(data, dict) else None
+    except (ValueError, TypeError, OverflowError, RecursionError):
+        return None
+    if grade is None:
         return None
     violations = data.get("violations") if isinstance(data.get("violations"), dict) else {}
-    confidence = str(data.get("confidence", "low")).lower()
     return {
-        "positive": _level(data["positive"]), "violations": {n: _truth(violations.get(n, False)) for n in negatives},
-        "confidence": confidence if confidence in ("high", "medium", "low") else "low", "reason": str(data.get("reason", ""))[:200],
+        "positive": max(0, min(2, grade)), "violations": {n: _truth(violations.get(n, False), ("true", "yes", "是", "1")) for n in negatives},
+        "confidence": _confidence(data.get("confidence", "low")), "reason": str(data.get("reason", ""))[:300],
     }
 
 
 def judge_verdict(text: str) -> dict | None:
-    """JSN-07."""
+    """JSN-07: null if there is no object that parses; a label that is missing or no number is nought."""
     try:
         data = first_object(text)
-    except ValueError:
-        return None
-    if "label" not in data:
+    except (ValueError, RecursionError):
         return None
-    return {"label": _level(data["label"]), "violated": _truth(data.get("violated", False)), "reason": str(data.get("reason", ""))[:200]}
+    return {
+        "relevance_label": _level(data.get("relevance_label", 0)), "constraint_violation": _truth(data.get("constraint_violation", False)),
+        "reason": str(data.get("reason", ""))[:400], "judge_confidence": _confidence(data.get("judge_confidence", "low")),
+    }
 
 
-def trope_verdict(text: str) -> dict | None:
-    """JSN-15: the verdict must be one of three; three quotes of 120 characters at most."""
-    try:
-        data = first_object(text)
-    except ValueError:
-        return None
+def trope_verdict(text: str) -> dict:
+    """JSN-15: one of three verdicts, three quotes of 120 characters at most (a lone one counts), a reason; anything else
+    is an error, since nothing was judged."""
+    data = first_object(text)
     verdict = str(data.get("verdict", "")).strip().lower()
     if verdict not in ("yes", "no", "unclear"):
-        return None
-    quotes = data.get("quotes") if isinstance(data.get("quotes"), list) else []
-    confidence = str(data.get("confidence", "low")).lower()
-    return {"verdict": verdict, "quotes": [str(q)[:120] for q in quotes[:3]], "confidence": confidence if confidence in ("high", "medium", "low") else "low"}
+        raise ValueError(f"no verdict: {verdict!r}")
+    quotes = data.get("quotes") or []
+    quotes = quotes if isinstance(quotes, list) else [quotes]
+    return {"verdict": verdict, "quotes": [str(q)[:120] for q in quotes[:3]], "confidence": _confidence(data.get("confidence", "low")), "reason": str(data.get("reason", ""))[:200]}
 
 
 def element_pairs(raw) -> list[tuple[str, str]]:
-    """JSN-12: (label, quote) pairs of nested maps, lists and scalars."""
+    """JSN-12: (label, quote) pairs of nested maps and lists, whose own names are not labels, and of scalars. A map with
+    ``name`` or ``label`` and a quote is one pair."""
     if isinstance(raw, dict):
         name = raw.get("name") or raw.get("label")
-        if name is not None:
-            return [(str(name).strip(), str(raw.get("quote", "")).strip())]
-        return [p for k, v in raw.items() for p in ([(str(k).strip(), v.strip())] if isinstance(v, str) else element_pairs(v) or [(str(k).strip(), "")])]
+        if isinstance(name, str):
+            return [(name.strip(), str(raw.get("quote") or "").strip())]
+        out = []
+        for k, v in raw.items():
+            out += element_pairs(v) if isinstance(v, (dict, list)) else [(str(k).strip(), str(v or "").strip())]
+        return out
     if isinstance(raw, list):
-        return [p for x in raw for p in element_pairs(x)]
-    return [(str(raw).strip(), "")] if raw not in (None, "", True, False) else []
+        return [p for x in raw for p in element_pairs(x if x is not None else "None")]
+    return [] if raw is None else [(str(raw).strip(), "")]
 
 
-def parse_card(novel_id: str, text: str, vocabulary: Vocabulary, source: str | None = None) -> dict:
-    """JSN-11: a card from model output. What the vocabulary does not know, or the source does not bear out, is dropped
-    with a reason."""
-    data = first_object(text)
+#: What is left out where a quote is compared with its source.
+_MARKS = re.compile(r"""[\s，。！？、：；“”‘’"'（）()《》【】…—\-,.!?:;]+""")
+
+
+def _bare(text: str) -> str:
+    return _MARKS.sub("", text)
+
+
+def _stands_in(quote: str, body: str) -> bool:
+    """TXT-43 on one quote, both without marks: whole, or by any six characters of eight and more; under four, never."""
+    return len(quote) >= 4 and (quote in body or len(quote) >= 8 and any(quote[i : i + 6] in body for i in range(len(quote) - 5)))
+
+
+def _words(value, limit: int, longest: int) -> list[str]:
+    """JSN-14 on one value: stripped, cut, each once in order, so many at most; a scalar is a list of one."""
+    items = [] if value is None else value if isinstance(value, list) else [value]
+    return [x for x in dict.fromkeys(str(i).strip()[:longest] for i in items) if x][:limit]
+
+
+def subgenre_of(raw: str, vocabulary: Vocabulary) -> tuple[str, str]:
+    """JSN-13 on one text: (sub-genre, genre)."""
+    named = lambda x: vocabulary.subgenre_aliases.get(x.strip(_BRACKETS), x.strip(_BRACKETS))
+    whole = named(raw.strip())
+    sign = next((x for x in SEPARATORS if x in whole), None)
+    if sign:
+        left, right = map(named, whole.split(sign, 1))
+        whole = next((x for x in (right, left) if vocabulary.genre_of(x)), left if left in vocabulary.genres else right)
+    genre = vocabulary.genre_of(whole)
+    return (whole, genre) if genre else ("", whole if whole in vocabulary.genres else vocabulary.unknown)
+
+
+def _sorted_claims(claims: list[tuple[str, str]], vocabulary: Vocabulary, body: str | None) -> tuple[dict[str, str], dict[str, None], dict[str, str], list[str]]:
+    """Elements with their quotes, those told without one that holds, style options told as elements, and what goes."""
+    sure: dict[str, str] = {}
+    unsure: dict[str, None] = {}
+    styles: dict[str, str] = {}
     dropped: list[str] = []
-    raw = str(data.get("subgenre", "")).strip()
-    name = re.sub(r"[(（].*$", "", re.sub(r"^[^:：]*[:：]", "", raw)).strip()
-    name = vocabulary.subgenre_aliases.get(name, name)
-    genre = vocabulary.genre_of(name)
-    if genre is None:
-        if raw:
-            dropped.append(f"subgenre:{raw}")
-        genre, name = (raw, "") if raw in vocabulary.genres else ("other", "")
-    bare = lambda s: re.sub(r"[\W_]+", "", s)
-    body = bare(source) if source is not None else None
-    sure: list[str] = []
-    unsure: list[str] = []
-    for label, quote in element_pairs(data.get("elements", [])):
-        label = vocabulary.element_aliases.get(label, label)
-        if label not in vocabulary.elements:
+    shown = _bare(vocabulary.text()) if body is not None else ""
+    for label, quote in claims:
+        name = vocabulary.element_aliases.get(label, label)
+        if label in vocabulary.styles:
+            styles[label] = quote
+        elif label in vocabulary.element_styles:
+            styles.setdefault(*vocabulary.element_styles[label])
+        elif name not in vocabulary.elements:
             dropped.append(f"element:{label}")
-            continue
-        q = bare(quote)
-        held = body is None or len(q) >= 4 and (q in body or len(q) >= 8 and any(q[i : i + 6] in body for i in range(len(q) - 5)))
-        target = sure if held else unsure
-        if label not in sure and label not in unsure:
-            target.append(label)
-    style = {}
-    for dim, option in (data.get("style") or {}).items() if isinstance(data.get("style"), dict) else ():
-        if option in vocabulary.styles.get(dim, ()):
-            style[dim] = option
+        elif body is None or _stands_in(q := _bare(quote), body):
+            sure[name] = sure.get(name) or quote[:40]
         else:
+            # A definition given back as a quote is a claim without a place; any other quote is nothing.
+            copied = bool(q) and q in shown
+            dropped.append(f"{'element_definition' if copied else 'element_unsupported'}:{name}={quote[:40]}")
+            if copied:
+                unsure[name] = None
+    return sure, unsure, styles, dropped
+
+
+def parse_card(novel_id: str, text: str, vocabulary: Vocabulary, source: str | None = None, model: str = "") -> dict:
+    """JSN-11: a card from model output. What the vocabulary does not know, or the source does not bear out, is dropped
+    with a reason; style options that stand among the elements are put where they belong."""
+    data = first_object(text)
+    body = _bare(source) if source is not None else None
+    raw = str(data.get("subgenre") or "").strip()
+    subgenre, genre = subgenre_of(raw, vocabulary)
+    dropped = [] if subgenre or not raw else [f"{'subgenre' if genre == vocabulary.unknown else 'subgenre_missing'}:{raw}"]
+    sure, unsure, told, gone = _sorted_claims(element_pairs(data.get("elements")), vocabulary, body)
+    dropped += gone
+    evidence = {k: q for k, q in sure.items() if q}
+    if place := str(data.get("subgenre_evidence") or "").strip():
+        evidence["subgenre"] = place[:40]
+        if body is not None and not _stands_in(_bare(place), body):
+            dropped.append("subgenre_evidence_unsupported")
+    given = data.get("style") if isinstance(data.get("style"), dict) else {}
+    style = {}
+    for dim, options in vocabulary.styles.items():
+        option = str(given.get(dim) or told.get(dim) or "").strip()
+        if option and option not in options:
             dropped.append(f"style:{dim}={option}")
-    keywords = list(dict.fromkeys(str(k).strip()[:40] for k in data.get("keywords", []) if str(k).strip()))[:5] if isinstance(data.get("keywords"), list) else []
-    return {"novel_id": novel_id, "genre": genre, "subgenre": name, "elements": sure, "elements_unverified": unsure, "style": style, "keywords": keywords, "dropped": dropped}
+            option = ""
+        style[dim] = option
+    taken = {*sure, *unsure, subgenre, genre}
+    free = [k for k in _words(data.get("keywords"), 20, 20) if k not in taken and vocabulary.element_aliases.get(k, k) not in taken]
+    line = lambda key, most: str(data.get(key) or "")[:most]
+    return {
+        "novel_id": novel_id, "genre": genre, "subgenre": subgenre, "elements": list(sure), "elements_unverified": [e for e in unsure if e not in sure], "style": style,
+        "protagonist": line("protagonist", 40), "setting": line("setting", 40), "tone": line("tone", 30), "one_liner": line("one_liner", 80),
+        "keywords": free[:5], "dropped": dropped, "evidence": evidence, "model": model,
+    }
 
 
-CARD_SCHEMA = "novel_id string, genre string, subgenre string, elements array<string>, elements_unverified array<string>, style map<string,string>, keywords array<string>, dropped array<string>"
+CARD_SCHEMA = (
+    "novel_id string, genre string, subgenre string, elements array<string>, elements_unverified array<string>, style map<string,string>, protagonist string,"
+    " setting string, tone string, one_liner string, keywords array<string>, dropped array<string>, evidence map<string,string>, model string"
+)

@@ -38,7 +38,9 @@ def compact_whitespace(c: str | Column) -> Column:
 
 
 def lines_of(c: str | Column) -> Column:
-    return F.split(col(c), r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]")
+    """Lines without their ends; an end at the end of the text begins no line."""
+    parts = F.split(col(c), r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]")
+    return F.transform(F.array(parts), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))[0]
 
 
 def remove_ad_lines(c: str | Column, lex: Lexicon = _ZH) -> Column:
@@ -48,7 +50,7 @@ def remove_ad_lines(c: str | Column, lex: Lexicon = _ZH) -> Column:
 
 def is_boilerplate_line(c: str | Column, lex: Lexicon = _ZH, inner: bool = False) -> Column:
     """TXT-03: does a line carry the source's mark? Inside a text a narrower pattern holds."""
-    return col(c).rlike(lex.boilerplate_inner if inner else lex.boilerplate_edge)
+    return strip(c).rlike(lex.boilerplate_inner if inner else lex.boilerplate_edge)
 
 
 def is_ruler(c: str | Column, lex: Lexicon = _ZH) -> Column:
@@ -57,7 +59,8 @@ def is_ruler(c: str | Column, lex: Lexicon = _ZH) -> Column:
 
 
 def remove_boilerplate(c: str | Column, lex: Lexicon = _ZH) -> Column:
-    """TXT-05: ``struct<text, detected, removed>``. Near the ends the wide pattern holds and takes neighbouring rulers along."""
+    """TXT-05: ``struct<text, detected, removed>``. Near the ends the wide pattern holds and takes neighbouring rulers along.
+    A text of which nothing goes stays as it is."""
 
     def cut(lines: Column) -> Column:
         n = F.size(lines)
@@ -70,7 +73,8 @@ def remove_boilerplate(c: str | Column, lex: Lexicon = _ZH) -> Column:
                 return one(i - 1) | one(i + 1)
 
             kept = F.filter(lines, lambda x, i: ~(F.get(hit, i) | (is_ruler(x, lex) & beside(i))))
-            return F.transform(F.array(kept), lambda k: F.struct(F.array_join(k, "\n").alias("text"), F.exists(hit, lambda h: h).alias("detected"), (n - F.size(k)).alias("removed")))[0]
+            whole = lambda k: F.when(F.size(k) == n, col(c)).otherwise(F.array_join(k, "\n"))
+            return F.transform(F.array(kept), lambda k: F.struct(whole(k).alias("text"), F.exists(hit, lambda h: h).alias("detected"), (n - F.size(k)).alias("removed")))[0]
 
         return F.transform(F.array(marked), choose)[0]
 
@@ -88,20 +92,31 @@ def clean_text(c: str | Column, lex: Lexicon = _ZH) -> Column:
     return F.transform(F.array(done), lambda d: F.struct(normalize_whitespace(remove_ad_lines(d["text"], lex)).alias("text"), d["detected"].alias("detected"), d["removed"].alias("removed")))[0]
 
 
+# What goes from a file's stem, in this order; then how an author is told in it.
+STEM_NOISE = (
+    r"(?iU)\s*作者[:：]\s*[^_()\[\]【】《》]+", r"(?iU)\s*by\s+[^_()\[\]【】《》]+", r"(?iU)\s*(校对版|精校版|实体版)?\s*(完本|全本|全文)(\+番外)?", r"(?iU)\s*txt$",
+    r"(?U)\(\s*\)", r"(?U)（\s*）", r"[【\[]?(校对版|精校版|实体版)[】\]]?", r"(?U)[（(]\s*[)）]",
+)
+AUTHOR_MARKS = (r"(?U)作者[:：]\s*([^_()\[\]【】《》]+)", r"(?iU)\bby\s+([^_()\[\]【】《》]+)")
+
+
 def title_from_stem(c: str | Column) -> Column:
-    """TXT-08: author, edition and format notes off a file's stem; the stem itself if nothing is left."""
+    """TXT-08: author, edition and format notes off a file's stem, blanks shortened, ends stripped of blanks, dashes and
+    underscores; the stem itself if nothing is left."""
     t = strip(c)
-    for p in (r"(?i)\s*作者[:：]\s*[^_()\[\]【】《》]+", r"(?i)\s*by\s+[^_()\[\]【】《》]+", r"(?i)\s*(?:校对版|精校版|实体版)?\s*(?:完本|全本|全文)(?:\+番外)?", r"(?i)\s*txt$", r"\(\s*\)", r"（\s*）"):
+    for p in STEM_NOISE:
         t = F.regexp_replace(t, p, "")
-    t = F.regexp_replace(strip(t), r"^[《【\[_\-\s]+|[》】\]_\-\s]+$", "")
-    return F.coalesce(F.nullif(strip(t), F.lit("")), col(c))
+    t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), r"^[ _-]+|[ _-]+$", "")
+    return F.when(t != "", t).otherwise(strip(c))
 
 
 def author_of(c: str | Column) -> Column:
-    """TXT-09."""
-    first = F.regexp_extract(col(c), r"作者[:：]\s*([^_()\[\]【】《》]+)", 1)
-    second = F.regexp_extract(col(c), r"(?i)\bby\s+([^_()\[\]【】《》]+)", 1)
-    return F.coalesce(F.nullif(strip(first), F.lit("")), F.nullif(strip(second), F.lit("")))
+    """TXT-09: by the first of the marks that a stem has, without blanks, dashes and brackets around it; null if none is left."""
+    peeled = lambda x: F.nullif(F.regexp_replace(x, r"^[ _（）()\[\]【】《》-]+|[ _（）()\[\]【】《》-]+$", ""), F.lit(""))
+    out = F.lit(None).cast("string")
+    for p in reversed(AUTHOR_MARKS):
+        out = F.when(col(c).rlike(p), peeled(F.regexp_extract(col(c), p, 1))).otherwise(out)
+    return out
 
 
 def chapter_count(c: str | Column, lex: Lexicon = _ZH) -> Column:
@@ -110,13 +125,17 @@ def chapter_count(c: str | Column, lex: Lexicon = _ZH) -> Column:
     return F.size(F.array_distinct(F.concat(*found))).cast("long")
 
 
-def sample_text(c: str | Column, total: int = 4500, marker: str = "\n...\n") -> Column:
-    """TXT-12: beginning, middle and end of a long text."""
+def sample_text(c: str | Column, total: int = 4500, marker: str = "\n\n[...]\n\n") -> Column:
+    """TXT-12: beginning, middle and end of a long text, white space shortened first; blank parts go."""
     part = max(800, total // 3)
-    t = col(c)
-    n = F.char_length(t)
-    middle = F.greatest(F.floor(n / 2).cast("int") - part // 2, F.lit(0))
-    return F.when(n <= total, t).otherwise(F.concat(F.substring(t, 1, part), F.lit(marker), F.substring(t, middle + 1, F.lit(part)), F.lit(marker), F.right(t, F.lit(part))))
+
+    def cut(t: Column) -> Column:
+        n = F.char_length(t)
+        middle = F.greatest(F.floor(n / 2).cast("int") - part // 2, F.lit(0))
+        parts = [strip(F.substring(t, 1, part)), strip(F.substring(t, middle + 1, F.lit(part))), strip(F.right(t, F.lit(part)))]
+        return F.when(n <= total, t).otherwise(F.concat_ws(marker, *[F.nullif(p, F.lit("")) for p in parts]))
+
+    return F.transform(F.array(compact_whitespace(c)), cut)[0]
 
 
 def chapter_titles(c: str | Column, lex: Lexicon = _ZH) -> Column:
@@ -125,13 +144,13 @@ def chapter_titles(c: str | Column, lex: Lexicon = _ZH) -> Column:
 
 
 def trim_to_sentence(c: str | Column, limit: int | Column, lex: Lexicon = _ZH) -> Column:
-    """TXT-16: cut at the last sentence end in the second half of the window, else hard."""
+    """TXT-16: stripped, and cut at the last sentence end in the second half of the window, else hard."""
     n = F.lit(limit) if isinstance(limit, int) else limit
-    t = col(c)
+    t = strip(c)
     window = F.substring(t, F.lit(1), n)
     ends = "".join(f"\\{x}" if x.isascii() else x for x in lex.sentence_ends)
     best = F.regexp_extract(window, f"(?s)^(.*[{ends}])", 1)
-    return F.when(F.char_length(t) <= n, t).when(F.char_length(best) >= F.floor(n / 2) + 2, best).otherwise(window)
+    return F.when(F.char_length(t) <= n, t).when(F.char_length(best) >= F.floor(n / 2) + 2, best).otherwise(strip(window))
 
 
 def blurb(c: str | Column, limit: int = 800, window: int = 6000, lex: Lexicon = _ZH) -> Column:
@@ -144,15 +163,15 @@ def blurb(c: str | Column, limit: int = 800, window: int = 6000, lex: Lexicon =
 
 
 def window_slice(c: str | Column, start: Column, size: int) -> Column:
-    """TXT-18: a slice moved inside the text."""
+    """TXT-18: a slice that begins inside the text, at its last character at the latest."""
     t = col(c)
-    at = F.greatest(F.lit(0), F.least(start, F.char_length(t) - size))
+    at = F.greatest(F.lit(0), F.least(start, F.char_length(t) - 1))
     return strip(F.substring(t, at.cast("int") + 1, F.lit(size)))
 
 
 def ending_status(c: str | Column, tail: int = 3000, lex: Lexicon = _ZH) -> Column:
-    """TXT-19."""
-    return F.when(F.right(col(c), F.lit(tail)).rlike(lex.finished), "finished").otherwise("unknown")
+    """TXT-19: the vocabulary's word for a text that ends with a mark of its end, or for one that doesn't."""
+    return F.when(F.right(col(c), F.lit(tail)).rlike(lex.finished), lex.endings[0]).otherwise(lex.endings[1])
 
 
 def occurrences(c: str | Column, term: str | Column) -> Column:
@@ -173,30 +192,37 @@ def merged_density(c: str | Column, forms: tuple[str, ...]) -> Column:
 
 def normalize_title(c: str | Column) -> Column:
     """TXT-22."""
-    return F.lower(F.regexp_replace(col(c), r"[《》【】\[\]()（）\s_-]", ""))
+    return F.lower(F.regexp_replace(col(c), r"(?U)[《》〈〉「」『』\[\]【】\s_\-]+", ""))
 
 
 def title_key(c: str | Column) -> Column:
     """TXT-23."""
-    return F.regexp_replace(col(c), r"(?U)[\s《》]", "")
+    return F.regexp_replace(col(c), r"(?U)[\s《》〈〉<>「」『』]", "")
 
 
 def peel_title(c: str | Column) -> Column:
     """TXT-24."""
-    return strip(F.regexp_replace(strip(c), r"^[《【\[「『]+|[》】\]」』]+$", ""))
+    return strip(F.regexp_replace(strip(c), r"^[《》〈〉<>]+|[《》〈〉<>]+$", ""))
 
 
 def heading_of(c: str | Column) -> Column:
     """TXT-27: the first line, 60 characters at most."""
-    return F.substring(F.split(strip(c), "\n")[0], 1, 60)
+    return F.substring(strip(F.substring_index(strip(c), "\n", 1)), 1, 60)
+
 
+# The lines under which a profile's synopsis and excerpts stand, and its author's line.
+BLURB_MARK, EXCERPTS_MARK, AUTHOR_LINE = "\n内容简介：\n", "\n正文节选：\n", "作者："
 
-def synopsis_preview(profile: str | Column, limit: int = 300, marker: str = "简介") -> Column:
+
+def synopsis_preview(profile: str | Column, limit: int = 300, marker: str = BLURB_MARK, end: str = EXCERPTS_MARK, author: str = AUTHOR_LINE) -> Column:
     """TXT-28: author line and synopsis body, cut; the raw head without a marker."""
-    t = col(profile)
-    author = F.regexp_extract(t, r"(?m)^(作者[:：].*)$", 1)
-    body = strip(F.regexp_extract(t, f"(?s){marker}[:：]?\\s*(.*)$", 1))
-    return F.when(t.contains(marker), F.substring(strip(F.concat_ws("\n", F.nullif(author, F.lit("")), body)), 1, limit)).otherwise(F.substring(t, 1, limit))
+    t = strip(profile)
+    at = F.instr(t, F.lit(marker))
+    head = F.substring(t, F.lit(1), at - 1)
+    line = F.get(F.filter(F.split(head, "\n"), lambda x: x.startswith(author)), F.lit(0))
+    rest = F.substring(t, at + len(marker), F.char_length(t))
+    body = strip(F.substring_index(rest, end, 1)) if end else strip(rest)
+    return F.when(at == 0, F.substring(t, 1, limit)).otherwise(F.substring(F.concat_ws("\n", line, body), 1, limit))
 
 
 def truncate(c: str | Column, limit: int, marker: str = "…[截断]") -> Column:
@@ -261,14 +287,16 @@ def negative_clauses(c: str | Column, lex: Lexicon = _ZH) -> Column:
     return F.filter(F.split(col(c), lex.clause_ends), lambda x: x.rlike(any_of(lex.clause_markers)))
 
 
-def required_negatives(message: str | Column, lex: Lexicon = _ZH) -> Column:
-    """TXT-37: in-text terms named in negative clauses; outside labels are blanked first, so a longer one hides a shorter."""
+def required_negatives(message: str | Column, lex: Lexicon = _ZH, memory: str | Column | None = None) -> Column:
+    """TXT-37: in-text terms named in negative clauses, among the query's negative terms, and in the remembered ones (an
+    array); outside labels are blanked first, so a longer one hides a shorter."""
     labels = sorted(lex.meta_labels, key=len, reverse=True)
-    text = F.regexp_replace(F.array_join(negative_clauses(message, lex), "\n"), any_of(labels), " ")
+    sources = F.concat(parse_query(message, lex)["negative"], negative_clauses(message, lex), *([] if memory is None else [F.coalesce(col(memory), F.array().cast("array<string>"))]))
+    text = F.regexp_replace(F.array_join(sources, "\n"), any_of(labels), " ")
     return F.filter(F.array(*map(F.lit, lex.term_forms)), lambda t: F.contains(text, t))
 
 
-def bigrams(c: str | Column, keep: str = r"[^\p{IsHan}]") -> Column:
+def bigrams(c: str | Column, keep: str = r"[^\x{4e00}-\x{9fff}]") -> Column:
     """TXT-38: distinct pairs of neighbouring characters, after all but the kept ones are dropped."""
     t = F.regexp_replace(col(c), keep, "")
     pairs = lambda x: F.when(F.size(x) < 2, F.array().cast("array<string>")).otherwise(
@@ -277,9 +305,9 @@ def bigrams(c: str | Column, keep: str = r"[^\p{IsHan}]") -> Column:
     return F.transform(F.array(F.split(t, "")), pairs)[0]
 
 
-def quoted_line(c: str | Column) -> Column:
-    """TXT-39."""
-    return F.nullif(F.regexp_extract(col(c), "[「『“\"]([^」』”\"]{6,})[」』”\"]", 1), F.lit(""))
+def quoted_line(c: str | Column, marks: str = "「」") -> Column:
+    """TXT-39: the first quote of six characters and more; null without one."""
+    return F.nullif(strip(F.regexp_extract(col(c), f"{marks[0]}([^{marks[1]}]{{6,}}){marks[1]}", 1)), F.lit(""))
 
 
 def squash(c: str | Column) -> Column:
@@ -287,43 +315,42 @@ def squash(c: str | Column) -> Column:
     return F.regexp_replace(col(c), r"(?U)\s+", "")
 
 
-def bare(c: str | Column) -> Column:
+# What is left out where a quote is compared with its source.
+QUOTE_MARKS = r"""(?U)[\s，。！？、：；“”‘’"'（）()《》【】…—\-,.!?:;]+"""
+
+
+def bare(c: str | Column, marks: str = QUOTE_MARKS) -> Column:
     """TXT-42: without white space and punctuation."""
-    return F.regexp_replace(col(c), r"(?U)[\s\p{P}\p{S}]+", "")
+    return F.regexp_replace(col(c), marks, "")
 
 
-def quote_supported(quote: str | Column, source: str | Column, window: int = 6) -> Column:
+def quote_supported(quote: str | Column, source: str | Column, window: int = 6, marks: str = QUOTE_MARKS) -> Column:
     """TXT-43: a quote stands in the source; from 8 characters on, any window of it does; under 4, never."""
-    q, s = bare(quote), bare(source)
+    q, s = bare(quote, marks), bare(source, marks)
     n = F.char_length(q)
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: F.substring(q, i, F.lit(window)))
     return F.when(n < 4, False).when(F.contains(s, q), True).when(n >= 8, F.exists(pieces, lambda p: F.contains(s, p))).otherwise(False)
 
 
 def numeral(c: str | Column) -> Column:
-    """TXT-25: a Chinese numeral as a number; a bare ten is ten; null for any other character."""
-    digits = F.create_map(*[F.lit(x) for i, d in enumerate("零一二三四五六七八九") for x in (d, i)], F.lit("〇"), F.lit(0), F.lit("两"), F.lit(2))
-    units = F.create_map(*[F.lit(x) for u, v in (("十", 10), ("百", 100), ("千", 1000), ("万", 10000)) for x in (u, v)])
-    pack = lambda total, section, digit, ok: F.struct(total.alias("total"), section.alias("section"), digit.alias("digit"), ok.alias("ok"))
+    """TXT-25: a Chinese numeral below ten thousand as a number; a bare ten is ten; null for any other character."""
+    values = [*enumerate("零一二三四五六七八九"), (0, "〇"), (2, "两"), (10, "十"), (100, "百"), (1000, "千")]
+    worth = F.create_map(*[F.lit(x) for v, d in values for x in (d, v)])
+    pack = lambda total, digit, ok: F.struct(total.alias("total"), digit.alias("digit"), ok.alias("ok"))
     zero = F.lit(0)
 
-    def step(s: Column, x: Column) -> Column:
-        d, u = F.element_at(digits, x), F.element_at(units, x)
-        grown = s["section"] + F.when((s["digit"] == 0) & (u == 10) & (s["section"] == 0), 1).otherwise(s["digit"]) * u
-        return (
-            F.when(d.isNotNull(), pack(s["total"], s["section"], d, s["ok"]))
-            .when(u == 10000, pack(s["total"] + (s["section"] + s["digit"]) * u, zero, zero, s["ok"]))
-            .when(u.isNotNull(), pack(s["total"], grown, zero, s["ok"]))
-            .otherwise(pack(s["total"], s["section"], s["digit"], F.lit(False)))
-        )
+    def step(s: Column, v: Column) -> Column:
+        grown = s["total"] + F.greatest(s["digit"], F.lit(1)) * v
+        return F.when(v.isNull(), pack(s["total"], s["digit"], F.lit(False))).when(v < 10, pack(s["total"], v, s["ok"])).otherwise(pack(grown, zero, s["ok"]))
 
-    end = F.aggregate(F.split(col(c), ""), pack(zero, zero, zero, F.char_length(col(c)) > 0), step)
-    return F.transform(F.array(end), lambda e: F.when(e["ok"], e["total"] + e["section"] + e["digit"]))[0]
+    known = F.transform(F.filter(F.split(col(c), ""), lambda x: x != ""), lambda x: F.element_at(worth, x))
+    return F.aggregate(known, pack(zero, zero, F.lit(True)), step, lambda e: F.when(e["ok"], e["total"] + e["digit"]))
 
 
 def chapter_number(c: str | Column) -> Column:
-    """TXT-26: the number in a heading, in digits of either width or as a numeral."""
-    mark = F.regexp_extract(F.translate(col(c), "０１２３４５６７８９", "0123456789"), r"第\s*([一二三四五六七八九十百千万零〇两\d]+)\s*[章节回集卷部篇]", 1)
+    """TXT-26: the number at the beginning of a heading, in digits of either width or as a numeral; null without one."""
+    mark = F.regexp_extract(strip(c), r"^第([0-9０-９一二三四五六七八九十百千零〇两]+)[章回节]", 1)
+    mark = F.translate(F.nullif(mark, F.lit("")), "０１２３４５６７８９", "0123456789")
     return F.coalesce(mark.try_cast("int"), numeral(mark))
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import ELEMENT_ALIASES, ELEMENTS, GENRE_TREE, STYLES, SUBGENRE_ALIASES, Lexicon
+from ..functions.lexicon import ELEMENT_ALIASES, ELEMENT_GROUPS, ELEMENT_TO_STYLE, ELEMENTS, GENRE_TREE, STYLE_NOTES, STYLES, SUBGENRE_ALIASES, SUBGENRE_NOTES, TROPE_RULES, Lexicon
 
 VIOLATION_DENSITY = 3.0
 CLEAN_DENSITY = 1.0
@@ -60,6 +60,20 @@ class Vocabulary:
     styles: dict[str, tuple[str, ...]] = field(default_factory=lambda: STYLES)
     subgenre_aliases: dict[str, str] = field(default_factory=lambda: SUBGENRE_ALIASES)
     element_aliases: dict[str, str] = field(default_factory=lambda: ELEMENT_ALIASES)
+    element_styles: dict[str, tuple[str, str]] = field(default_factory=lambda: ELEMENT_TO_STYLE)
+    element_groups: dict[str, dict[str, str]] = field(default_factory=lambda: ELEMENT_GROUPS)
+    subgenre_notes: dict[str, str] = field(default_factory=lambda: SUBGENRE_NOTES)
+    style_notes: dict[str, str] = field(default_factory=lambda: STYLE_NOTES)
+    unknown: str = "其他"
+
+    def text(self) -> str:
+        """TXT-44: the vocabulary as a model is shown it (headings are fixed values)."""
+        defined = lambda table: [f"- {k}：{v}" for k, v in table.items()]
+        subs = [f"{g}：{'、'.join(s)}" for g, s in self.genres.items()]
+        parts = [["【题材二级，只能选一个；每行冒号前是一级，不要填一级】", *subs, "容易混的二级怎么分：", *defined(self.subgenre_notes)]]
+        parts.append(["【元素，多选，只列出有的；每条后面是算有的依据】", *[line for name, group in self.element_groups.items() for line in (f"{name}：", *defined(group))]])
+        parts.append(["【风格，每项只能选一档】", *[f"- {dim}：{' / '.join(o)}（{self.style_notes.get(dim, '')}）" for dim, o in self.styles.items()]])
+        return "\n\n".join("\n".join(p) for p in parts)
 
     def genre_of(self, subgenre: str) -> str | None:
         """JSN-19."""
@@ -161,31 +175,39 @@ def query_targets(terms: str | Column, vocabulary: Vocabulary) -> Column:
     return F.struct(F.array_distinct(named(vocabulary.genres)).alias("genres"), sub.alias("subgenres"), ele.alias("elements"))
 
 
-def card_verdict(trope: str, rules: dict[str, dict]) -> Column:
+def card_verdict(trope: str, rules: dict[str, dict] | None = None, unknown: str = "其他") -> Column:
     """FLT-28: what a card says of a trope: ``struct<verdict, source>``, null where it is silent.
 
-    A rule may name an element, sub-genre, genre, and a style dimension with an option, in this order of weight. An
-    absent element proves nothing; another option of the dimension proves the contrary.
+    A rule may name elements, sub-genres, genres, options of a style scale, and a scale of which only the ends decide,
+    in this order of weight; a single name may stand for a list of one. An absent element proves nothing; another genre
+    proves the contrary unless a scale is named too, and so does another option of the scale.
     """
-    rule = rules.get(trope, {})
+    rule = (TROPE_RULES if rules is None else rules).get(trope, {})
+    many = lambda key: (lambda v: [v] if isinstance(v, str) else list(v))(rule.get(f"{key}s", rule.get(key, ())))
     say = lambda v, s: F.struct(F.lit(v).alias("verdict"), F.lit(s).alias("source"))
     out = F.when(F.lit(False), say("", ""))
-    if "element" in rule:
-        out = out.when(F.array_contains("elements", rule["element"]), say("yes", "element"))
-    if "subgenre" in rule:
-        out = out.when(F.col("subgenre") == rule["subgenre"], say("yes", "subgenre"))
-    if "genre" in rule:
-        out = out.when(F.col("genre") == rule["genre"], say("yes", "genre"))
+    if elements := many("element"):
+        out = out.when(F.arrays_overlap("elements", F.array(*map(F.lit, elements))), say("yes", "element"))
+    if subgenres := many("subgenre"):
+        out = out.when(F.col("subgenre").isin(*subgenres), say("yes", "subgenre"))
+    if genres := many("genre"):
+        out = out.when(F.col("genre").isin(*genres), say("yes", "genre"))
+        if "style" not in rule and "genres" in rule:
+            out = out.when((F.col("genre") != "") & (F.col("genre") != unknown), say("no", "genre"))
     if "style" in rule:
-        dim, option = rule["style"]
+        dim, options = rule["style"]
         at = F.element_at("style", F.lit(dim))
-        out = out.when(at == option, say("yes", "style")).when(at.isNotNull(), say("no", "style"))
+        out = out.when(at.isin(*([options] if isinstance(options, str) else options)), say("yes", "style")).when(at != "", say("no", "style"))
+    if "scale" in rule:
+        dim, yes, no = rule["scale"]
+        at = F.element_at("style", F.lit(dim))
+        out = out.when(at == yes, say("yes", "style")).when(at == no, say("no", "style"))
     return out
 
 
 def vocabulary_report(cards: DataFrame, top: int = 50) -> DataFrame:
     """AGG-14: how often each value of each field occurs, the most frequent first."""
-    style = cards.select(F.explode("style").alias("dim", "option")).select(F.lit("style").alias("field"), F.concat_ws("=", "dim", "option").alias("value"))
+    style = cards.select(F.explode("style").alias("dim", "option")).where("option <> ''").select(F.lit("style").alias("field"), F.concat_ws("=", "dim", "option").alias("value"))
     rows = (
         cards.select(F.lit("genre").alias("field"), F.col("genre").alias("value"))
         .unionByName(cards.select(F.lit("subgenre").alias("field"), F.col("subgenre").alias("value")))

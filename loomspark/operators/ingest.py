@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def mark_content_duplicates(inventory: DataFrame) -> DataFrame:
     """WIN-02: the first readable row of a fingerprint, in path order, is the canonical one.
@@ -21,7 +23,8 @@ def mark_content_duplicates(inventory: DataFrame) -> DataFrame:
 
 def near_duplicates(marked: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """WIN-03: rows of one title and author whose lengths differ little from the longest: ``(novel_id, near_duplicate_of)``."""
-    ok = marked.where((F.col("read_status") == "ok") & ~F.col("is_duplicate") & (F.coalesce("author_guess", F.lit("")) != "") & (F.coalesce("title_guess", F.lit("")) != ""))
+    named = marked.withColumns({"title_guess": X.strip("title_guess"), "author_guess": X.strip("author_guess")})
+    ok = named.where((F.col("read_status") == "ok") & ~F.col("is_duplicate") & (F.coalesce("author_guess", F.lit("")) != "") & (F.coalesce("title_guess", F.lit("")) != ""))
     key = ["title_guess", "author_guess"]
     best = ok.groupBy(*key).agg(F.min_by(F.struct("novel_id", "char_count"), F.struct((-F.col("char_count")).alias("n"), "relative_path", "novel_id")).alias("best"))
     near = ok.join(best, key).where((F.col("novel_id") != F.col("best.novel_id")) & (F.col("best.char_count") > 0) & ((F.col("best.char_count") - F.col("char_count")) / F.col("best.char_count") <= tolerance))
@@ -29,12 +32,12 @@ def near_duplicates(marked: DataFrame, tolerance: float = 0.05) -> DataFrame:
 
 
 def duplicate_report(marked: DataFrame, near: DataFrame) -> DataFrame:
-    """AGG-17: exact and near duplicates, groups, and titles that several kept rows share."""
+    """AGG-17: exact and near duplicates, the rows they repeat, and by how many kept rows outnumber their titles."""
     joined = marked.join(near, "novel_id", "left")
-    free = joined.where(~F.col("is_duplicate") & F.col("near_duplicate_of").isNull())
-    shared = free.groupBy("title_guess").count().where("count > 1").agg(F.count("*").alias("title_collisions"))
+    free = joined.where((F.col("read_status") == "ok") & ~F.col("is_duplicate") & F.col("near_duplicate_of").isNull())
+    shared = free.groupBy("title_guess").count().agg(F.coalesce(F.sum("count") - F.count("*"), F.lit(0)).alias("title_collisions"))
     counts = joined.agg(
-        F.count("*").alias("rows"), F.count_if("is_duplicate").alias("exact"), F.count_if(F.col("near_duplicate_of").isNotNull()).alias("near"), F.count_distinct("duplicate_of").alias("groups")
+        F.count("*").alias("rows"), F.count_if("is_duplicate").alias("exact"), F.count_if(F.col("near_duplicate_of").isNotNull()).alias("near"), F.count_distinct(F.coalesce("near_duplicate_of", "duplicate_of")).alias("groups")
     )
     return counts.crossJoin(shared)  # one row by one row
 

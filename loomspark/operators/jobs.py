@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.hashing import calibration_sample
 from ..functions.lexicon import Lexicon
 from ..sources import tables as ST
@@ -20,24 +21,24 @@ from . import vectors as V
 
 
 def excerpts(text: str, lex: Lexicon, samples: int = 10, size: int = 600) -> list[str]:
-    """ARR-13: an excerpt with its title of each sampled chapter; without chapters, of each window."""
+    """ARR-13: an excerpt with its title of each sampled chapter; of windows where chapters are too few or give none."""
     chapters = D.split_chapters(text, lex)
     usable = D.substantive(chapters)
-    if len(usable) < 3:
-        return D.window_excerpts(text, D.fractions(samples), size, lex.sentence_ends)
-    picks = [usable[i] for i in D.profile_indices(len(usable), samples)]
-    return [D.trim(f"{chapters[i][1]}\n{chapters[i][2]}", size, lex.sentence_ends) for i in picks]
+    picked = [chapters[usable[i]] for i in D.profile_indices(len(usable), samples)] if len(usable) >= 3 else []
+    bodies = [(title.strip(), D.trim(body, size, lex.sentence_ends)) for _, title, body in picked]
+    return [f"{t}\n{b}" if t else b for t, b in bodies if b] or D.window_excerpts(text, D.fractions(samples), size, lex.sentence_ends)
 
 
 def build_profiles(inventory: DataFrame, texts: DataFrame, lex: Lexicon, limit: int = 8000) -> DataFrame:
-    """SRC-20, SRC-21, SRC-29: profiles of readable books that are no duplicates."""
-    rows = inventory.where("read_status = 'ok' and not is_duplicate").select("novel_id", "title_guess", F.coalesce("author_guess", F.lit("")).alias("author"), "char_count").join(texts, "novel_id")
+    """SRC-20, SRC-21, SRC-29: profiles of readable books that are no duplicates, from their cleaned texts, with synopsis."""
+    rows = inventory.where("read_status = 'ok' and not is_duplicate").select("novel_id", "title_guess", F.coalesce("author_guess", F.lit("")).alias("author"), "char_count")
+    cleaned = rows.join(texts.select("novel_id", X.clean_text("text", lex)["text"].alias("text")), "novel_id")
 
     def fn(k, t):
         if t.strip():
-            yield (D.make_profile(k[1], k[2], k[3], len(D.split_chapters(t, lex)), "", excerpts(t, lex), limit),)
+            yield (D.make_profile(k[1], k[2], len(t), len(D.split_chapters(t, lex)), D.blurb_of(t, 800, lex), excerpts(t, lex), limit, lex.sentence_ends),)
 
-    return D.over_texts(rows, ["novel_id", "title_guess", "author", "char_count"], "text", fn, "profile_text string").drop("author")
+    return D.over_texts(cleaned, ["novel_id", "title_guess", "author", "char_count"], "text", fn, "profile_text string").drop("author")
 
 
 def build_index(sections: DataFrame, path: str, overwrite: bool = False, most_single: float = 0.5) -> DataFrame:

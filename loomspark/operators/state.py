@@ -23,12 +23,12 @@ def merge_latest(current: DataFrame | None, batch: DataFrame, keys: list[str], o
 
 
 def memory_latest(log: DataFrame) -> DataFrame:
-    """STR-12, STR-13: memory after all writes: the last write of (owner, kind, value) counts, ``forget`` deletes, and an
-    entry once written to persist stays so until it is forgotten."""
+    """STR-12, STR-13: memory after all writes: the last write of (owner, kind, value) counts, and says whether the entry
+    persists; ``forget`` deletes."""
     key = ["owner", "kind", "value"]
     gone = log.where("action = 'forget'").groupBy(*key).agg(F.max("seq").alias("gone"))
     alive = log.where("action = 'write'").join(gone, key, "left").where(F.col("gone").isNull() | (F.col("seq") > F.col("gone")))
-    return alive.groupBy(*key).agg(F.max("seq").alias("seq"), F.bool_or("persistent").alias("persistent"))
+    return alive.groupBy(*key).agg(F.max("seq").alias("seq"), F.max_by("persistent", "seq").alias("persistent"))
 
 
 def persistent_only(memory: DataFrame, kinds: list[str]) -> DataFrame:

@@ -51,28 +51,38 @@ def judged(rows: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(verdicts, keys, "left")
 
 
-def judged_metrics(rows: DataFrame, verdicts: DataFrame, k: int) -> DataFrame:
-    """JON-08, AGG-27: by configuration, the mean over queries of the share of usable rows among judged ones, and coverage."""
+def judged_metrics(rows: DataFrame, verdicts: DataFrame, k: int, needed: int = 3) -> DataFrame:
+    """JON-08, AGG-27: by configuration, means over its judged queries: the share of wanted rows among judged ones, whether
+    enough of them are usable, that is wanted and without a violation; and how many rows were judged. A configuration
+    without a judged query is absent."""
+    p = F.col("positive")
     j = judged(top_k(rows, k), verdicts, ["query_id", "novel_id"])
-    j = j.withColumns({"strict": candidate_ok("positive", "violated", True).cast("int"), "lenient": candidate_ok("positive", "violated", False).cast("int")})
     per = j.groupBy("config", "query_id").agg(
-        F.count("*").alias("n"), F.count("strict").alias("judged"), F.avg("strict").alias("s"), F.avg("lenient").alias("l"), F.sum("strict").alias("usable"), F.sum("lenient").alias("usable_lenient")
-    )
-    return per.groupBy("config").agg(
-        F.count("*").alias("queries"), mean("s").alias("precision_strict"), mean("l").alias("precision_lenient"), F.round(F.sum("judged") / F.sum("n"), 4).alias("coverage"),
-        F.round(F.avg(F.when(F.col("judged") > 0, (F.col("usable") >= 1).cast("int"))), 4).alias("feasible_strict"), F.round(F.avg(F.when(F.col("judged") > 0, (F.col("usable_lenient") >= 1).cast("int"))), 4).alias("feasible_lenient"),
+        F.count("*").alias("n"), F.count(p).alias("judged"), F.avg((p == 2).cast("int")).alias("s"), F.avg((p >= 1).cast("int")).alias("l"),
+        F.count_if(candidate_ok("positive", "violated", True)).alias("usable"), F.count_if(candidate_ok("positive", "violated", False)).alias("usable_lenient"),
+    )
+    enough = lambda c: share(F.when(F.col("judged") > 0, F.col(c) >= needed))
+    done = per.groupBy("config").agg(
+        F.count_if(F.col("judged") > 0).alias("queries"), mean("s").alias("precision_strict"), mean("l").alias("precision_lenient"), F.round(F.sum("judged") / F.sum("n"), 4).alias("coverage"),
+        enough("usable").alias("feasible_strict"), enough("usable_lenient").alias("feasible_lenient"),
     )
+    return done.where("queries > 0")
 
 
 def recommendation_metrics(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """JON-09: satisfaction, overall and by kind, in one pass over grouping sets."""
+    """JON-09: shares of judged recommendations, overall and by kind, in one pass over grouping sets: wanted strictly and
+    leniently, with a violation, and usable, that is wanted without one; then sessions all of whose judged books are usable."""
+    p, bad = F.col("positive"), F.coalesce(F.col("violated"), F.lit(False))
     j = judged(rows, verdicts, ["query_id", "novel_id"])
-    j = j.withColumns({"strict": candidate_ok("positive", "violated", True).cast("int"), "lenient": candidate_ok("positive", "violated", False).cast("int")})
-    per = j.groupBy("kind", "query_id").agg(F.count("*").alias("n"), F.count("strict").alias("j"), F.sum("strict").alias("s"), F.sum("lenient").alias("l"), F.sum(F.when(F.col("positive").isNotNull(), F.coalesce(F.col("violated"), F.lit(False)).cast("int"))).alias("v"))
+    per = j.groupBy("kind", "query_id").agg(
+        F.count("*").alias("n"), F.count(p).alias("j"), F.count_if(p == 2).alias("s"), F.count_if(p >= 1).alias("l"),
+        F.count_if(p.isNotNull() & bad).alias("v"), F.count_if(candidate_ok("positive", "violated", False)).alias("u"),
+    )
+    part = lambda c: F.round(F.sum(c) / F.sum("j"), 4)
     return per.groupingSets([[], ["kind"]], "kind").agg(
-        F.count("*").alias("sessions"), F.sum("n").alias("recommended"), F.round(F.sum("s") / F.sum("j"), 4).alias("strict"), F.round(F.sum("l") / F.sum("j"), 4).alias("lenient"),
-        F.round(F.sum("v") / F.sum("j"), 4).alias("violation"), F.round(F.avg(F.when(F.col("j") > 0, (F.col("l") == F.col("j")).cast("int"))), 4).alias("all_usable"),
-    ).select(F.coalesce("kind", F.lit("all")).alias("kind"), "sessions", "recommended", "strict", "lenient", "violation", "all_usable")
+        F.count_if(F.col("j") > 0).alias("sessions"), F.sum("n").alias("recommended"), F.round(F.sum("j") / F.sum("n"), 4).alias("coverage"), part("s").alias("strict"), part("l").alias("lenient"),
+        part("v").alias("violation"), part("u").alias("usable"), share(F.when(F.col("j") > 0, F.col("u") == F.col("j"))).alias("all_usable"),
+    ).select(F.coalesce("kind", F.lit("all")).alias("kind"), "sessions", "recommended", "coverage", "strict", "lenient", "violation", "usable", "all_usable")
 
 
 def request_feasibility(rows: DataFrame, verdicts: DataFrame, k: int, needed: int, strict: bool) -> DataFrame:
@@ -103,13 +113,39 @@ def anchor_metrics(ranks: DataFrame, ks: list[int], depth: int) -> DataFrame:
     return ranks.groupBy("config").agg(F.count("*").alias("anchors"), *hits, F.percentile(F.coalesce("rank", F.lit(depth + 1)), 0.5).alias("median_rank"), F.count_if(F.col("rank").isNull()).alias("unfound"))
 
 
+def anchor_summary(ranks: DataFrame, ks: list[int], folds: DataFrame | None = None) -> DataFrame:
+    """AGG-02: by configuration, the share of queries with an anchor among their first ``k``, the share of anchors found
+    there, and the mean first rank within the largest ``k``; with ``folds`` ``(anchor, fold)`` by fold as well, where
+    ``*`` stands for all and ``unknown`` for anchors that no fold has."""
+    within = lambda k: F.coalesce(F.col("rank") <= k, F.lit(False))
+    told = ranks.withColumn("fold", F.lit("*")) if folds is None else ranks.join(folds.select("anchor", "fold").distinct(), "anchor", "left").fillna("unknown", ["fold"])
+    if folds is not None:
+        told = ranks.withColumn("fold", F.lit("*")).unionByName(told)
+    per = told.groupBy("config", "fold", "query_id").agg(F.count("*").alias("n"), F.min(F.when(within(max(ks)), F.col("rank"))).alias("first"), *[F.count_if(within(k)).alias(f"f{k}") for k in ks])
+    shares = [c for k in ks for c in (share(F.col(f"f{k}") > 0).alias(f"hit_{k}"), F.round(F.sum(f"f{k}") / F.sum("n"), 4).alias(f"recall_{k}"))]
+    return per.groupBy("config", "fold").agg(F.count("*").alias("queries"), F.sum("n").alias("anchors"), *shares, mean("first").alias("mean_first_rank"))
+
+
 def judge_free_metrics(rows: DataFrame, cards: DataFrame, violations: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """AGG-08: consistency with the wanted genre over carded rows, cleanness over decided rows; each share has its own base."""
-    j = top_k(rows, k).join(wanted, "query_id", "left").join(cards, "novel_id", "left").join(violations, "novel_id", "left")
+    """AGG-08: by configuration, means over queries of shares of their first ``k``: among carded rows those of a wanted
+    genre or sub-genre and those with a wanted element, among decided rows the clean ones. Each share counts only the
+    queries that want such a thing and have such rows.
+
+    ``cards`` are ``(novel_id, genre, subgenre, elements)``, ``wanted`` are ``(query_id, genres, subgenres, elements)``.
+    """
+    want = wanted.withColumnRenamed("elements", "wanted_elements")
+    j = top_k(rows, k).join(want, "query_id", "left").join(cards, "novel_id", "left").join(violations, "novel_id", "left")
+    carded = F.col("genre").isNotNull()
+    fits = F.array_contains("subgenres", F.col("subgenre")) | F.array_contains("genres", F.col("genre"))
     per = j.groupBy("config", "query_id").agg(
-        F.avg(F.when(F.col("genre").isNotNull() & F.col("wanted").isNotNull(), (F.col("genre") == F.col("wanted")).cast("int"))).alias("g"), F.avg((~F.col("violation")).cast("int")).alias("c")
+        F.avg(F.when(carded & (F.size("genres") + F.size("subgenres") > 0), F.coalesce(fits, F.lit(False)).cast("int"))).alias("g"),
+        F.avg(F.when(carded & (F.size("wanted_elements") > 0), F.arrays_overlap("elements", "wanted_elements").cast("int"))).alias("e"),
+        F.avg((~F.col("violation")).cast("int")).alias("c"),
     )
-    return per.groupBy("config").agg(mean("g").alias("genre_consistency"), F.count("g").alias("genre_queries"), mean("c").alias("density_clean"), F.count("c").alias("clean_queries"))
+    return per.groupBy("config").agg(
+        F.count("*").alias("queries"), mean("g").alias("genre_consistency"), F.count("g").alias("genre_queries"), mean("e").alias("element_consistency"), F.count("e").alias("element_queries"),
+        mean("c").alias("density_clean"), F.count("c").alias("clean_queries"),
+    )
 
 
 def pairwise_jaccard(rows: DataFrame, k: int, group: str = "task_id") -> DataFrame:
@@ -156,7 +192,7 @@ def kappa(rows: DataFrame, a: str, b: str, weighted: bool = False, categories: l
 
 def kappa_band(k: Column) -> Column:
     """AGG-23."""
-    return F.when(k.isNull(), "undefined").when(k < 0, "poor").when(k <= 0.2, "slight").when(k <= 0.4, "fair").when(k <= 0.6, "moderate").when(k <= 0.8, "substantial").otherwise("almost perfect")
+    return F.when(k.isNull(), "undefined").when(k < 0, "worse than chance").when(k < 0.2, "slight").when(k < 0.4, "fair").when(k < 0.6, "moderate").when(k < 0.8, "substantial").otherwise("almost perfect")
 
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> Column:
@@ -184,7 +220,7 @@ def rule_vs_judge(rows: DataFrame, term: str, rule: str, judge: str) -> DataFram
     )
 
 
-def answer_support(answer: str | Column, sources: str | Column, question: str | Column, keep: str = r"[^\p{IsHan}]", least: int = 8) -> Column:
+def answer_support(answer: str | Column, sources: str | Column, question: str | Column, keep: str = r"[^\x{4e00}-\x{9fff}]", least: int = 8) -> Column:
     """AGG-30: the share of an answer's bigrams, those of the question left out, that the sources have; null if too few."""
     own = F.array_except(X.bigrams(answer, keep), X.bigrams(question, keep))
     share_of = lambda o: F.when(F.size(o) >= least, F.round(F.size(F.array_intersect(o, X.bigrams(sources, keep))) / F.size(o), 4))
@@ -198,15 +234,24 @@ def disagreements(rows: DataFrame, a: str, b: str, gap: int = 2) -> DataFrame:
 
 
 def first_anchor(anchors: DataFrame, titles: DataFrame) -> DataFrame:
-    """JON-03: the first title, in table order, that an anchor begins. Anchors are few and are sent to the titles."""
-    pairs = titles.join(F.broadcast(anchors), title_matches_anchor("title", "anchor"))
-    return pairs.groupBy("query_id", "anchor").agg(F.min_by("novel_id", "ordinal").alias("novel_id"))
+    """JON-03: the first title, in table order, that an anchor begins.
+
+    Both sides meet on the beginning of the anchor and on its length, one join key for each length that an anchor has
+    (a few dozen), so neither side is broadcast and titles that no anchor begins leave nothing. Titles with one key are
+    brought down to their first before the join.
+    """
+    key = anchors.select("query_id", "anchor", X.normalize_title("anchor").alias("k")).where("k <> ''")
+    lengths = key.agg(F.array_sort(F.collect_set(F.char_length("k"))).alias("sizes"))  # one row
+    t = titles.select("novel_id", "ordinal", X.normalize_title("title").alias("t")).crossJoin(F.broadcast(lengths))
+    begun = t.select("novel_id", "ordinal", F.explode(F.transform(F.filter("sizes", lambda n: n <= F.char_length("t")), lambda n: F.substring(F.col("t"), F.lit(1), n))).alias("k"))
+    first = begun.groupBy("k").agg(F.min_by("novel_id", F.struct("ordinal", "novel_id")).alias("novel_id"))
+    return key.join(first, "k").select("query_id", "anchor", "novel_id")
 
 
 def find_titles(queries: DataFrame, titles: DataFrame, limit: int = 3) -> DataFrame:
     """FLT-25, TOOL-01: the exact title, or else titles of three characters and more that the query holds, longest
     first, ties by id from the largest. Candidates are titles whose first three characters stand in the query."""
-    q = queries.withColumn("k", X.normalize_title("query"))
+    q = queries.withColumn("k", X.title_key("query"))
     exact = q.join(titles, F.col("k") == F.col("key")).select("query_id", "novel_id", "key", F.lit(0).alias("tier"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("k") - 2, F.lit(1))), lambda i: F.substring("k", i, F.lit(3)))
     asked = q.select("query_id", "k", F.explode(F.array_distinct(grams)).alias("g"))

@@ -40,6 +40,10 @@ class Registry:
         return tool.run(**arguments)
 
 
+# Kinds of memory entries, in the order in which they are told, with their names.
+MEMORY_KINDS: dict[str, str] = {"positive": "偏好", "negative": "不要", "read": "已读", "note": "备注"}
+
+
 @dataclass
 class Memory:
     """STR-12 to STR-16, TOOL-08: long-term entries in the order of their last writing."""
@@ -47,20 +51,21 @@ class Memory:
     entries: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     def write(self, kind: str, value: str, persistent: bool) -> None:
-        kept = self.entries.pop((kind, value), False)
-        self.entries[kind, value] = persistent or kept
+        value = value.strip()
+        if kind not in MEMORY_KINDS or not value:
+            raise ValueError(f"a kind of {', '.join(MEMORY_KINDS)} and a value are needed")
+        self.entries.pop((kind, value), None)
+        self.entries[kind, value] = persistent
 
     def forget(self, kind: str, value: str) -> int:
-        return int(self.entries.pop((kind, value), None) is not None)
+        return int(self.entries.pop((kind, value.strip()), None) is not None)
 
     def saved(self) -> list[tuple[str, str]]:
         return [k for k, p in self.entries.items() if p]
 
     def summary(self, limit: int = 500) -> str:
-        by: dict[str, list[str]] = {}
-        for kind, value in self.entries:
-            by.setdefault(kind, []).append(value)
-        return "\n".join(f"{k}: {', '.join(v)}" for k, v in by.items())[-limit:]
+        by = {label: [v for k, v in self.entries if k == kind] for kind, label in MEMORY_KINDS.items()}
+        return "\n".join(f"{label}：{'、'.join(v)}" for label, v in by.items() if v)[-limit:]
 
 
 @dataclass

@@ -42,7 +42,7 @@ def append_cards(spark, sf):
     return D.append_cards(s, d.select("doc_id", F.col("source").alias("card_text")), "doc_id")
 
 
-@query("""WITH s AS (SELECT (doc_id % 50) AS book, lang AS kind, doc_id AS ordinal, text FROM documents), h AS (SELECT *, substr(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))[1], 1, 60) AS head FROM s)
+@query("""WITH s AS (SELECT (doc_id % 50) AS book, lang AS kind, doc_id AS ordinal, text FROM documents), h AS (SELECT *, substr(regexp_replace(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))[1], '\\s+$', ''), 1, 60) AS head FROM s)
 SELECT book, kind, count(*) AS n, arg_min(head, ordinal) AS first, arg_max(head, ordinal) AS last FROM h GROUP BY 1, 2""")
 def coverage(spark, sf):
     """ARR-19, VEC-25."""
@@ -55,16 +55,9 @@ def evidence_windows(spark, sf):
     return D.evidence(docs(spark, sf), "doc_id", "text", L).select("doc_id", F.char_length("evidence").alias("n_chars"), F.md5("evidence").alias("evidence"))
 
 
-@query("SELECT doc_id, md5(source || chr(10) || chr(10) || substr(text, 1, 100)) AS t2, md5(source) AS t1 FROM documents")
+@query("SELECT doc_id, md5(source || chr(10) || chr(10) || text) AS t2, md5(source) AS t1 FROM documents")
 def tiered_evidence(spark, sf):
     """UDF-10."""
-    d = docs(spark, sf).select("doc_id", F.col("source").alias("card_text"), F.substring("text", 1, 100).alias("blurb"), F.lit("").alias("evidence"))
-    return d.select("doc_id", F.md5(D.tiered_evidence(2)).alias("t2"), F.md5(D.tiered_evidence(1)).alias("t1"))
-
-
-@query("SELECT doc_id, md5(source || chr(10) || chr(10) || text) AS t2, md5(source) AS t1 FROM documents")
-def tiered_evidence_whole(spark, sf):
-    """UDF-10 with whole texts."""
     d = docs(spark, sf).select("doc_id", F.col("source").alias("card_text"), F.col("text").alias("blurb"), F.lit("").alias("evidence"))
     return d.select("doc_id", F.md5(D.tiered_evidence(2)).alias("t2"), F.md5(D.tiered_evidence(1)).alias("t1"))
 
@@ -77,7 +70,7 @@ def labels_latest(spark, sf):
 
 
 _LOG = "log AS (SELECT user_id AS owner, event_type AS kind, floor(value / 10)::INTEGER::VARCHAR AS value, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'forget' ELSE 'write' END AS action, event_id % 3 = 0 AS persistent FROM events)"
-_MEM = "gone AS (SELECT owner, kind, value, max(seq) AS gone FROM log WHERE action = 'forget' GROUP BY 1, 2, 3), mem AS (SELECT owner, kind, value, max(seq) AS seq, bool_or(persistent) AS persistent FROM log LEFT JOIN gone USING (owner, kind, value) WHERE action = 'write' AND (gone IS NULL OR seq > gone) GROUP BY 1, 2, 3)"
+_MEM = "gone AS (SELECT owner, kind, value, max(seq) AS gone FROM log WHERE action = 'forget' GROUP BY 1, 2, 3), mem AS (SELECT owner, kind, value, max(seq) AS seq, arg_max(persistent, seq) AS persistent FROM log LEFT JOIN gone USING (owner, kind, value) WHERE action = 'write' AND (gone IS NULL OR seq > gone) GROUP BY 1, 2, 3)"
 
 
 def memory(spark, sf):
@@ -161,20 +154,20 @@ def coerce_values(spark, sf):
     """JSN-08 to JSN-10, SRC-30."""
     from ..functions import jsons as J
 
-    return table(spark, sf, "events").select("event_id", J.clamp_label(F.col("value").cast("string")).alias("label"), J.coerce_bool("event_type", extra=("click",)).alias("truthy"), J.normalize_confidence("event_type").alias("confidence"))
+    return table(spark, sf, "events").select("event_id", J.clamp_label(F.col("value").cast("string")).alias("label"), J.coerce_bool("event_type", extra=("click", "是")).alias("truthy"), J.normalize_confidence("event_type").alias("confidence"))
 
 
-@query("""WITH v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a' || (1 + p_partkey % 3) WHEN 1 THEN 'genre-b:b1' WHEN 2 THEN 'a2(genre-a)' ELSE 'genre-a' END AS raw FROM part)
-SELECT p_partkey, CASE WHEN raw IN ('a1', 'a2') THEN raw WHEN raw = 'genre-b:b1' THEN 'b1' WHEN raw = 'a2(genre-a)' THEN 'a2' ELSE '' END AS subgenre,
- CASE WHEN raw IN ('a1', 'a2', 'a2(genre-a)', 'genre-a') THEN 'genre-a' WHEN raw = 'genre-b:b1' THEN 'genre-b' ELSE 'other' END AS genre FROM v""")
+@query("""WITH v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a' || (1 + p_partkey % 3) WHEN 1 THEN 'genre_b:b1' WHEN 2 THEN 'a2(genre_a)' ELSE 'genre_a' END AS raw FROM part)
+SELECT p_partkey, CASE WHEN raw IN ('a1', 'a2') THEN raw WHEN raw = 'genre_b:b1' THEN 'b1' WHEN raw = 'a2(genre_a)' THEN 'a2' ELSE '' END AS subgenre,
+ CASE WHEN raw IN ('a1', 'a2', 'a2(genre_a)', 'genre_a') THEN 'genre_a' WHEN raw = 'genre_b:b1' THEN 'genre_b' ELSE 'other' END AS genre FROM v""")
 def normalise_subgenre(spark, sf):
     """JSN-13, JSN-19."""
     from ..functions import jsons as J
     from ..operators.cards import Vocabulary
 
-    v = Vocabulary(genres={"genre-a": ("a1", "a2"), "genre-b": ("b1",)}, subgenre_aliases={})
+    v = Vocabulary(genres={"genre_a": ("a1", "a2"), "genre_b": ("b1",)}, subgenre_aliases={}, unknown="other")
     k = F.col("p_partkey")
-    raw = F.when(k % 4 == 0, F.concat(F.lit("a"), (1 + k % 3).cast("string"))).when(k % 4 == 1, "genre-b:b1").when(k % 4 == 2, "a2(genre-a)").otherwise("genre-a")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("a"), (1 + k % 3).cast("string"))).when(k % 4 == 1, "genre_b:b1").when(k % 4 == 2, "a2(genre_a)").otherwise("genre_a")
     s = J.normalise_subgenre("raw", v)
     return table(spark, sf, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", s["subgenre"].alias("subgenre"), s["genre"].alias("genre"))
 
@@ -227,14 +220,15 @@ def filled_sheet(spark, sf):
 
 
 @query(f"""WITH b AS (SELECT doc_id, text, regexp_extract(substr(text, 1, 6000), '(?s)(?:(?m)^[ ]*(?:The|Die|Le|La) +)(.*)$', 1) AS x FROM documents),
-c AS (SELECT doc_id, text, regexp_replace(regexp_replace(x, '(?m)\\n{L.chapter_heading}[\\s\\S]*\\z', ''), '^\\s+|\\s+$', '', 'g') AS x FROM b)
-SELECT doc_id, CASE WHEN length(x) <= 100 THEN x WHEN length(regexp_extract(substr(x, 1, 100), '(?s)^(.*[.!?])', 1)) >= 52 THEN regexp_extract(substr(x, 1, 100), '(?s)^(.*[.!?])', 1) ELSE substr(x, 1, 100) END AS blurb,
-  CASE WHEN contains(text, 'the') THEN substr(regexp_replace(regexp_extract(text, '(?s)the[:：]?\\s*(.*)$', 1), '^\\s+|\\s+$', '', 'g'), 1, 80) ELSE substr(text, 1, 80) END AS preview FROM c""")
+c AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, regexp_replace(regexp_replace(x, '(?m)\\n{L.chapter_heading}[\\s\\S]*\\z', ''), '^\\s+|\\s+$', '', 'g') AS x FROM b)
+SELECT doc_id, CASE WHEN length(x) <= 100 THEN x WHEN length(regexp_extract(substr(x, 1, 100), '(?s)^(.*[.!?])', 1)) >= 52 THEN regexp_extract(substr(x, 1, 100), '(?s)^(.*[.!?])', 1) ELSE regexp_replace(substr(x, 1, 100), '\\s+$', '') END AS blurb,
+  CASE WHEN contains(t, 'the') THEN substr(concat_ws(chr(10), [l FOR l IN string_split(split_part(t, 'the', 1), chr(10)) IF starts_with(l, 'A')][1],
+    regexp_replace(split_part(substr(t, strpos(t, 'the') + 3), chr(10) || chr(10), 1), '^\\s+|\\s+$', '', 'g')), 1, 80) ELSE substr(t, 1, 80) END AS preview FROM c""")
 def blurbs(spark, sf):
     """TXT-17, TXT-28."""
     from ..functions import text as X
 
-    return docs(spark, sf).select("doc_id", X.blurb("text", 100, 6000, L).alias("blurb"), X.synopsis_preview("text", 80, "the").alias("preview"))
+    return docs(spark, sf).select("doc_id", X.blurb("text", 100, 6000, L).alias("blurb"), X.synopsis_preview("text", 80, "the", "\n\n", "A").alias("preview"))
 
 
 @query("""WITH t AS (SELECT p_partkey, string_split(p_name, ' ') AS w, lower(p_type) AS t FROM part) SELECT p_partkey, len([x FOR x IN w IF contains(x, substr(t, 1, 2)) OR contains(substr(t, 1, 2), x)]) > 0 AS covered FROM t""")
@@ -245,34 +239,36 @@ def covered_terms(spark, sf):
     return table(spark, sf, "part").select("p_partkey", P.covers(F.split("p_name", " "), F.substring(F.lower("p_type"), 1, 2)).alias("covered"))
 
 
-@query("SELECT doc_id, string_split(text, chr(10))[1] AS first, len([x FOR x IN string_split(text, chr(10)) IF trim(x) <> ''])::BIGINT AS n FROM documents")
+@query("""WITH t AS (SELECT doc_id, [x FOR x IN [regexp_replace(y, '^\\s+|\\s+$', '', 'g') FOR y IN string_split(replace(text, chr(10), ' / '), ' / ')] IF x <> ''] AS t FROM documents)
+SELECT doc_id, t[1] AS first, len(t)::BIGINT AS n, md5(array_to_string(t, '|')) AS titles FROM t""")
 def sampled_titles(spark, sf):
-    """ARR-15, ARR-16: the titles section split back."""
-    from ..functions import text as X
+    """ARR-16: the titles section split back."""
+    listed = F.concat(F.lit("titles\n"), F.replace("text", F.lit("\n"), F.lit(" / ")))
+    s = docs(spark, sf).select("doc_id", D.sampled_titles(F.array(F.struct(F.lit("titles").alias("kind"), listed.alias("text")))).alias("t"))
+    return s.select("doc_id", F.get("t", F.lit(0)).alias("first"), F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "|")).alias("titles"))
 
-    s = docs(spark, sf).select("doc_id", F.split("text", "\n")[0].alias("first"), F.array(F.struct(F.lit("titles").alias("kind"), F.col("text").alias("text"))).alias("sections"))
-    return s.select("doc_id", "first", F.size(D.sampled_titles("sections")).cast("long").alias("n"))
 
-
-_PROFILE = "'MARK-A one' || chr(10) || substr(text, 1, 30) || chr(10) || 'MARK-B' || chr(10) || lang"
-
-
-@query("SELECT doc_id, 0 AS ordinal, 'blurb' AS kind, md5('one' || chr(10) || trim(regexp_replace(substr(text, 1, 30), '\\s+', ' ', 'g'))) AS text FROM documents UNION ALL SELECT doc_id, 1, 'opening', md5(lang) FROM documents")
+@query("""WITH p AS (SELECT doc_id, '标题：' || source AS head, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, lang FROM documents)
+SELECT doc_id, 0 AS ordinal, 'blurb' AS kind, md5(head) AS text FROM p UNION ALL SELECT doc_id, 1, 'excerpt', md5(head || chr(10) || flat) FROM p UNION ALL SELECT doc_id, 2, 'excerpt', md5(head || chr(10) || lang) FROM p""")
 def split_profiles(spark, sf):
-    """ARR-06."""
-    flat = F.trim(F.regexp_replace(F.substring("text", 1, 30), r"\s+", " "))
-    d = docs(spark, sf).select("doc_id", F.concat(F.lit("MARK-A one\n"), flat, F.lit("\nMARK-B\n"), "lang").alias("p"))
-    rows = D.over_texts(d, ["doc_id"], "p", lambda k, t: [(i, *s) for i, s in enumerate(D.split_profile(t, {"MARK-A": "blurb", "MARK-B": "opening"}))], "ordinal int, kind string, text string")
+    """ARR-06: profiles split at their marks."""
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    d = docs(spark, sf).select("doc_id", F.concat(F.lit("标题："), "source", F.lit("\n\n正文节选：\n节选1：\n"), flat, F.lit("\n\n节选2：\n"), "lang").alias("p"))
+    rows = D.over_texts(d, ["doc_id"], "p", lambda k, t: [(i, *s) for i, s in enumerate(D.split_profile(t))], "ordinal int, kind string, text string")
     return rows.select("doc_id", "ordinal", "kind", F.md5("text").alias("text"))
 
 
-@query("SELECT doc_id, 0 AS ordinal, 'blurb' AS kind, md5('one' || chr(10) || trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text FROM documents UNION ALL SELECT doc_id, 1, 'opening', md5(lang) FROM documents")
-def split_profiles_whole(spark, sf):
-    """ARR-06 with whole texts."""
-    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
-    d = docs(spark, sf).select("doc_id", F.concat(F.lit("MARK-A one\n"), flat, F.lit("\nMARK-B\n"), "lang").alias("p"))
-    rows = D.over_texts(d, ["doc_id"], "p", lambda k, t: [(i, *s) for i, s in enumerate(D.split_profile(t, {"MARK-A": "blurb", "MARK-B": "opening"}))], "ordinal int, kind string, text string")
-    return rows.select("doc_id", "ordinal", "kind", F.md5("text").alias("text"))
+@query("""WITH s AS (SELECT doc_id % 50 AS book, doc_id, CASE lang WHEN 'en' THEN 'opening' WHEN 'de' THEN 'middle' WHEN 'fr' THEN 'titles' ELSE 'blurb' END AS kind,
+  substr(regexp_replace(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))[1], '\\s+$', ''), 1, 60) AS head FROM documents),
+k AS (SELECT book, kind, list(head ORDER BY doc_id) AS h FROM s GROUP BY 1, 2),
+p AS (SELECT book, CASE kind WHEN 'opening' THEN 0 WHEN 'middle' THEN 1 WHEN 'titles' THEN 2 ELSE 3 END AS place, CASE kind WHEN 'titles' THEN '章节目录' WHEN 'blurb' THEN '简介' ELSE
+  CASE kind WHEN 'opening' THEN '开头章节 ' ELSE '中段章节 ' END || len(h) || ' 章（' || h[1] || CASE WHEN len(h) > 1 THEN '…' || h[-1] ELSE '' END || '）' END AS part FROM k)
+SELECT book, string_agg(part, '、' ORDER BY place) AS coverage FROM p GROUP BY 1""")
+def coverage_lines(spark, sf):
+    """ARR-19, VEC-25: the line that tells what was searched."""
+    kind = F.when(F.col("lang") == "en", "opening").when(F.col("lang") == "de", "middle").when(F.col("lang") == "fr", "titles").otherwise("blurb")
+    s = docs(spark, sf).select((F.col("doc_id") % 50).alias("book"), F.struct("doc_id", kind.alias("kind"), "text").alias("s"))
+    return s.groupBy("book").agg(F.array_sort(F.collect_list("s")).alias("s")).select("book", D.coverage_text("s").alias("coverage"))
 
 
 @query("SELECT c.c_custkey AS task_id, o_orderkey AS session, 'p' || (row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1) AS positive FROM customer c JOIN orders ON o_custkey = c_custkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) <= 3")
@@ -317,11 +313,11 @@ def task_queries(spark, sf):
     return q.join(old.select("query_id", F.array_join("positives", " ").alias("positives")), "query_id")
 
 
-@query("""SELECT p_partkey AS novel_id, to_json(string_split(p_name, ' '))::VARCHAR AS elements, p_type AS genre, substr(d.text, 1, 60) AS opening FROM part LEFT JOIN documents d ON d.doc_id = p_partkey""")
+@query("""SELECT p_partkey AS novel_id, to_json(string_split(p_name, ' '))::VARCHAR AS elements, p_type AS genre, md5(d.text) AS opening FROM part LEFT JOIN documents d ON d.doc_id = p_partkey""")
 def profiles(spark, sf):
     """SRC-23, JSN-17, TOOL-04: cards with JSON fields beside the openings of their books."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("novel_id"), F.to_json(F.split("p_name", " ")).alias("elements"), F.col("p_type").alias("genre"))
-    return p.join(docs(spark, sf).select(F.col("doc_id").alias("novel_id"), F.substring("text", 1, 60).alias("opening")), "novel_id", "left")
+    return p.join(docs(spark, sf).select(F.col("doc_id").alias("novel_id"), F.md5("text").alias("opening")), "novel_id", "left")
 
 
 @query("SELECT unnest([0, 1, 2, 3]) AS idx UNION SELECT round_even(4 + 90 * k / 6.0, 0)::INTEGER FROM range(1, 7) t(k)")

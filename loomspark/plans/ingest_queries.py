@@ -48,8 +48,8 @@ def near_duplicates(spark, sf):
 
 
 @query(f"""WITH {INV}, {MARK}, {NEAR}, j AS (SELECT mark.*, near_duplicate_of FROM mark LEFT JOIN near USING (novel_id))
-SELECT count(*) AS rows, count(*) FILTER (is_duplicate) AS exact, count(near_duplicate_of) AS near, count(DISTINCT duplicate_of) AS groups,
-  (SELECT count(*) FROM (SELECT title_guess FROM j WHERE NOT is_duplicate AND near_duplicate_of IS NULL GROUP BY 1 HAVING count(*) > 1)) AS title_collisions FROM j""")
+SELECT count(*) AS rows, count(*) FILTER (is_duplicate) AS exact, count(near_duplicate_of) AS near, count(DISTINCT coalesce(near_duplicate_of, duplicate_of)) AS groups,
+  (SELECT count(*) - count(DISTINCT title_guess) FROM j WHERE read_status = 'ok' AND NOT is_duplicate AND near_duplicate_of IS NULL) AS title_collisions FROM j""")
 def duplicate_report(spark, sf):
     """AGG-17."""
     marked = I.mark_content_duplicates(inventory(spark, sf))
@@ -131,21 +131,22 @@ def assign_splits(spark, sf):
 _F = H.judge_fractions(3, 10)
 
 
-@query("SELECT doc_id, " + ", ".join(f"md5(substr(text, least(floor(length(text) * {f}::DOUBLE)::BIGINT, greatest(length(text) - 200, 0)) + 1, 200)) AS w{i}" for i, f in enumerate(_F)) + " FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"md5(regexp_replace(substr(text, least(floor(length(text) * {f}::DOUBLE)::BIGINT, greatest(length(text) - 200, 0)) + 1, 200), '^\\s+|\\s+$', '', 'g')) AS w{i}" for i, f in enumerate(_F)) + " FROM documents")
 def judge_windows(spark, sf):
     """HSH-09, HSH-11, ARR-10."""
     return table(spark, sf, "documents").select("doc_id", *[F.md5(H.window_at("text", F.lit(f), 200)).alias(f"w{i}") for i, f in enumerate(_F)])
 
 
-_U = lambda i: f"(({float(i)} + {UNIT(f"sha1(doc_id || ':{i}')")}) / 3)"
-_J = lambda i: f"round(CASE WHEN least({', '.join(f'abs({_U(i)} - {p}::DOUBLE)' for p in H.fractions(10))}) < 0.02 THEN least({_U(i)} + 0.04, 0.98) ELSE {_U(i)} END, 9)"
+# Bands are so narrow that a fraction is near one of the three fixed points at most.
+_U = lambda i: f"(({i + 0.15}::DOUBLE + {UNIT(f"sha1(doc_id || ':{i}')")} * 0.7::DOUBLE) / 7)"
+_J = lambda i: f"round(CASE WHEN {_U(i)} < 0.08 THEN 0.12 WHEN abs({_U(i)} - 0.5) < 0.08 THEN 0.62 WHEN {_U(i)} > 0.92 THEN 0.97 ELSE {_U(i)} END, 4)"
 
 
-@query("SELECT doc_id, " + ", ".join(f"{_J(i)} AS f{i}" for i in range(3)) + " FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"{_J(i)} AS f{i}" for i in range(6)) + " FROM documents")
 def judge_fractions(spark, sf):
     """HSH-10."""
-    j = H.jittered(F.col("doc_id").cast("string"), 3, H.fractions(10))
-    return table(spark, sf, "documents").select("doc_id", *[F.round(j[i], 9).alias(f"f{i}") for i in range(3)])
+    j = H.jittered(F.col("doc_id").cast("string"))
+    return table(spark, sf, "documents").select("doc_id", *[j[i].alias(f"f{i}") for i in range(6)])
 
 
 @query("SELECT title, doc_id FROM (SELECT lang || substr(text, 1, 12) AS title, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1) WHERE n = 1 AND length(title) >= 2")

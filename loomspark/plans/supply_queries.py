@@ -34,17 +34,17 @@ def pool_pairs(spark, sf):
     return S.pool_pairs(rows(spark, sf).withColumnRenamed("task_id", "request_id"), 3)
 
 
-@query(f"""WITH {P}, q AS (SELECT config, query_id, count(*) AS n, count(strict) AS judged, avg(strict) AS s, avg(lenient) AS l, sum(strict) AS u, sum(lenient) AS ul FROM jd WHERE rank <= 4 GROUP BY 1, 2)
-SELECT config, count(*) AS queries, round(avg(s), 4) AS precision_strict, round(avg(l), 4) AS precision_lenient, round(sum(judged) / sum(n), 4) AS coverage,
-round(avg(CASE WHEN judged > 0 THEN (u >= 1)::INTEGER END), 4) AS feasible_strict, round(avg(CASE WHEN judged > 0 THEN (ul >= 1)::INTEGER END), 4) AS feasible_lenient FROM q GROUP BY 1""")
+@query(f"""WITH {P}, q AS (SELECT config, query_id, count(*) AS n, count(positive) AS judged, avg((positive = 2)::INTEGER) AS s, avg((positive >= 1)::INTEGER) AS l, sum(strict) AS u, sum(lenient) AS ul FROM jd WHERE rank <= 4 GROUP BY 1, 2)
+SELECT config, count(*) FILTER (judged > 0) AS queries, round(avg(s), 4) AS precision_strict, round(avg(l), 4) AS precision_lenient, round(sum(judged) / sum(n), 4) AS coverage,
+round(avg(CASE WHEN judged > 0 THEN (u >= 3)::INTEGER END), 4) AS feasible_strict, round(avg(CASE WHEN judged > 0 THEN (ul >= 3)::INTEGER END), 4) AS feasible_lenient FROM q GROUP BY 1 HAVING queries > 0""")
 def judged_metrics(spark, sf):
     """JON-08, AGG-27, FLT-19."""
     return S.judged_metrics(rows(spark, sf), verdicts(spark, sf), 4)
 
 
-@query(f"""WITH {P}, q AS (SELECT kind, query_id, count(*) AS n, count(strict) AS j, sum(strict) AS s, sum(lenient) AS l, sum(violated::INTEGER) AS v FROM jd WHERE rank <= 3 GROUP BY 1, 2)
-SELECT coalesce(kind, 'all') AS kind, count(*) AS sessions, sum(n)::BIGINT AS recommended, round(sum(s) / sum(j), 4) AS strict, round(sum(l) / sum(j), 4) AS lenient, round(sum(v) / sum(j), 4) AS violation,
-round(avg(CASE WHEN j > 0 THEN (l = j)::INTEGER END), 4) AS all_usable FROM q GROUP BY GROUPING SETS ((), (kind))""")
+@query(f"""WITH {P}, q AS (SELECT kind, query_id, count(*) AS n, count(positive) AS j, count(*) FILTER (positive = 2) AS s, count(*) FILTER (positive >= 1) AS l, count(*) FILTER (violated) AS v, coalesce(sum(lenient), 0) AS u FROM jd WHERE rank <= 3 GROUP BY 1, 2)
+SELECT coalesce(kind, 'all') AS kind, count(*) FILTER (j > 0) AS sessions, sum(n)::BIGINT AS recommended, round(sum(j) / sum(n), 4) AS coverage, round(sum(s) / sum(j), 4) AS strict, round(sum(l) / sum(j), 4) AS lenient, round(sum(v) / sum(j), 4) AS violation,
+round(sum(u) / sum(j), 4) AS usable, round(avg(CASE WHEN j > 0 THEN (u = j)::INTEGER END), 4) AS all_usable FROM q GROUP BY GROUPING SETS ((), (kind))""")
 def recommendation_metrics(spark, sf):
     """JON-09."""
     return S.recommendation_metrics(rows(spark, sf).where("rank <= 3"), verdicts(spark, sf))
@@ -56,7 +56,8 @@ def request_feasibility(spark, sf):
     return S.request_feasibility(rows(spark, sf), verdicts(spark, sf), 5, 2, False)
 
 
-_N = lambda e: f"lower(regexp_replace({e}, '[《》【】\\[\\]()（）\\s_-]', '', 'g'))"
+_N = lambda e: f"lower(regexp_replace({e}, '[《》〈〉「」『』\\[\\]【】\\s_-]+', '', 'g'))"
+_K = lambda e: f"regexp_replace({e}, '[\\s《》〈〉<>「」『』]', '', 'g')"
 _A = f"""a AS (SELECT o_orderkey AS query_id, p_name[1:5] AS anchor FROM orders JOIN part ON p_partkey = 1 + o_orderkey % (SELECT count(*) FROM part)),
 ap AS (SELECT DISTINCT config, query_id FROM pool), b AS (SELECT config, query_id, anchor, min(rank) AS rank FROM a JOIN rows USING (query_id) WHERE starts_with({_N('title')}, {_N('anchor')}) GROUP BY 1, 2, 3),
 ar AS (SELECT config, query_id, anchor, rank FROM a JOIN ap USING (query_id) LEFT JOIN b USING (config, query_id, anchor))"""
@@ -77,10 +78,23 @@ def anchor_hit_recall(spark, sf):
 
 @query(f"WITH {P}, {_A} SELECT config, count(*) AS anchors, round(avg((coalesce(rank <= 1, false))::INTEGER), 4) AS hit_1, round(avg((coalesce(rank <= 5, false))::INTEGER), 4) AS hit_5, quantile_cont(coalesce(rank, 11), 0.5) AS median_rank, count(*) FILTER (rank IS NULL) AS unfound FROM ar GROUP BY 1")
 def anchor_rank_stats(spark, sf):
-    """AGG-02, AGG-04, AGG-05."""
+    """AGG-04, AGG-05."""
     return S.anchor_metrics(S.anchor_ranks(rows(spark, sf), anchors(spark, sf)), [1, 5], 10)
 
 
+_FOLD = "CASE WHEN anchor < 'g' THEN 'train' WHEN anchor < 'n' THEN 'eval' END"
+
+
+@query(f"""WITH {P}, {_A}, t AS (SELECT *, '*' AS fold FROM ar UNION ALL SELECT *, coalesce({_FOLD}, 'unknown') FROM ar),
+q AS (SELECT config, fold, query_id, count(*) AS n, min(rank) FILTER (rank <= 5) AS first, count(*) FILTER (rank <= 1) AS f1, count(*) FILTER (rank <= 5) AS f5 FROM t GROUP BY 1, 2, 3)
+SELECT config, fold, count(*) AS queries, sum(n)::BIGINT AS anchors, round(avg((f1 > 0)::INTEGER), 4) AS hit_1, round(sum(f1) / sum(n), 4) AS recall_1, round(avg((f5 > 0)::INTEGER), 4) AS hit_5, round(sum(f5) / sum(n), 4) AS recall_5, round(avg(first), 4) AS mean_first_rank FROM q GROUP BY 1, 2""")
+def anchor_summary(spark, sf):
+    """AGG-02: by query and by anchor, in all and by fold."""
+    a = anchors(spark, sf)
+    folds = a.select("anchor").distinct().select("anchor", F.when(F.col("anchor") < "g", "train").when(F.col("anchor") < "n", "eval").alias("fold")).where("fold is not null")
+    return S.anchor_summary(S.anchor_ranks(rows(spark, sf), a), [1, 5], folds)
+
+
 @query(f"WITH {P}, s AS (SELECT DISTINCT query_id, novel_id FROM jd WHERE positive = 2), h AS (SELECT DISTINCT query_id, novel_id, 1 AS hit FROM pool WHERE rank <= 2) SELECT query_id, round(sum(coalesce(hit, 0)) / count(*), 4) AS recall FROM s LEFT JOIN h USING (query_id, novel_id) GROUP BY 1")
 def strong_recall(spark, sf):
     """JON-02, AGG-06, FLT-18."""
@@ -88,16 +102,20 @@ def strong_recall(spark, sf):
     return S.strong_recall(rows(spark, sf), v.where(S.is_strong("positive")).select("query_id", "novel_id"), 2)
 
 
-@query(f"""WITH {P}, j AS (SELECT rows.config, rows.query_id, p_type, CASE WHEN p_size >= 40 THEN true WHEN p_size <= 20 THEN false END AS violation, w.wanted FROM rows JOIN part ON novel_id = p_partkey LEFT JOIN (SELECT o_orderkey AS query_id, (SELECT min(p_type) FROM part) AS wanted FROM orders WHERE o_orderstatus = 'F') w USING (query_id) WHERE rank <= 5),
-q AS (SELECT config, query_id, avg(CASE WHEN wanted IS NOT NULL THEN (p_type = wanted)::INTEGER END) AS g, avg((NOT violation)::INTEGER) AS c FROM j GROUP BY 1, 2)
-SELECT config, round(avg(g), 4) AS genre_consistency, count(g) AS genre_queries, round(avg(c), 4) AS density_clean, count(c) AS clean_queries FROM q GROUP BY 1""")
+@query(f"""WITH {P}, j AS (SELECT rows.config, rows.query_id, p_type, p_brand, string_split(p_name, ' ') AS e, p_size % 9 > 0 AS carded, CASE WHEN p_size >= 40 THEN true WHEN p_size <= 20 THEN false END AS violation, o_orderstatus AS st, (SELECT min(p_type) FROM part) AS g0, (SELECT min(p_brand) FROM part) AS b0, (SELECT min(string_split(p_name, ' ')[1]) FROM part) AS e0
+ FROM rows JOIN part ON novel_id = p_partkey JOIN orders ON query_id = o_orderkey WHERE rank <= 5),
+q AS (SELECT config, query_id, avg(CASE WHEN carded AND st = 'F' THEN (p_type = g0 OR p_brand = b0)::INTEGER END) AS g, avg(CASE WHEN carded AND st IN ('F', 'O') THEN list_contains(e, e0)::INTEGER END) AS x, avg((NOT violation)::INTEGER) AS c FROM j GROUP BY 1, 2)
+SELECT config, count(*) AS queries, round(avg(g), 4) AS genre_consistency, count(g) AS genre_queries, round(avg(x), 4) AS element_consistency, count(x) AS element_queries, round(avg(c), 4) AS density_clean, count(c) AS clean_queries FROM q GROUP BY 1""")
 def judge_free_metrics(spark, sf):
     """AGG-08."""
     p = table(spark, sf, "part")
-    cards = p.select(F.col("p_partkey").alias("novel_id"), F.col("p_type").alias("genre"))
+    cards = p.where("p_size % 9 > 0").select(F.col("p_partkey").alias("novel_id"), F.col("p_type").alias("genre"), F.col("p_brand").alias("subgenre"), F.split("p_name", " ").alias("elements"))
     dense = p.select(F.col("p_partkey").alias("novel_id"), F.when(F.col("p_size") >= 40, True).when(F.col("p_size") <= 20, False).alias("violation"))
-    first = p.agg(F.min("p_type")).first()[0]
-    wanted = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("query_id"), F.lit(first).alias("wanted"))
+    g, b, e = p.agg(F.min("p_type"), F.min("p_brand"), F.min(F.split("p_name", " ")[0])).first()
+    none = F.array().cast("array<string>")
+    strict = F.col("o_orderstatus") == "F"
+    wish = [F.when(strict, F.array(F.lit(g))).otherwise(none).alias("genres"), F.when(strict, F.array(F.lit(b))).otherwise(none).alias("subgenres"), F.array(F.lit(e)).alias("elements")]
+    wanted = table(spark, sf, "orders").where("o_orderstatus in ('F', 'O')").select(F.col("o_orderkey").alias("query_id"), *wish)
     return S.judge_free_metrics(rows(spark, sf), cards, dense, wanted, 5)
 
 
@@ -134,7 +152,7 @@ def _kappa_sql(a: str, b: str, w: str) -> str:
     return f"""WITH {_R}, t AS (SELECT count(*)::DOUBLE AS t FROM r), pa AS (SELECT {a} AS a, count(*) AS na FROM r GROUP BY 1), pb AS (SELECT {b} AS b, count(*) AS nb FROM r GROUP BY 1), c AS (SELECT {a} AS a, {b} AS b, count(*) AS n FROM r GROUP BY 1, 2),
 g AS (SELECT sum({w} * coalesce(n, 0) / t) AS seen, sum({w} * na * nb / (t * t)) AS chance, sum(CASE WHEN a = b THEN coalesce(n, 0) END) AS same, max(t)::BIGINT AS n FROM (SELECT * FROM pa CROSS JOIN pb) g0 LEFT JOIN c USING (a, b) CROSS JOIN t),
 k AS (SELECT n, round(same / n, 4) AS exact, round(CASE WHEN chance = 0 THEN CASE WHEN seen = 0 THEN 1 ELSE 0 END ELSE 1 - seen / chance END, 4) AS kappa FROM g)
-SELECT *, CASE WHEN kappa < 0 THEN 'poor' WHEN kappa <= 0.2 THEN 'slight' WHEN kappa <= 0.4 THEN 'fair' WHEN kappa <= 0.6 THEN 'moderate' WHEN kappa <= 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band FROM k"""
+SELECT *, CASE WHEN kappa < 0 THEN 'worse than chance' WHEN kappa < 0.2 THEN 'slight' WHEN kappa < 0.4 THEN 'fair' WHEN kappa < 0.6 THEN 'moderate' WHEN kappa < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band FROM k"""
 
 
 @query(_kappa_sql("quality", "rule", "(a <> b)::INTEGER"))
@@ -181,20 +199,21 @@ def wilson_summary(spark, sf):
     return S.task_summary(o.select(F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("variant"), (F.col("o_totalprice") > 150000).alias("passed"), (F.col("o_custkey") % 12).alias("steps")))
 
 
-_BG = lambda e: f"list_distinct(list_transform(range(1, length(regexp_replace({e}, '[^a-z]', '', 'g'))), lambda i: substr(regexp_replace({e}, '[^a-z]', '', 'g'), i, 2)))"
+_AZ = lambda e: f"regexp_replace({e}, '[^a-z]', '', 'g')"
+_BG = lambda e: f"list_distinct(list_transform(range(1, length({e})), lambda i: substr({e}, i, 2)))"
 
 
-@query(f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS answer, u.text AS question FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE a.role = 'assistant' AND u.role = 'user'),
-g AS (SELECT conv_id, turn, {_BG('answer')} AS a, {_BG('question')} AS q, {_BG("lower(answer[1:200]) || question")} AS src FROM p),
+@query(f"""WITH p AS (SELECT a.conv_id, a.turn, {_AZ('a.text')} AS answer, {_AZ('u.text')} AS question, {_AZ('d.text')} AS source FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 JOIN documents d ON d.doc_id = a.conv_id * 7 + a.turn WHERE a.role = 'assistant' AND u.role = 'user'),
+g AS (SELECT conv_id, turn, {_BG('answer')} AS a, {_BG('question')} AS q, {_BG("source")} AS src FROM p),
 b AS (SELECT conv_id, turn, src, list_distinct(list_filter(a, lambda x: NOT list_contains(q, x))) AS own FROM g)
 SELECT conv_id, turn, CASE WHEN len(own) >= 8 THEN round(len(list_intersect(own, src)) / len(own), 4) END AS support FROM b""")
 def answer_support(spark, sf):
-    """AGG-30."""
+    """AGG-30: answers against whole texts."""
     c = table(spark, sf, "conversations")
     u = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
-    j = c.where("role = 'assistant'").join(u, ["conv_id", "turn"])
-    src = F.concat(F.lower(F.substring("text", 1, 200)), "question")
-    return j.select("conv_id", "turn", S.answer_support("text", src, "question", "[^a-z]").alias("support"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("d"), F.col("text").alias("source"))
+    j = c.where("role = 'assistant'").join(u, ["conv_id", "turn"]).join(d, F.col("d") == F.col("conv_id") * 7 + F.col("turn"))
+    return j.select("conv_id", "turn", S.answer_support("text", "source", "question", "[^a-z]").alias("support"))
 
 
 @query("""WITH e AS (SELECT user_id, event_id, ts, round(value / 100, 6) AS cost FROM events), s AS (SELECT user_id, event_id, round(sum(cost) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS spent FROM e) SELECT user_id, event_id, spent, spent <= 2.0 AS within FROM s""")
@@ -220,15 +239,15 @@ def first_anchor(spark, sf):
     return S.first_anchor(a, t).select("anchor", "novel_id")
 
 
-@query(f"""WITH t AS (SELECT min(p_partkey) AS novel_id, {_N('p_name')} AS key, any_value(p_name) AS title FROM part GROUP BY 2), q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand || ' ' || p_name || ' ' || p_type END AS query FROM part),
-x AS (SELECT query_id, novel_id, key, 0 AS tier FROM q JOIN t ON {_N('query')} = key), h AS (SELECT query_id, novel_id, key, 1 AS tier FROM q JOIN t ON contains({_N('query')}, key) AND length(key) >= 3 WHERE query_id NOT IN (SELECT query_id FROM x)),
+@query(f"""WITH t AS (SELECT min(p_partkey) AS novel_id, {_K('p_name')} AS key FROM part GROUP BY 2), q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand || ' ' || p_name || ' ' || p_type END AS query FROM part),
+x AS (SELECT query_id, novel_id, key, 0 AS tier FROM q JOIN t ON {_K('query')} = key), h AS (SELECT query_id, novel_id, key, 1 AS tier FROM q JOIN t ON contains({_K('query')}, key) AND length(key) >= 3 WHERE query_id NOT IN (SELECT query_id FROM x)),
 u AS (FROM x UNION ALL FROM h) SELECT query_id, novel_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, length(key) DESC, novel_id DESC)::INTEGER AS place FROM u) WHERE place <= 3""")
 def title_promotion(spark, sf):
     """FLT-25, TOOL-01."""
     from ..functions import text as X
 
     p = table(spark, sf, "part")
-    t = p.groupBy(X.normalize_title("p_name").alias("key")).agg(F.min("p_partkey").alias("novel_id"), F.min("p_name").alias("title"))
+    t = p.groupBy(X.title_key("p_name").alias("key")).agg(F.min("p_partkey").alias("novel_id"))
     q = p.select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", "p_brand", "p_name", "p_type")).alias("query"))
     return S.find_titles(q, t)
 

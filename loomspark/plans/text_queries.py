@@ -46,8 +46,8 @@ def clean_text(spark, sf):
 
 @query("""
 SELECT o_orderkey, CASE WHEN t = '' THEN stem ELSE t END AS title, author FROM (
-  SELECT o_orderkey, stem, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(stem, '\\s*[bB][yY]\\s+[^_()\\[\\]]+', '', 'g'), '\\s*[tT][xX][tT]$', '', 'g'), '\\(\\s*\\)', '', 'g'), '^\\s+|\\s+$', '', 'g'), '^[\\[_\\-\\s]+|[\\]_\\-\\s]+$', '', 'g') AS t,
-         nullif(regexp_replace(regexp_extract(stem, '(?i)\\bby\\s+([^_()\\[\\]]+)', 1), '^\\s+|\\s+$', '', 'g'), '') AS author
+  SELECT o_orderkey, stem, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(stem, '\\s*[bB][yY]\\s+[^_()\\[\\]]+', '', 'g'), '\\s*[tT][xX][tT]$', '', 'g'), '\\(\\s*\\)', '', 'g'), '\\s+', ' ', 'g'), '^[ _-]+|[ _-]+$', '', 'g') AS t,
+         nullif(regexp_replace(regexp_extract(stem, '(?i)\\bby\\s+([^_()\\[\\]]+)', 1), '^[ _-]+|[ _-]+$', '', 'g'), '') AS author
   FROM (SELECT o_orderkey, '[' || o_orderpriority || '] ' || o_orderstatus || CASE WHEN o_orderkey % 3 = 0 THEN ' by Clerk ' || o_custkey ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN '().txt' ELSE '' END AS stem FROM orders))
 """)
 def title_and_author(spark, sf):
@@ -67,9 +67,12 @@ def chapter_count(spark, sf):
     return docs(spark, sf).select("doc_id", X.chapter_count("text", L).alias("chapters"), F.md5(X.compact_whitespace("text")).alias("compact"))
 
 
-@query("""
-SELECT doc_id, md5(CASE WHEN length(text) <= 4500 THEN text ELSE substr(text, 1, 1500) || chr(10) || '...' || chr(10)
-  || substr(text, greatest(length(text) // 2 - 750, 0) + 1, 1500) || chr(10) || '...' || chr(10) || right(text, 1500) END) AS sample FROM documents
+_MARK = "chr(10) || chr(10) || '[...]' || chr(10) || chr(10)"
+
+
+@query(f"""
+SELECT doc_id, md5(CASE WHEN length(t) <= 4500 THEN t ELSE {STRIP('substr(t, 1, 1500)')} || {_MARK} || {STRIP('substr(t, greatest(length(t) // 2 - 750, 0) + 1, 1500)')} || {_MARK} || {STRIP('right(t, 1500)')} END) AS sample
+FROM (SELECT doc_id, {STRIP("regexp_replace(regexp_replace(replace(text, chr(0), ''), '\\r\\n?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM documents)
 """)
 def sample_text(spark, sf):
     """TXT-12."""
@@ -78,7 +81,7 @@ def sample_text(spark, sf):
 
 @query(f"""
 SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?m){L.chapter_heading}'), lambda x: trim(x)), '|') AS titles,
-       substr(string_split({STRIP('text')}, chr(10))[1], 1, 60) AS heading FROM documents
+       substr({STRIP(f"string_split({STRIP('text')}, chr(10))[1]")}, 1, 60) AS heading FROM documents
 """)
 def chapter_titles(spark, sf):
     """TXT-14, TXT-27."""
@@ -86,10 +89,10 @@ def chapter_titles(spark, sf):
 
 
 def _trim(e: str, n: str) -> str:
-    return f"(CASE WHEN length({e}) <= {n} THEN {e} WHEN length(regexp_extract(substr({e}, 1, {n}), '(?s)^(.*[.!?])', 1)) >= {n} // 2 + 2 THEN regexp_extract(substr({e}, 1, {n}), '(?s)^(.*[.!?])', 1) ELSE substr({e}, 1, {n}) END)"
+    return f"(CASE WHEN length({e}) <= {n} THEN {e} WHEN length(regexp_extract(substr({e}, 1, {n}), '(?s)^(.*[.!?])', 1)) >= {n} // 2 + 2 THEN regexp_extract(substr({e}, 1, {n}), '(?s)^(.*[.!?])', 1) ELSE {STRIP(f'substr({e}, 1, {n})')} END)"
 
 
-@query(f"SELECT doc_id, {_trim('text', '200')} AS short, md5({_trim('text', '600')}) AS longer FROM documents")
+@query(f"SELECT doc_id, {_trim('t', '200')} AS short, md5({_trim('t', '600')}) AS longer FROM (SELECT doc_id, {STRIP('text')} AS t FROM documents)")
 def trim_to_sentence(spark, sf):
     """TXT-16."""
     return docs(spark, sf).select("doc_id", X.trim_to_sentence("text", 200, L).alias("short"), F.md5(X.trim_to_sentence("text", 600, L)).alias("longer"))
@@ -97,7 +100,7 @@ def trim_to_sentence(spark, sf):
 
 @query("""
 SELECT doc_id, CASE WHEN regexp_matches(right(text, 3000), 'in\\.$|en\\.$') THEN 'finished' ELSE 'unknown' END AS ending,
-  md5(regexp_replace(substr(text, greatest(0, least(500, length(text) - 300))::INTEGER + 1, 300), '^\\s+|\\s+$', '', 'g')) AS slice,
+  md5(regexp_replace(substr(text, greatest(0, least(500, length(text) - 1))::INTEGER + 1, 300), '^\\s+|\\s+$', '', 'g')) AS slice,
   CASE WHEN length(text) <= 80 THEN text ELSE substr(text, 1, 75) || '[cut]' END AS shortened,
   sha256(text) AS sha256, length(text)::BIGINT AS length FROM documents
 """)
@@ -119,15 +122,15 @@ def term_density(spark, sf):
 
 
 @query("""
-SELECT p_partkey, lower(regexp_replace(p_name || ' [' || p_brand || ']', '[\\[\\]()\\s_-]', '', 'g')) AS normalized,
-  regexp_replace(p_name, '\\s', '', 'g') AS key, regexp_replace(regexp_replace('[' || p_name || ']', '^\\[+|\\]+$', '', 'g'), '^\\s+|\\s+$', '', 'g') AS peeled,
-  regexp_replace(p_type, '\\s+', '', 'g') AS squashed, regexp_replace(p_brand || ', ' || p_type || '!', '[\\s\\p{P}\\p{S}]+', '', 'g') AS bare FROM part
+SELECT p_partkey, lower(regexp_replace(p_name || ' [' || p_brand || ']', '[《》〈〉「」『』\\[\\]【】\\s_-]+', '', 'g')) AS normalized,
+  regexp_replace('<' || p_name || '>', '[\\s《》〈〉<>「」『』]', '', 'g') AS key, regexp_replace(regexp_replace('<' || p_name || ' >', '^[《》〈〉<>]+|[《》〈〉<>]+$', '', 'g'), '^\\s+|\\s+$', '', 'g') AS peeled,
+  regexp_replace(p_type, '\\s+', '', 'g') AS squashed, regexp_replace(p_brand || ', ' || p_type || '!', '[\\s，。！？、：；“”‘’"''（）()《》【】…—,.!?:;-]+', '', 'g') AS bare FROM part
 """)
 def titles(spark, sf):
     """TXT-22 to TXT-24, TXT-41, TXT-42."""
     p = table(spark, sf, "part")
     return p.select(
-        "p_partkey", X.normalize_title(F.concat("p_name", F.lit(" ["), "p_brand", F.lit("]"))).alias("normalized"), X.title_key("p_name").alias("key"), X.peel_title(F.concat(F.lit("["), "p_name", F.lit("]"))).alias("peeled"),
+        "p_partkey", X.normalize_title(F.concat("p_name", F.lit(" ["), "p_brand", F.lit("]"))).alias("normalized"), X.title_key(F.concat(F.lit("<"), "p_name", F.lit(">"))).alias("key"), X.peel_title(F.concat(F.lit("<"), "p_name", F.lit(" >"))).alias("peeled"),
         X.squash("p_type").alias("squashed"), X.bare(F.concat("p_brand", F.lit(", "), "p_type", F.lit("!"))).alias("bare"),
     )
 
@@ -176,17 +179,17 @@ def negative_clauses(spark, sf):
 @query("""
 SELECT item_id, len(list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))))::BIGINT AS n_bigrams,
   md5(array_to_string(list_sort(list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)))), '')) AS bigrams,
-  nullif(regexp_extract('She said "' || text || '"', '["]([^"]{6,})["]', 1), '') AS quoted
+  nullif(regexp_replace(regexp_extract('She said "' || text || '"', '["]([^"]{6,})["]', 1), '^\\s+|\\s+$', '', 'g'), '') AS quoted
 FROM (SELECT item_id, text, regexp_replace(text, '[^a-z]', '', 'g') AS t FROM benchmark)
 """)
 def char_bigrams(spark, sf):
     """TXT-38, TXT-39."""
     b = table(spark, sf, "benchmark").withColumn("b", X.bigrams("text", "[^a-z]"))
-    return b.select("item_id", F.size("b").cast("long").alias("n_bigrams"), F.md5(F.array_join(F.array_sort("b"), "")).alias("bigrams"), X.quoted_line(F.concat(F.lit('She said "'), "text", F.lit('"'))).alias("quoted"))
+    return b.select("item_id", F.size("b").cast("long").alias("n_bigrams"), F.md5(F.array_join(F.array_sort("b"), "")).alias("bigrams"), X.quoted_line(F.concat(F.lit('She said "'), "text", F.lit('"')), '""').alias("quoted"))
 
 
 @query("""
-WITH p AS (SELECT d.doc_id, regexp_replace(substr(d.text, 11, 40), '[\\s\\p{P}\\p{S}]+', '', 'g') AS q, regexp_replace(CASE WHEN d.doc_id % 2 = 0 THEN d.text ELSE n.text END, '[\\s\\p{P}\\p{S}]+', '', 'g') AS s
+WITH p AS (SELECT d.doc_id, regexp_replace(substr(d.text, 11, 40), '[\\s，。！？、：；“”‘’"''（）()《》【】…—,.!?:;-]+', '', 'g') AS q, regexp_replace(CASE WHEN d.doc_id % 2 = 0 THEN d.text ELSE n.text END, '[\\s，。！？、：；“”‘’"''（）()《》【】…—,.!?:;-]+', '', 'g') AS s
   FROM documents d JOIN documents n ON n.doc_id = (d.doc_id + 1) % (SELECT count(*) FROM documents))
 SELECT doc_id, CASE WHEN length(q) < 4 THEN false WHEN contains(s, q) THEN true WHEN length(q) >= 8 THEN
   len([i FOR i IN range(1, length(q) - 4) IF contains(s, substr(q, i, 6))]) > 0 ELSE false END AS supported FROM p

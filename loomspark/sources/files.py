@@ -3,7 +3,7 @@ engine tries one codec after another."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +13,8 @@ from ..functions import hashing as H
 from ..functions import text as X
 from ..functions.lexicon import Lexicon
 
+#: Files of an Arrow batch that are decoded at one time; books are long.
+SLICE = 8
 CODECS = ("utf-8", "utf-8-sig", "gb18030", "gbk", "big5")
 
 
@@ -33,22 +35,43 @@ def discover(spark: SparkSession, folder: str, pattern: str = "*.txt", limit: in
     return rows.orderBy("relative_path").limit(limit) if limit else rows
 
 
-def decode(raw: bytes, codecs: tuple[str, ...] = CODECS, tolerance: int = 64) -> tuple[str | None, str | None, int, str | None]:
+#: A statistical guess of a codec counts from this confidence on.
+CONFIDENCE = 0.5
+
+
+def guessed(raw: bytes) -> tuple[str | None, float]:
+    """SRC-03, SRC-05: a codec by statistics with its confidence, where a detector is installed."""
+    try:
+        import chardet
+    except ImportError:
+        return None, 0.0
+    found = chardet.detect(raw)
+    return found.get("encoding"), float(found.get("confidence") or 0.0)
+
+
+def decode(raw: bytes, codecs: tuple[str, ...] = CODECS, tolerance: int = 64, guess: Callable[[bytes], tuple[str | None, float]] = guessed) -> tuple[str | None, str | None, int, str | None]:
     """SRC-03 to SRC-06: ``(text, codec, replacements, error)``.
 
-    Codecs are tried strictly in order; then each with replacements, of which the fewest win, the first codec among
-    equals; so many replacements are borne as ``tolerance``, or one in 100,000 characters.
+    Codecs are tried strictly in order, then the one that statistics tell with confidence; then each with replacements,
+    of which the fewest win, the first codec among equals; so many replacements are borne as ``tolerance``, or one in
+    100,000 characters.
     """
     for c in codecs:
         try:
             return raw.decode(c), c, 0, None
         except (UnicodeDecodeError, LookupError):
             continue
+    codec, sure = guess(raw)
+    if codec and sure >= CONFIDENCE:
+        try:
+            return raw.decode(codec), codec, 0, None
+        except (UnicodeDecodeError, LookupError):
+            pass
     loose = [(t.count("�"), i, t, c) for i, c in enumerate(codecs) for t in [raw.decode(c, errors="replace")]]
     n, _, text, c = min(loose, key=lambda x: x[:2])
     if n <= max(tolerance, len(text) // 100_000):
         return text, c, n, None
-    return None, None, n, "no codec fits"
+    return None, codec, n, f"codec {codec!r} told with confidence {sure:.3f} only" if codec and sure < CONFIDENCE else "no codec fits"
 
 
 def decoded(files: DataFrame, content: str = "content") -> DataFrame:
@@ -57,7 +80,8 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep) + ", text string, detected_encoding string, decode_replacement_chars long, error_message string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for whole, at in ((w, i) for w in batches for i in range(0, max(1, w.num_rows), SLICE)):
+            b = whole.slice(at, SLICE)
             out = [decode(bytes(x)) if x is not None else (None, None, 0, "no content") for x in b.column(len(keep)).to_pylist()]
             text, codec, n, error = map(list, zip(*out)) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(text, pa.string()), pa.array(codec, pa.string()), pa.array(n, pa.int64()), pa.array(error, pa.string())], names=[*keep, "text", "detected_encoding", "decode_replacement_chars", "error_message"])
@@ -74,7 +98,7 @@ def inventory(files: DataFrame, lex: Lexicon | None = None, sample: bool = False
         H.novel_id(X.posix_path("relative_path")).alias("novel_id"), "file_name", stem.alias("file_stem"), "relative_path", F.col("path").alias("absolute_path"),
         F.col("size").alias("file_size_bytes"), F.round(F.col("size") / (1024 * 1024), 4).alias("file_size_mb"), "detected_encoding",
         F.when(F.col("text").isNotNull(), "ok").otherwise("failed").alias("read_status"), "error_message", X.title_from_stem(stem).alias("title_guess"),
-        F.coalesce(X.author_of(stem), X.author_of(F.substring("text", 1, 2000))).alias("author_guess"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("char_count"),
+        X.author_of(stem).alias("author_guess"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("char_count"),
         F.coalesce(X.chapter_count("text", lex), F.lit(0)).alias("estimated_chapter_count"), F.when(F.col("text").isNotNull(), H.content_fingerprint("text")).alias("content_sha256"),
         "decode_replacement_chars", F.when(F.lit(sample), X.sample_text("text")).alias("sample_text"), F.current_timestamp().alias("created_at"),
     )

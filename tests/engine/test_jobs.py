@@ -14,7 +14,7 @@ def test_profiles(spark):
     inv = spark.createDataFrame([("a", "T", "A", 10, "ok", False), ("b", "U", None, 10, "ok", True), ("c", "V", None, 10, "failed", False)], "novel_id string, title_guess string, author_guess string, char_count long, read_status string, is_duplicate boolean")
     texts = spark.createDataFrame([("a", BOOK), ("b", BOOK), ("c", BOOK)], "novel_id string, text string")
     rows = J.build_profiles(inv, texts, ZH, 2000).collect()
-    assert [r.novel_id for r in rows] == ["a"] and rows[0].profile_text.startswith("title: T\nauthor: A") and len(rows[0].profile_text) <= 2000
+    assert [r.novel_id for r in rows] == ["a"] and rows[0].profile_text.startswith("标题：T\n作者：A\n长度：约") and len(rows[0].profile_text) <= 2000
     assert len(J.excerpts(BOOK, ZH)) == 10 and len(J.excerpts("一句话。" * 2000, ZH)) == 10
 
 

@@ -60,6 +60,9 @@ def test_inventory_of_files(spark, folder):
 
 def test_codecs():
     assert SF.decode("é".encode())[:2] == ("é", "utf-8") and SF.decode("中文".encode("gb18030"))[:2] == ("中文", "gb18030")
+    odd = b"\xff" * 5000
+    assert SF.decode(odd, guess=lambda raw: ("latin-1", 0.9))[:2] == ("\xff" * 5000, "latin-1") and SF.decode(odd, guess=lambda raw: ("latin-1", 0.1))[0] is None
+    assert SF.decode(odd, guess=lambda raw: ("no such codec", 0.9))[3] == "no codec fits"
     assert SF.decode(b"\xef\xbb\xbfa")[0] == "﻿a" and SF.decode(b"\xff" * 5000)[0] is None
 
 
@@ -173,7 +176,12 @@ def test_pool_metrics(spark):
     rows = spark.createDataFrame([("m", "q1", 1, "a"), ("m", "q1", 2, "b"), ("m", "q1", 3, "c"), ("m", "q2", 1, "d")], "config string, query_id string, rank int, novel_id string")
     v = spark.createDataFrame([("q1", "a", 2, False), ("q1", "b", 2, True), ("q1", "c", 1, False)], "query_id string, novel_id string, positive int, violated boolean")
     r = P.judged_metrics(rows, v, 10).first()
-    assert (r.precision_strict, r.precision_lenient, r.coverage, r.feasible_strict) == (0.3333, 0.6667, 0.75, 1.0)
+    assert (r.precision_strict, r.precision_lenient, r.coverage, r.feasible_strict, r.queries) == (0.6667, 1.0, 0.75, 0.0, 1)
+    assert P.judged_metrics(rows, v, 10, needed=2).first().feasible_lenient == 1.0 and P.judged_metrics(rows.where("query_id = 'q2'"), v, 10).count() == 0
+    done = {r.kind: r for r in P.recommendation_metrics(rows.withColumn("kind", F.lit("k")), v).collect()}
+    assert [done["all"][c] for c in ("sessions", "recommended", "coverage", "strict", "lenient", "violation", "usable", "all_usable")] == [1, 4, 0.75, 0.6667, 1.0, 0.3333, 0.6667, 0.0]
+    bands = spark.createDataFrame([(-0.1,), (0.0,), (0.2,), (0.4,), (0.79,), (0.8,)], "k double").select(P.kappa_band(F.col("k")).alias("b"))
+    assert [r.b for r in bands.collect()] == ["worse than chance", "slight", "fair", "moderate", "substantial", "almost perfect"]
     w = spark.createDataFrame([(65, 75), (0, 0)], "s long, n long").select(P.wilson(F.col("s"), F.col("n")).alias("w")).collect()
     assert 0.77 < w[0].w.low < 0.78 and 0.92 < w[0].w.high < 0.93 and w[1].w is None
     a = spark.createDataFrame([("《Abc》 two",), ("xabc",), ("",)], "t string").select(P.title_matches_anchor("t", F.lit("abc")).alias("m"))
@@ -191,40 +199,64 @@ def book(n, text="这是正文。"):
 
 
 def test_digests():
-    sections, used = D.make_digest(book(40), ZH)
+    sections, used = D.make_digest(book(40), ZH, "书", "人")
+    assert sections[0][1] == f"标题：书\n作者：人\n长度：约{len(book(40))}字\n章节数：约40章\n结局：完结标记\n\n内容简介：\n一个故事。"
+    titles = dict(sections)["titles"].split("\n")
+    assert titles[0] == "章节目录（抽样）：" and titles[1].split(" / ")[:2] == ["第1章 题1", "第2章 题2"]
     kinds = [k for k, _ in sections]
     assert kinds == ["blurb"] + ["opening"] * 4 + ["titles"] + ["middle"] * 6 + ["ending"] * 2 and len(used) == 12
-    assert used[:4] == [0, 1, 2, 3] and used[-2:] == [38, 39]
-    tail = book(10).replace("题10", "番外").replace("题9", "后记")
-    assert D.digest_indices(D.split_chapters(tail, ZH))["ending"] == [6, 7]
+    assert used[:4] == [0, 1, 2, 3] and used[-2:] == [38, 39] and used[4:10] == [4 + int(f * 34) for f in (0.15, 0.30, 0.45, 0.60, 0.75, 0.90)]
+    for a, b in (("番外", "后记"), ("作者的话", "完本感言"), ("上架通知", "请假"), ("公告", "新书推荐")):
+        tail = book(10).replace("题10", a).replace("题9", b)
+        assert D.digest_indices(D.split_chapters(tail, ZH))["ending"] == [6, 7]
+    long = D.make_digest(book(10, "一二三四五六七八九十" * 6 + "。"), ZH)[0]
+    assert max(len(t) for k, t in long if k in ("opening", "middle", "ending")) <= 8000 + len("第10章 题10\n")
     assert len(D.sample_titles([(i, str(i), "") for i in range(300)], list(range(300)), 10)) == 10
     plain, none = D.make_digest("一句话。" * 3000, ZH)
-    assert none == [] and plain[1][0] == "opening" and len(plain[1][1]) == 12000
-    assert D.split_chapters("  ", ZH) == [] and D.split_chapters("x", ZH) == [(1, "", "x")]
+    assert none == [] and plain[1][0] == "opening" and len(plain[1][1]) == 12000 + len("开头：\n") and [k for k, _ in plain] == ["blurb", "opening", *["middle"] * 6, "ending"]
+    assert plain[2][1].startswith("中段 15%：\n") and plain[-1][1].startswith("结尾：\n")
+    assert D.split_chapters("  ", ZH) == [] and D.split_chapters("x", ZH) == [(1, "全文", "x")]
+
+
+def test_profiles_and_excerpts():
+    text = D.make_profile("书", "人", 10, 2, "简介文字", ["甲。" * 100, "乙"], 300)
+    assert text.startswith("标题：书\n作者：人\n长度：约10字\n章节数：约2章\n\n内容简介：\n简介文字\n\n正文节选：\n节选1：\n甲。") and text.endswith("节选2：\n乙") and len(text) <= 300
+    assert D.split_profile(text)[0] == ("blurb", "标题：书\n作者：人\n长度：约10字\n章节数：约2章\n\n内容简介：\n简介文字") and D.split_profile(text)[2] == ("excerpt", "标题：书\n乙")
+    assert D.split_profile(" ") == [] and D.split_profile("x") == [("blurb", "x")] and "作者" not in D.make_profile("书", "", 1, 1, "", [])
+    assert D.window_excerpts("一二三。四五六", [0.0, 0.9], 4, ZH.sentence_ends) == ["一二三。", "。四五六"]
+    chapters = [("opening", "第1章", "第1章 起\n" + "这一句话只在第一章里出现过一次而已\n" + "短句\n" + "这一句话两章都有所以不能拿来提问的"), ("middle", "第2章", "第2章\n这一句话两章都有所以不能拿来提问的")]
+    assert D.quote_lines(chapters, 0) == []
+    chapters[0] = ("opening", "第1章", "第1章 起\n这一句话独独出现过一次而已别无他处\n短句\n这一句话两章都有所以不能拿来提问的")
+    assert D.quote_lines(chapters, 0) == ["这一句话独独出现过一次而已别无他处"]
 
 
 def test_chunks():
     text = "\n".join("段落文字。" * (3 + i % 5) for i in range(60))
     pieces = D.chunk_text(text, 300)
-    assert "".join(pieces) == text and max(map(len, pieces)) <= 300 and min(map(len, pieces)) > max(map(len, pieces)) / 2
+    assert "\n".join(pieces) == text and max(map(len, pieces)) <= 300 and min(map(len, pieces)) > max(map(len, pieces)) / 2
     assert [len(p) for p in D.chunk_text("字" * 1200, 500)] == [500, 500, 200]
     heads = [t.split("\n")[0] for _, t in D.chunk_section("opening", "标题\n" + "内容。" * 400, 500)]
     assert set(heads) == {"标题"} and len(heads) > 2
-    assert D.split_profile("【简介】x\n【开头】t\nbody", {"【简介】": "blurb", "【开头】": "opening"}) == [("blurb", "x"), ("opening", "t\nbody")]
+    assert D.split_long("一。" * 5 + "二" * 7, 4) == ["一。一。", "一。一。", "一。", "二二二二", "二二二"] and D.chunk_section("k", " x ", 9) == [("k", " x ")] and D.chunk_section("k", " ", 9) == []
+    assert D.chunk_text("a / b / c", 4) == ["a /", "b /", "c"]
 
 
 def test_evidence_avoids_the_digest():
     chapters = D.split_chapters(book(40), ZH)
     used = {i for v in D.digest_indices(chapters).values() for i in v}
     picks = D.judge_indices("n", chapters)
-    assert len(picks) == 3 and not set(picks) & used and picks == D.judge_indices("n", chapters) != D.judge_indices("n", chapters, salt="x")
-    assert D.profile_indices(5) == [0, 1, 2, 3, 4] and D.profile_indices(100)[:4] == [0, 1, 2, 3] and max(D.profile_indices(100)) < 96
+    assert len(picks) == 6 and not set(picks) & used and picks == D.judge_indices("n", chapters) != D.judge_indices("n", chapters, salt="x")
+    assert D.judge_indices("n", chapters[:2]) == [] and D.judge_indices("n", chapters, 0) == [] and len(D.judge_indices("n", chapters[:12])) >= 1
+    text = D.judge_evidence(book(40), "n", ZH)
+    assert text.startswith("【作品简介】\n一个故事。\n\n[……]\n\n第") and text.count("\n\n[……]\n\n") == 6 and D.judge_evidence(" ", "n", ZH) == ""
+    assert D.judge_evidence("一句话。" * 3000, "n", ZH).count("[……]") == 5
+    assert D.profile_indices(5) == [0, 1, 2, 3] and D.profile_indices(10) == list(range(9)) and D.profile_indices(0) == [] and D.profile_indices(100)[:4] == [0, 1, 2, 3] and max(D.profile_indices(100)) == 94
 
 
 def test_digest_tables(spark):
     df = spark.createDataFrame([("a", book(20)), ("b", ""), ("c", None)], "novel_id string, text string")
     d = D.digests(df, "novel_id", "text", ZH)
-    assert [(r.novel_id, r.ending_status) for r in d.collect()] == [("a", "finished")]
+    assert [(r.novel_id, r.ending_status) for r in d.collect()] == [("a", "完结标记")]
     cards = spark.createDataFrame([("a", "card")], "novel_id string, card_text string")
     s = D.section_table(d, "novel_id", 400, ZH, cards)
     rows = s.orderBy("ordinal").collect()
@@ -264,12 +296,16 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_memory_and_session():
     m = T.Memory()
-    m.write("likes", "a", False)
-    m.write("likes", "b", True)
-    m.write("likes", "a", True)
-    m.write("likes", "a", False)
-    assert list(m.entries) == [("likes", "b"), ("likes", "a")] and m.saved() == [("likes", "b"), ("likes", "a")]
-    assert m.forget("likes", "b") == 1 and m.forget("likes", "b") == 0 and m.summary() == "likes: a"
+    m.write("positive", "a", False)
+    m.write("positive", "b", True)
+    m.write("positive", " a ", True)
+    assert list(m.entries) == [("positive", "b"), ("positive", "a")] and m.saved() == [("positive", "b"), ("positive", "a")]
+    m.write("positive", "a", False)
+    assert m.saved() == [("positive", "b")]
+    assert m.forget("positive", "b") == 1 and m.forget("positive", "b") == 0 and m.summary() == "偏好：a"
+    for kind, v in (("likes", "a"), ("positive", " ")):
+        with pytest.raises(ValueError):
+            m.write(kind, v, True)
     s = T.Session()
     s.note_recommendations([{"novel_id": "x", "title": "X"}, {"novel_id": "x", "title": "Y"}])
     assert s.exclude(["y", "y", "z"]) == ["y", "z"] and s.exclude(["y"]) == [] and s.avoid() == {"x", "y", "z"} and s.summary() == "1. X\nexcluded: y, z"
@@ -299,8 +335,8 @@ def test_tools(engine):
     assert tools.call("check_term", {"novel_id": "a", "terms": ["系统", "后宫"]}) == {"violation": True, "evidence": {"系统": 9.0}, "uncheckable": ["后宫"]}
     assert tools.call("ask_book", {"novel_id": "a", "question": "red"})[0]["text"] == "passage" and tools.call("get_profile", {"novel_id": "b"})["genre"] == "都市"
     assert tools.call("search_books", {"query": "x", "k": 1, "genre": None}) and engine.search(" ") == []
-    tools.call("write_memory", {"kind": "likes", "value": "dragons"})
-    assert tools.call("read_memory", {}) == "likes: dragons"
+    tools.call("write_memory", {"kind": "positive", "value": "dragons"})
+    assert tools.call("read_memory", {}) == "偏好：dragons"
     for name, args in (("nothing", {}), ("search_books", {}), ("search_books", {"query": "x", "y": 1}), ("search_books", {"query": "x", "genre": "没有"})):
         with pytest.raises(ValueError):
             tools.call(name, args)
