@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share, as ``spark.checkpoint.dir`` names it; one of our own only where that is unset, as in tests."""
+    """The folder all machines share, as ``spark.checkpoint.dir`` names it. Where that is unset, one of our own on a single
+    machine, as in tests, and an error on a cluster, whose machines could not read it."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ls-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ls-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -38,25 +43,63 @@ def saved(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, later scans prune columns."""
     path = f"{shared_folder(df.sparkSession)}/ls-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SAVED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A side of a join is broadcast only if it has been counted and holds at most so many narrow rows.
+#: Folders written by :func:`saved` that are still there, in the order of writing.
+_SAVED: list[str] = []
+
+
+def saved_so_far() -> int:
+    return len(_SAVED)
+
+
+def forget_saved(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete the tables written since a mark, but for the last ``but`` of them. What reads them must be done."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _SAVED[since : len(_SAVED) - but]
+    del _SAVED[since : len(_SAVED) - but]
+    for path in gone:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+@atexit.register
+def _forget_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if _SAVED and spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            forget_saved(spark)
+        except Exception:  # the session may be gone already; its folder is then the cluster's to clean
+            pass
+
+
+#: A side of a join is broadcast only if it is a saved table of at most so many bytes in its files and so many rows.
+BROADCAST_BYTES = 12 << 20
 BROADCAST_ROWS = 400_000
 
 
-def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a saved table for broadcast if it is small, by its count; else leave the choice, and the shuffle, to Spark."""
-    return F.broadcast(df) if df.count() <= rows else df
+def few(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a saved table for broadcast if its files and its count are small; else leave the choice, and the shuffle, to Spark."""
+    files = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if files <= size and df.count() <= rows else df
 
 
 _SLICE = 250
 
-#: Rows in an Arrow batch, at most: documents are long, and a task holds some batches on either side of its pipe. A
-#: session that asks for larger ones gets this many.
+#: Rows in an Arrow batch, at most: documents are long, and a task holds some batches on either side of its pipe.
 ARROW_ROWS = 500
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Ask a session for small Arrow batches, if it asks for none so small itself. The registered queries and the pipeline
+    do so; operators leave the session's settings alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def map_rows(
     df: DataFrame,
     inputs: list[str],
@@ -71,9 +114,6 @@ def map_rows(
     A kept column named like one of ``out`` gives way to the computed one.
     """
     out = T._parse_datatype_string(out) if isinstance(out, str) else out
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     keep = [c for c in (df.columns if keep is None else keep) if c not in out.names]
     kept = [f"{P}k{i}" for i in range(len(keep))]
     more = [c for c in dict.fromkeys(inputs) if c not in keep]  # a column that is kept anyway is sent once

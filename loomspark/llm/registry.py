@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chats, lines, media, near, packing, personal, quality, sentencepieces, substrings, urls
-from .common import checkpointed, table
+from .common import checkpointed, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,17 +54,20 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _small(query: Query) -> Query:
+    """The query in a session whose Arrow batches are small: documents are long."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    "op1_quality": op1_quality,
-    "op2_sentencepiece": op2_sentencepiece,
-    "op3_packing": op3_packing,
-    "op4_substrings": op4_substrings,
-    "op5_pii": op5_pii,
-    "op6_media": op6_media,
-    "op7_urls": op7_urls,
-    "op8_chats": op8_chats,
-    "op9_near": op9_near,
-    "op10_lines": op10_lines,
+    f.__name__: _small(f)
+    for f in (op1_quality, op2_sentencepiece, op3_packing, op4_substrings, op5_pii, op6_media, op7_urls, op8_chats, op9_near, op10_lines)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_urls": urls.oracle_sql(), "op8_chats": chats.ORACLE_SQL}
