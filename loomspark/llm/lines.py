@@ -2,16 +2,18 @@
 
 A line is cut into threshold-plus-one segments; two lines within the threshold share one of them, at nearly the same
 place. Segments are indexed with the line's length; each line probes the lengths up to the threshold below its own
-with the substrings that a match can use. Pairs that pass a parity bound are verified with a banded bit-parallel edit
-distance. Segments that many lines share are split by pieces of the parity word, one of which near lines must share,
-so no segment's lines are all compared with each other.
+with the substrings that a match can use. Index entries and probes are shuffled once, as numbers and as rows of one
+table; only rows whose key others have too go on, and only their lines are read again. Those meet if the counts of
+characters in all their beginnings differ by no more than the threshold allows, and are then verified with a banded
+bit-parallel edit distance. Segments that many lines share are split by pieces of the counts, one of which near lines
+must share, so no segment's lines are all compared with each other.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import P, few, saved
@@ -44,29 +46,50 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, rules: LineRules) -> Da
     return sized.select("d", "t", "n", "line", "size", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
 
 
-#: Characters whose counts make the sketch; lines of other scripts have equal lanes, which costs time but loses nothing.
+#: The lanes of the sketch: each counts one of these letters, and the characters that stand for it.
 SKETCH = "etaoinsrldcu"
-
-
-def sketch(line: str) -> Column:
-    """Counts, modulo 32, of twelve characters in lanes of five bits. One edit changes two lanes at most."""
+_LANES = len(SKETCH)
+#: The rest of ASCII, and the last bytes of characters outside it (128 to 191), dealt out over the lanes.
+_OTHERS = "".join(chr(c) for c in [*range(32, 127), *range(128, 192)] if chr(c) not in SKETCH)
+_STAND_INS = "".join(SKETCH[(5 * i) % _LANES] for i in range(len(_OTHERS)))
+#: A count modulo ten in five bits: neighbouring counts differ in one bit, so bits that differ bound how far two are apart.
+_CODE = [(1 << c) - 1 if c <= 5 else 31 ^ ((1 << (c - 5)) - 1) for c in range(10)]
+#: Counts are taken of the whole line and of its beginnings of so many characters, and multiples.
+_STEP = 32
+
+
+def spelled(line: str) -> Column:
+    """A line in letters of the sketch, one for each of its code points: one outside ASCII counts by its last byte in UTF-8."""
+    c = F.col(line)
+    last = F.regexp_replace(F.decode(c.cast("binary"), "ISO-8859-1"), "[\u00c0-\u00ff][\u0080-\u00bf]*(?=[\u0080-\u00bf])", "")
+    return F.translate(F.when(F.octet_length(c) == F.char_length(c), c).otherwise(last), _OTHERS, _STAND_INS)
+
+
+def lanes(text: Column) -> Column:
+    """Counts of twelve groups of characters, modulo ten, in lanes of five bits. An edit changes two lanes by one at most,
+    and so two bits. It does so in every beginning of the line, too: there an edit that shifts the rest changes one count
+    by itself and one at the end."""
     word = F.lit(0).cast("long")
     for k, c in enumerate(SKETCH):
-        count = F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(c), F.lit("")))
-        word = word.bitwiseOR(F.shiftleft((count % 32).cast("long"), 5 * k))
+        count = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
+        word = word.bitwiseOR(F.element_at(F.array(*[F.lit(x << (5 * k)).cast("long") for x in _CODE]), (count % 10 + 1).cast("int")))
     return word
 
 
-def lanes_apart(a: Column, b: Column) -> Column:
-    x = a.bitwiseXOR(b)
-    folded = x
-    for k in range(1, 5):
-        folded = folded.bitwiseOR(F.shiftrightunsigned(x, k))
-    return F.bit_count(folded.bitwiseAND(F.lit(sum(1 << (5 * k) for k in range(len(SKETCH))))))
+def sketch(line: str) -> Column:
+    """The counts of a line of any script, and of each of its beginnings: an array of words."""
+    steps = lambda t: F.filter(F.sequence(F.lit(_STEP), F.greatest(F.char_length(t), F.lit(_STEP)), F.lit(_STEP)), lambda m: m < F.char_length(t))
+    return _let(spelled(line), lambda t: F.concat(F.array(lanes(t)), F.transform(steps(t), lambda m: lanes(F.substring(t, F.lit(1), m)))))
+
+
+def counts_near(a: Column, b: Column, tau: int) -> Column:
+    """May two lines be within ``tau`` edits, by their sketches? Beginnings that one of them lacks don't count."""
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 2 * tau
+    return near(F.get(a, F.lit(0)), F.get(b, F.lit(0))) & F.forall(F.zip_with(a, b, lambda x, y: F.coalesce(near(x, y), F.lit(True))), lambda v: v)
 
 
 def piece(word: Column, j: Column, tau: int) -> Column:
-    """Piece ``j`` of ``2 tau + 1`` of a sketch; lines within ``tau`` edits have at least one piece in common. The first
+    """Piece ``j`` of ``2 tau + 1`` of a line's counts; lines within ``tau`` edits have at least one piece in common. The first
     ones take the remaining lanes, so that none is empty: all lines would share that one."""
     k = 2 * tau + 1
     ends = [sum(len(SKETCH) // k + (i < len(SKETCH) % k) for i in range(n)) for n in range(k + 1)]
@@ -94,7 +117,11 @@ def index_keys(line: str, size: str, tau: int) -> list[Column]:
 def probe_keys(line: str, size: str, tau: int) -> list[Column]:
     """Keys of the substrings that can match segment ``i`` of a line ``delta`` shorter: the edits before a segment and
     those after it bound how far it may have moved, from either end. A line's own segments, which lines of its own
-    length may hold, are left out; a substring that does not fit is null."""
+    length may hold, are left out; a substring that does not fit is null.
+
+    Lines of one length probe each other, so one of the two may look for segments that moved to the right alone: with
+    up to three edits a line has no segments that moved to either side.
+    """
     n = F.col(size)
     parts = []
     for delta in range(tau + 1):
@@ -102,7 +129,7 @@ def probe_keys(line: str, size: str, tau: int) -> list[Column]:
         for i in range(tau + 1):
             start, width = _segment(short, i, tau + 1)
             for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
-                if (delta, shift) != (0, 0):
+                if delta or shift > 0 or shift < 0 and tau > 3:
                     at = start + shift
                     parts.append(F.when((at >= 0) & (at + width <= n), F.xxhash64(short, F.lit(i), F.substring(F.col(line), at + 1, width))))
     return parts
@@ -168,35 +195,55 @@ def within(a: str, b: str, tau: int) -> Column:
 
 
 def keyed(occ: DataFrame, rules: LineRules) -> DataFrame:
-    """Occurrences as numbers only: place, hashes, sketch, own segments' keys ``i0..`` and other probes ``p0..``; sketch
-    and keys are null for lines that the edit join leaves out."""
+    """Occurrences as numbers only: place, hashes, own segments' keys ``i0..`` and other probes ``p0..``; keys are null for
+    lines that the edit join leaves out."""
     tau, joined = rules.threshold, rules.joined(F.col("size"))
     own = [F.when(joined, c).alias(f"i{k}") for k, c in enumerate(index_keys("line", "size", tau))]
     other = [F.when(joined, c).alias(f"p{k}") for k, c in enumerate(probe_keys("line", "size", tau))]
-    return occ.select("d", "t", "n", "h", "g", F.when(joined, sketch("line")).alias("w"), *own, *other)
+    return occ.select("d", "t", "n", "h", "g", *own, *other)
 
 
-def near_pairs(rows: DataFrame, rules: LineRules) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of line hashes, from :func:`keyed` rows."""
-    tau = rules.threshold
+def line_id(h: Column) -> Column:
+    """A line's number: its hash, but for the last bit, which tells index entries from probes."""
+    return h.bitwiseAND(F.lit(-2))
+
+
+#: One line in so many tells which segments are hot. That only decides which way rows take: they are the same either way.
+_LOOK = 8
+
+
+def met_entries(rows: DataFrame, rules: LineRules) -> DataFrame:
+    """Index entries and probes ``(key, v)`` of distinct lines, from :func:`keyed` rows, but for those whose key nobody
+    else has; ``v`` is the line's number, odd for an index entry."""
     keys = [c for c in rows.columns if c[0] in "ip" and c[1:].isdigit()]
     own = [c for c in keys if c[0] == "i"]
+    taken = rows.where("i0 is not null").select("h", "g", *keys)
+    looked = taken.where(F.pmod("h", F.lit(_LOOK)) == 0).select("h", *own).distinct()
+    hot = looked.select(F.explode(F.array(*own)).alias("key")).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > rules.hot // _LOOK)
+    hot = few(saved(hot.select("key", F.lit(True).alias("hot"))))
     # One row per distinct line; numbers only, so the aggregation combines before the shuffle.
-    flat = rows.where("w is not null").select("h", "g", "w", *keys).dropDuplicates(["h", "g"])
-    index = flat.select("h", "w", F.explode(F.array(*own)).alias("key"))
-    probe = flat.select("h", "w", F.explode(F.array_compact(F.array(*keys))).alias("key"))
-    hot = saved(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > rules.hot).select("key", F.lit(True).alias("hot")))
-    hot = few(hot)
-
-    def dealt(side: DataFrame) -> DataFrame:
-        pieces = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(2 * tau))).otherwise(F.array(F.lit(-1)))
-        spread = side.join(hot, "key", "left").select("h", "w", "key", F.explode(pieces).alias("j"))
-        return spread.select("h", "w", F.when(F.col("j") < 0, F.col("key")).otherwise(F.xxhash64("key", "j", piece(F.col("w"), F.greatest("j", F.lit(0)), tau))).alias("key"))
-
-    left = dealt(index).select(F.col("h").alias("a"), F.col("w").alias("wa"), "key")
-    right = dealt(probe).select(F.col("h").alias("b"), F.col("w").alias("wb"), "key")
-    met = left.join(right, "key").where((F.col("a") != F.col("b")) & (lanes_apart(F.col("wa"), F.col("wb")) <= 2 * tau))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    flat = taken.dropDuplicates(["h", "g"])
+    v = lambda k: line_id(F.col("h")).bitwiseOR(F.lit(int(k in own)))
+    table = flat.select(F.inline(F.array(*[F.struct(F.col(k).alias("key"), v(k).alias("v")) for k in keys]))).where("key is not null").join(hot, "key", "left")
+    # Keys that one row alone has, or no index entry, are nearly all; they end here, after one sort. What many have is
+    # not brought together.
+    by_key = Window.partitionBy("key")
+    cold = table.where("hot is null").select("key", "v").withColumns({"c": F.count("*").over(by_key), "o": F.max(F.col("v").bitwiseAND(F.lit(1))).over(by_key)})
+    return cold.where("c > 1 and o = 1").select("key", "v").unionByName(table.where("hot").select("key", "v"))
+
+
+def near_pairs(met: DataFrame, sketches: DataFrame, rules: LineRules) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of line numbers, from :func:`met_entries` and ``(id, s)``."""
+    tau = rules.threshold
+    known = met.select("key", F.col("v").bitwiseAND(F.lit(1)).alias("own"), line_id(F.col("v")).alias("id")).join(few(sketches), "id")
+    hot = few(saved(met.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > rules.hot).select("key", F.lit(True).alias("hot"))))
+    pieces = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(2 * tau))).otherwise(F.array(F.lit(-1)))
+    spread = known.join(hot, "key", "left").select("id", "own", "s", "key", F.explode(pieces).alias("j"))
+    dealt = F.when(F.col("j") < 0, F.col("key")).otherwise(F.xxhash64("key", "j", piece(F.get("s", F.lit(0)), F.greatest("j", F.lit(0)), tau)))
+    spread = spread.select(dealt.alias("key"), "id", "own", "s")
+    left, right = (spread.select("key", F.col("id").alias(x), F.col("own").alias(f"o{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    near = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("oa") + F.col("ob") > 0) & counts_near(F.col("sa"), F.col("sb"), tau))
+    return near.select("a", "b").distinct()
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
@@ -210,10 +257,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Li
     occ = occurrences(source, "d0", "x", rules)
     place = F.struct("d", "t", "n")
     rows = saved(keyed(occ, rules))
-    pairs = saved(near_pairs(rows, rules))
-    ids = saved(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    texts = saved(occ.where(rules.joined(F.col("size"))).join(few(ids), "h", "left_semi").groupBy("h", "g", "line").agg(F.min(place).alias("first")))
-    side = lambda s: texts.select(F.col("h").alias(s), F.struct("h", "g", "line", "first").alias(f"{s}x"))
+    met = saved(met_entries(rows, rules))
+    ids = saved(met.select(line_id(F.col("v")).alias("id")).distinct())
+    read = occ.where(rules.joined(F.col("size"))).withColumn("id", line_id(F.col("h")))
+    texts = saved(read.join(few(ids), "id", "left_semi").groupBy("id", "h", "g", "line").agg(F.min(place).alias("first")))
+    pairs = saved(near_pairs(met, saved(texts.select("id", sketch("line").alias("s")).distinct()), rules))
+    side = lambda s: texts.select(F.col("id").alias(s), F.struct("h", "g", "line", "first").alias(f"{s}x"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where("ax.line <> bx.line")
     near = both.where(within("ax.line", "bx.line", rules.threshold))
     near = saved(near.select(F.explode(F.when(F.col("ax.first") < F.col("bx.first"), F.array("bx")).otherwise(F.array("ax"))).alias("x")).select("x.h", "x.g").distinct())
