@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import lines, near, packing, personal, quality
-from loomspark.llm.common import P, checkpointed, few, saved, table
+from loomspark.llm.common import P, checkpointed, few, forget_saved, saved, saved_so_far, small_batches, table
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -75,10 +75,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read by the next."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read by the next. The
+    tables that a stage made on its way, and the one it read, are deleted once its own is written."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
+    mark = saved_so_far()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = saved(docs)
+            forget_saved(spark, mark, but=1)
     return docs
