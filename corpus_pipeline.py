@@ -19,15 +19,25 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, judged by references fitted on the labelled clean ones among them.
+
+    Null and empty texts fail the base rules and go, as do texts of fewer than 20 words; very long texts are judged whole.
+    Repeated rows are judged alike, and all stay or go. An empty table, or one without labels, is no error. All columns
+    stay as they are, whatever their names, and nulls in them do not matter.
+    """
     names = docs.columns
+    reference = saved(quality.references(docs, table(spark, sf_dir, "labels")))
     inner = docs.select(*[F.col(f"`{c}`").alias(c if c in ("text", "lang") else f"{P}c{i}") for i, c in enumerate(names)])
-    kept = quality.judge(inner).where("kept")
+    kept = quality.judge(inner, reference).where("kept")
     return kept.select(*[F.col(c if c in ("text", "lang") else f"{P}c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; a document that loses its last word goes."""
+    """Documents without repeated lines; a document that loses its last word goes.
+
+    Null texts stay, and so do texts without a word; repeated rows (id and text) keep the same lines; an empty table gives
+    an empty result. Ties of place are broken by id, nulls first, then text hash and line number. Columns keep their names.
+    """
     done = lines.dedup(docs.withColumn(f"{P}had", F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))))
     left = done.where(~F.col(f"{P}had") | F.col("text").rlike(r"\S"))
     return _measured(left.select(*docs.columns))
@@ -36,7 +46,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the least id; of rows that repeat an id and a text, one.
 
-    Where ids are missing or stand for several rows, a row is named by its id and its text's hash, null ids last.
+    Where ids are missing or stand for several rows, a row is named by its id and its text's hash, null ids last. Null
+    texts and texts without a word are linked with nothing and stay, one row for each id; an empty table gives an empty
+    result; other columns play no part, and which of equal rows stays does not matter.
     """
     counts = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     if counts.where("doc_id is null or n > 1").limit(1).count():
@@ -53,12 +65,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked."""
+    """Documents with personal data masked. Null and empty texts stay as they are, very long ones are read whole, repeated
+    rows are masked alike, of spans that tie the first kind is named, and other columns stay, whatever their names."""
     return _measured(personal.redact(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequences and offsets."""
+    """Pieces of documents with their sequences and offsets. A null or empty text is one piece with the end id alone; a very
+    long one is cut into pieces; repeated rows are packed each; equal lengths are dealt by hash order; an empty table gives
+    an empty result; of the columns only the id and the text are read."""
     return packing.pack(checkpointed(packing.pieces(docs)))
 
 

@@ -1,12 +1,14 @@
 """Quality rules: distribution divergence from language references (Jensen-Shannon distance).
 
 A document's histogram over character classes, and over the common words of its language, is compared with the
-reference of that language. References come from the corpus itself: the mean of the normalised histograms of all
-documents of the language that pass the base rules, so one long document weighs no more than another.
+reference of that language. References are fitted apart from the documents that are judged, on a bounded number of
+documents that people have labelled clean: the mean of their normalised histograms, so one long document weighs no more
+than another. They are a small table that can be stored and used for other corpora.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -73,7 +75,9 @@ def repeated_words(ids: np.ndarray, width: int = 8) -> int:
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Parameters. Distances are judged only where the document is long enough and the reference rests on enough documents."""
+    """Parameters. Distances are judged only where the document is long enough. A reference that rests on few documents
+    is trusted in proportion ``n / (n + trust_docs)``: distances from it count for that share of themselves.
+    ``max_labelled`` bounds the labelled documents that references are fitted on."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
@@ -81,7 +85,8 @@ class QualityRules:
     min_words_for_common: int = 100
     max_class_distance: float = 0.32
     max_common_distance: float = 0.31
-    min_reference_docs: int = 30
+    trust_docs: int = 10
+    max_labelled: int = 5_000
     window: int = 8
     words: dict = field(default_factory=lambda: COMMON_WORDS)
 
@@ -112,18 +117,23 @@ def document_stats(text: str | None, window: int = 8) -> tuple[int, int, int, in
     )
 
 
+#: What is taken off both ends of a word before it is looked up among the common ones: the punctuation of ASCII.
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
 def _histograms(text: str | None, lang: str | None, words: dict) -> tuple[list[int], list[int] | None]:
+    """Counts over character classes, and over the language's common words and one more class for all other words. Words
+    are the base rules' words in lower case, punctuation off both ends."""
     raw = (text or "").encode()
     classes = np.bincount(_TABLE[np.frombuffer(raw, dtype=np.uint8)], minlength=len(CLASSES) + 1)[: len(CLASSES)].tolist()
     common = words.get(lang) if lang else None
     if common is None:
         return classes, None
-    count: dict = {}
-    low = raw.lower().split()
-    for w in low:
-        count[w] = count.get(w, 0) + 1
-    hist = [sum(count.get(w.encode() + end, 0) for end in (b"", b",", b".", b"!!")) for w in common]
-    return classes, [*hist, len(low) - sum(hist)]
+    at = {w.encode(): i for i, w in enumerate(common)}
+    hist = [0] * (len(common) + 1)
+    for w, n in Counter(raw.lower().split()).items():
+        hist[at.get(w if w in at else w.strip(_PUNCTUATION), len(common))] += n
+    return classes, hist
 
 
 def features(docs: DataFrame, rules: QualityRules, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
@@ -142,21 +152,29 @@ def features(docs: DataFrame, rules: QualityRules, keep: list[str], text: str =
     return map_rows(source, [text, lang], fn, out, keep=list(dict.fromkeys([*keep, lang])))
 
 
-def references(feats: DataFrame, rules: QualityRules, lang: str = "lang") -> DataFrame:
-    """One row per language of ``rules.words`` with its mean histograms: at most as many rows as there are languages."""
+def references(docs: DataFrame, labels: DataFrame, rules: QualityRules | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
+    """One row per language of ``rules.words`` that has labelled documents: its mean histograms, and their number.
+
+    Labelled clean are documents with ``quality`` 1 that also pass the base rules; of more than ``max_labelled``, those with
+    the least hashes of their ids are taken. Rows without an id or a label, and labels without a document, count nowhere;
+    repeated rows count as often as they stand there. Without labels the result is empty.
+    """
+    rules = rules or QualityRules()
     width = max(map(len, rules.words.values())) + 1
-    ok = feats.where(~F.col("base_failed") & F.col(lang).isin(*rules.words))
+    clean = labels.where(F.col(quality) == 1).select(F.col(doc_id).alias(f"{P}id")).where(f"{P}id is not null").distinct()
+    clean = clean.orderBy(F.xxhash64(f"{P}id"), f"{P}id").limit(rules.max_labelled)
+    chosen = docs.select(F.col(doc_id).alias(f"{P}id"), text, *[c for c in (lang,) if c in docs.columns]).join(F.broadcast(clean), f"{P}id", "left_semi")  # bounded by the parameter
+    ok = features(chosen, rules, [], text, lang).where(~F.col("base_failed") & F.col(lang).isin(*rules.words))
 
     def share(name: str, i: int, total: Column) -> Column:
         return F.avg(F.when(total > 0, F.col(name)[i] / total))
 
     sums = {n: F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x) for n in (f"{P}classes", f"{P}common")}
-    means = ok.groupBy(F.col(lang).alias(f"{P}lang")).agg(
-        F.count("*").alias(f"{P}docs"),
-        F.array(*[share(f"{P}classes", i, sums[f"{P}classes"]) for i in range(len(CLASSES))]).alias(f"{P}ref_classes"),
-        F.array(*[share(f"{P}common", i, sums[f"{P}common"]) for i in range(width)]).alias(f"{P}ref_common"),
+    return ok.groupBy(F.col(lang).alias("lang")).agg(
+        F.count("*").alias("docs"),
+        F.array(*[share(f"{P}classes", i, sums[f"{P}classes"]) for i in range(len(CLASSES))]).alias("classes"),
+        F.array(*[share(f"{P}common", i, sums[f"{P}common"]) for i in range(width)]).alias("common"),
     )
-    return means.where(F.col(f"{P}docs") >= rules.min_reference_docs)
 
 
 def js_distance(hist: str, ref: str) -> Column:
@@ -172,22 +190,24 @@ def js_distance(hist: str, ref: str) -> Column:
     return F.when(total > 0, F.sqrt(F.greatest(half, F.lit(0.0))))
 
 
-def judge(docs: DataFrame, rules: QualityRules | None = None, keep: list[str] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Base counts, distances and the verdict ``kept`` beside the ``keep`` columns (all by default).
+def judge(docs: DataFrame, reference: DataFrame, rules: QualityRules | None = None, keep: list[str] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Base counts, distances and the verdict ``kept`` beside the ``keep`` columns (all by default), in one pass.
 
-    Null or empty texts have no words and fail the base rules. A language without a reference (unknown, null, or with
-    too few documents) and a document under the minimum length get null distances and are judged by the base alone.
-    Repeated rows are judged alike. An empty table gives an empty result. Input columns named like a result give way.
+    ``reference`` is what :func:`references` returns: at most one row per language of ``rules.words``.
+    Null or empty texts have no words and fail the base rules. A language without a reference (unknown, null, or not
+    labelled) and a document under the minimum length get null distances and are judged by the base alone. Very long texts
+    are judged whole, and repeated rows alike; nothing is compared between rows, so there are no ties. An empty table
+    gives an empty result. Input columns named like a result give way.
     """
     rules = rules or QualityRules()
     keep = docs.columns if keep is None else keep
     feats = features(docs, rules, keep, text, lang)
-    slim = docs.select(*dict.fromkeys(c for c in (text, lang) if c in docs.columns))
-    ref = references(features(slim, rules, [], text, lang), rules, lang)
-    joined = feats.join(F.broadcast(ref), F.col(lang) == F.col(f"{P}lang"), "left")
+    ref = reference.select(F.col("lang").alias(f"{P}lang"), F.col("docs").alias(f"{P}docs"), F.col("classes").alias(f"{P}ref_classes"), F.col("common").alias(f"{P}ref_common"))
+    joined = feats.join(F.broadcast(ref), F.col(lang) == F.col(f"{P}lang"), "left")  # as many rows as there are languages
+    trust = F.col(f"{P}docs") / (F.col(f"{P}docs") + rules.trust_docs)
     n_chars = F.aggregate(f"{P}classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    class_d = F.when(n_chars >= rules.min_chars_for_classes, js_distance(f"{P}classes", f"{P}ref_classes"))
-    common_d = F.when(F.col("n_words") >= rules.min_words_for_common, js_distance(f"{P}common", f"{P}ref_common"))
+    class_d = F.when(n_chars >= rules.min_chars_for_classes, js_distance(f"{P}classes", f"{P}ref_classes") * trust)
+    common_d = F.when(F.col("n_words") >= rules.min_words_for_common, js_distance(f"{P}common", f"{P}ref_common") * trust)
     kept_columns = [c for c in keep if c not in {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", "kept"}]
     far = (F.coalesce("class_distance", F.lit(0.0)) > rules.max_class_distance) | (F.coalesce("common_distance", F.lit(0.0)) > rules.max_common_distance)
     return joined.select(

@@ -8,13 +8,14 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chats, lines, media, near, packing, personal, quality, sentencepieces, substrings, urls
-from .common import checkpointed, small_batches, table
+from .common import checkpointed, saved, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, saved(quality.references(docs, table(spark, sf_dir, "labels"))), keep=["doc_id"])
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,22 +43,88 @@ def test_stats_equal_a_plain_version():
         assert quality.document_stats(t) == plain_stats(t)
 
 
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def plain_verdicts(docs, clean, rules):
+    """Verdicts by lists and dictionaries: ``docs`` and the labelled ``clean`` are (text, lang)."""
+    import math
+
+    def histograms(text, lang):
+        classes = [0] * len(quality.CLASSES)
+        for c in text or "":
+            o = ord(c)
+            kind = "latin" if 128 <= o < 0x800 else "wide" if 0x800 <= o < 0x10000 else "astral" if o >= 0x10000 else (
+                "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "line" if c == "\n" else "space" if c.isspace()
+                else "control" if not c.isprintable() else "stop" if c in ".!?" else "pause" if c in ",;:-" else "quote" if c in "'\"()" else "symbol"
+            )
+            classes[quality.CLASSES.index(kind)] += 1
+        ws = [w if w in rules.words[lang] else w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))] if lang in rules.words else []
+        common = [ws.count(w) for w in rules.words.get(lang, [])]
+        return classes, [*common, len(ws) - sum(common)]
+
+    def distance(h, ref):
+        p = [x / sum(h) for x in h]
+        m = [(x + y) / 2 for x, y in zip(p, ref)]
+        kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m) if x)
+        return math.sqrt(max(0.0, (kl(p) + kl(ref)) / 2))
+
+    bad = lambda s: s[0] < rules.min_words or 100 * s[4] > rules.max_repeat_percent * s[0]
+    ref = {}
+    for lang in rules.words:
+        hs = [histograms(t, lang) for t, g in clean if g == lang and not bad(plain_stats(t))]
+        if hs:
+            mean = lambda k: [float(np.mean([h[k][i] / sum(h[k]) for h in hs])) for i in range(len(hs[0][k]))]
+            ref[lang] = len(hs) / (len(hs) + rules.trust_docs), mean(0), mean(1)
+    out = []
+    for t, g in docs:
+        s, (classes, common) = plain_stats(t), histograms(t, g)
+        trust, far, near = ref.get(g, (0, None, None))
+        a = trust * distance(classes, far) if far and sum(classes) >= rules.min_chars_for_classes else None
+        b = trust * distance(common, near) if near and s[0] >= rules.min_words_for_common else None
+        out.append((a, b, not bad(s) and (a or 0) <= rules.max_class_distance and (b or 0) <= rules.max_common_distance))
+    return out
+
+
+def test_quality_equals_a_plain_version(spark):
+    r = random.Random(8)
+    prose = lambda g: " ".join(r.choice(quality.COMMON_WORDS[g]) if r.random() < 0.4 else "".join(r.choice("abcdefé") for _ in range(5)) + r.choice(["", "", ",", ".", "!!"]) for _ in range(r.randint(60, 250)))
+    odd = lambda: " ".join("".join(r.choice("#$%AB12é中🙂") for _ in range(r.randint(1, 9))) for _ in range(150))
+    texts = [(prose(g), g) for g in ("en", "de", "fr") for _ in range(25)] + [(odd(), r.choice(["en", "de", "es", None, "xx"])) for _ in range(30)] + [(t, "en") for _, t in ODD[1:-1]]
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(texts)], "doc_id long, text string, lang string")
+    told = labels(spark, [(i, 1, 0) for i in [*range(20), *range(25, 40), 50]] + [(80, 0, 0), (None, 1, 0), (9999, 1, 0), (0, 1, 0)])
+    clean = [texts[i] for i in [*range(20), *range(25, 40), 50]]
+    rules = quality.QualityRules(max_class_distance=0.2, max_common_distance=0.2)
+    rows = quality.judge(df, quality.references(df, told, rules), rules).orderBy("doc_id").collect()
+    want = plain_verdicts(texts, clean, rules)
+    assert len(rows) == len(texts) and 20 < sum(w[2] for w in want) < len(texts) - 10
+    for row, (a, b, kept) in zip(rows, want):
+        assert (row.class_distance is None) == (a is None) and (row.common_distance is None) == (b is None) and row.kept == kept
+        assert abs((row.class_distance or 0) - (a or 0)) < 1e-9 and abs((row.common_distance or 0) - (b or 0)) < 1e-9
+
+
 def test_quality_judges_junk_and_keeps_the_rest(spark):
     clean = [(i, " ".join(r if k % 4 else "the" for k, r in enumerate(words(150, i))) + ".") for i in range(200, 260)]
     junk = [(1000, "### $$$ ||| " * 80), (1001, "SHOUT!! LOUD!! " * 60), (1002, "few words")]
     df = documents(spark, clean + junk + ODD).withColumnRenamed("keys", "n_words").drop("lang")
     from pyspark.sql import functions as F
 
-    rows = quality.judge(df.withColumn("lang", F.lit("en")), quality.QualityRules(), keep=["doc_id", "n_words"]).collect()
-    assert len(rows) == len(clean + junk + ODD)
+    df = df.withColumn("lang", F.lit("en"))
+    reference = quality.references(df, labels(spark, [(i, 1, 0) for i in range(200, 240)]))
+    rows = quality.judge(df, reference, quality.QualityRules(), keep=["doc_id", "n_words"]).collect()
+    assert len(rows) == len(clean + junk + ODD) and reference.first().docs == 40
     kept = {r.doc_id: r.kept for r in rows}
     assert all(kept[i] for i, _ in clean)
     assert not kept[1000] and not kept[1001] and not kept[1002] and not kept[7] and not kept[8]
     by = {r.doc_id: r for r in rows}
     assert by[1002].class_distance is None and by[200].class_distance is not None
-    assert quality.judge(empty(spark)).count() == 0
+    none = quality.references(empty(spark), labels(spark, []))
+    assert none.count() == 0 and quality.judge(empty(spark), none).count() == 0
     # Without references, nothing but the base decides.
-    assert {r.doc_id for r in quality.judge(documents(spark, clean[:3])).collect() if r.kept} == {200, 201, 202}
+    assert {r.doc_id for r in quality.judge(documents(spark, clean[:3]), none).collect() if r.kept} == {200, 201, 202}
+    # The number of labelled documents is bounded by the parameter.
+    assert quality.references(df, labels(spark, [(i, 1, 0) for i in range(200, 240)]), quality.QualityRules(max_labelled=7)).first().docs == 7
 
 
 def test_distance_is_the_jensen_shannon_distance(spark):
