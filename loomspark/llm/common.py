@@ -86,6 +86,9 @@ def few(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES)
     return F.broadcast(df) if files <= size and df.count() <= rows else df
 
 
+#: A key with more than one in so many of a table's rows is hot; there are fewer hot keys than this.
+HOT_SHARE = 1_000
+
 _SLICE = 250
 
 #: Rows in an Arrow batch, at most: documents are long, and a task holds some batches on either side of its pipe.

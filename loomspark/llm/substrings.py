@@ -11,20 +11,25 @@ import re
 from dataclasses import dataclass
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, few, map_rows, saved
+from .common import HOT_SHARE, P, map_rows, saved
 
 
 @dataclass(frozen=True)
 class SpanRules:
     """A run has at least ``min_sentences`` sentences and ``min_words`` words. A single sentence of ``alone`` words is a
-    run too, so that a long passage without sentence marks is not missed."""
+    run too, so that a long passage without sentence marks is not missed. Runs that make up more than a thousandth of all,
+    and occur more than about ``hot`` times, are never brought together in one task."""
 
     min_sentences: int = 2
     min_words: int = 20
     alone: int = 40
+    hot: int = 1024
+
+
+_LOOK = 8
 
 
 #: A sentence ends after its marks, with closing quotes, before white space; or at a line's end.
@@ -113,8 +118,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Sp
     stretches of the old text that are gone.
 
     First is the occurrence with the least id, then the least text hash, then the least place; null ids come first.
-    Null and empty texts have no sentences and stay as they are. Rows that repeat an id and a text are one document and
-    keep the same sentences. Texts are never held together: runs travel as numbers, and each document is cut by itself.
+    Null and empty texts have no sentences and stay as they are; an empty table gives an empty result. Rows that repeat an
+    id and a text are one document and keep the same sentences. Extra columns stay, but for those named like a new one.
+    Texts are never held together: runs are made once and travel as numbers, and each document is cut by itself.
     """
     key = [F.col(doc_id).alias(f"{P}d"), F.xxhash64(F.col(text)).alias(f"{P}t")]
 
@@ -122,13 +128,21 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Sp
         for t in columns[0]:
             yield ([{"h": h, "g": g, "a": a, "k": k} for h, g, a, k in runs(t, rules)],)
 
-    listed = map_rows(docs.select(*key, F.col(text).alias(f"{P}x")), [f"{P}x"], fn, "runs array<struct<h:bigint,g:bigint,a:int,k:int>>", keep=[f"{P}d", f"{P}t"])
+    listed = saved(map_rows(docs.select(*key, F.col(text).alias(f"{P}x")), [f"{P}x"], fn, "runs array<struct<h:bigint,g:bigint,a:int,k:int>>", keep=[f"{P}d", f"{P}t"]))
     spans = listed.select(f"{P}d", f"{P}t", F.inline("runs"))
-    again = saved(spans.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    hits = saved(spans.join(few(again), "h").dropDuplicates(["h", "g", "a", "k", f"{P}d", f"{P}t"]))
     place = F.struct(f"{P}d", f"{P}t", "a")
-    first = hits.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = hits.join(first, ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
+    # One document in so many tells which runs are hot, fewer than HOT_SHARE. That only decides how rows are dealt.
+    looked = listed.where(F.pmod(f"{P}t", F.lit(_LOOK)) == 0)
+    least = max(rules.hot // _LOOK, (looked.agg(F.sum(F.size("runs"))).first()[0] or 0) // HOT_SHARE)
+    hot = [r.h for r in looked.select(F.inline("runs")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()]
+    # The firsts of hot runs are aggregated and come to their rows, which are dealt out; all other runs are brought
+    # together once, where first and number are told to each row on the spot.
+    first = saved(spans.where(F.col("h").isin(hot)).groupBy("h", "g").agg(F.min(place).alias("f")))
+    marked = spans.join(F.broadcast(first) if len(hot) < HOT_SHARE else first, ["h", "g"], "left")
+    deal = F.when(F.col("f").isNotNull(), F.pmod(F.xxhash64(f"{P}d", f"{P}t"), F.lit(HOT_SHARE))).otherwise(F.lit(0))
+    same = Window.partitionBy("h", "g", deal)
+    told = marked.withColumns({"first": F.coalesce("f", F.min(place).over(same)), "n": F.count("*").over(same)})
+    later = told.where((F.col("f").isNotNull() | (F.col("n") > 1)) & ~place.eqNullSafe(F.col("first")))
     spans_by_doc = saved(later.groupBy(f"{P}d", f"{P}t").agg(F.collect_list(F.struct("a", "k")).alias(f"{P}s")))
     sized = spans_by_doc.withColumnsRenamed({f"{P}d": f"{P}e", f"{P}t": f"{P}u"})
     tagged = docs.withColumns({f"{P}d": F.col(doc_id), f"{P}t": F.xxhash64(F.col(text))})

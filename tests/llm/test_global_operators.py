@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -101,26 +102,53 @@ def test_estimates_are_near_the_truth(spark):
 # ------------------------------------------------------------------ substrings
 
 
+def plain_sentences(text):
+    """Sentences by one split: after marks with closing quotes before white space, and at line ends."""
+    cuts = [m.end() for m in re.finditer(r"[.!?]+[\"')\]]*(?=\s)|\n", text)]
+    parts = [(a, b, text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
+    return [(a + len(p) - len(p.lstrip()), p.split()) for a, b, p in parts if p.strip()]
+
+
 def plain_cut(texts, rules):
-    found = [substrings.runs(t, rules) for _, t in texts]
+    """All spans of sentences whose words reach the number, none of whose ends could be left out, are looked up by their words."""
+    every = []
+    for _, t in texts:
+        s = [w for _, w in plain_sentences(t or "")]
+        spans = set()
+        for i in range(len(s)):
+            for j in range(i + 1, len(s) + 1):
+                words = sum(map(len, s[i:j]))
+                fits = lambda a, b: b - a >= rules.min_sentences and sum(map(len, s[a:b])) >= rules.min_words
+                if fits(i, j) and (not fits(i, j - 1) or not fits(i + 1, j)) or j - i == 1 and words >= rules.alone:
+                    spans.add((i, j))
+        every.append((s, spans))
     first = {}
     order = sorted(range(len(texts)), key=lambda i: (texts[i][0] is not None, texts[i][0] or 0))
-    for i in order:
-        for h, g, a, k in sorted(found[i], key=lambda x: x[2]):
-            first.setdefault((h, g), (texts[i], a))
-    return [substrings.cut(t, [(a, k) for h, g, a, k in found[i] if first[h, g] != ((d, t), a)])[:2] for i, (d, t) in enumerate(texts)]
+    said = lambda s, i, j: tuple(" ".join(w) for w in s[i:j])
+    for k in order:
+        s, spans = every[k]
+        for i, j in sorted(spans):
+            first.setdefault(said(s, i, j), (texts[k], i))
+    out = []
+    for (d, t), (s, spans) in zip(texts, every):
+        gone = {x for i, j in spans if first[said(s, i, j)] != ((d, t), i) for x in range(i, j)}
+        at = [a for a, _ in plain_sentences(t or "")] + [len(t or "")]
+        left = t if not gone else t[: at[0]] + "".join(t[at[x] : at[x + 1]] for x in range(len(s)) if x not in gone)
+        out.append((left, len(gone)))
+    return out
 
 
 def passage(seed, n=5):
     return " ".join(" ".join(words(12, seed * 100 + i)).capitalize() + "." for i in range(n))
 
 
-def test_substrings_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [1024, 8])
+def test_substrings_equal_brute_force(spark, hot):
     shared = [passage(i) for i in range(4)]
     texts = [(20 + i, f"{passage(50 + i, 2)} {shared[i % 4]} {passage(80 + i, 2)}\n{shared[(i + 1) % 4] if i % 3 else ''}") for i in range(12)]
     texts += [(50, shared[0] + " " + shared[0]), (51, "short. short. short. short."), (52, "short. short."), *ODD]
     df = documents(spark, texts).withColumnRenamed("keys", "removed")
-    got = sorted(((r.doc_id, r.text, r.n_removed) for r in substrings.dedup(df).collect()), key=str)
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in substrings.dedup(df, rules=substrings.SpanRules(hot=hot)).collect()), key=str)
     want = sorted(((d, *x) for (d, _), x in zip(texts, plain_cut(texts, substrings.SpanRules()))), key=str)
     assert got == want
     by = {d: n for d, _, n in got}
