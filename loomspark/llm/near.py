@@ -3,8 +3,9 @@
 Exact copies of a shingle set are one node. Nodes meet in bands of their minima; the estimate from packed b-bit
 signatures, corrected for chance collisions, drops far pairs; what stays is confirmed on the full sets. A bucket never
 emits all its pairs. First, members are compared with the least member of each of their buckets. Then the other members
-of a bucket that holds part of a large component are compared with that component within a join's condition, on full
-sets and block by block. At last, members of small components that still differ meet in their buckets, by signature.
+of a bucket that holds part of a large component look for blocks of that component by signatures, and only where a block
+holds one that may be near are full sets compared, within a join's condition. At last, members of small components that
+still differ meet in their buckets, by signature; a bucket of many nodes is met in blocks.
 """
 
 from __future__ import annotations
@@ -140,16 +141,26 @@ def similar(a: str, b: str, rules: NearRules) -> Column:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
-    """Those pairs ``(a, b)`` whose full shingle sets are similar enough."""
+    """Those pairs ``(a, b)`` whose full shingle sets are similar enough.
+
+    A node that many pairs have as their ``b``, the centre of a star, is dealt out: its pairs go to as many places as they
+    need, and a copy of its set to each.
+    """
     sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, rules)
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / rules.block).cast("int").alias("ways")).where("ways > 1")
+    hubs = few(saved(hubs))
+    ways = F.coalesce("ways", F.lit(1))
+    sa = sets.withColumnsRenamed({"id": "a", "set": "sa"})
+    sb = sets.withColumnsRenamed({"id": "b", "set": "sb"}).join(hubs, "b", "left").select("b", "sb", F.explode(F.sequence(F.lit(0), ways - 1)).alias("way"))
+    dealt = pairs.join(hubs, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), ways).cast("int").alias("way"))
+    both = dealt.join(sa, "a").join(sb, ["b", "way"])
     return both.where(similar("sa", "sb", rules)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: NearRules | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, a row per input row, and ``text_hash`` to find the row by.
 
-    Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id are judged each by its own
+    Null and empty texts have no shingles and are linked with nothing; an empty table gives an empty result. Rows that repeat an id are judged each by its own
     text; where their sets are nodes of the graph under that id, a link of either holds for both. Equal rows get equal
     results. A row without an id is linked with nothing, has no component and is kept. Ties do not matter, as components
     and their least ids are unique. Extra columns are not read.
@@ -178,8 +189,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = saved(components(confirmed(star, docs, rules), "a", "b"))
     labelled = saved(nodes.join(first, "node", "left").select("node", "keys", "sig", F.coalesce("root", "node").alias("comp")))
 
-    # Where a bucket holds part of a large component, its other members are compared with all of that component, on full
-    # sets, block by block; of two large components the smaller one looks for the larger.
+    # Where a bucket holds part of a large component, its other members are compared with all of that component, block by
+    # block; of two large components the smaller one looks for the larger. Signatures go to all blocks, sets only to
+    # those that hold a node which is near by them: a row for each such block leaves the join, and not one for each pair.
     sizes = labelled.groupBy("comp").agg(F.count("*").alias("size"))
     large = few(saved(sizes.where(F.col("size") > rules.large)))
     ranked = labelled.join(large, "comp", "left").select("node", "comp", "size", F.explode("keys").alias("key"))
@@ -188,28 +200,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     seek = saved(ranked.join(crowds, "key").where(smaller).select(F.col("node").alias("a"), "crowd", "crowd_size").distinct())
     crowd = labelled.join(few(saved(seek.select(F.col("crowd").alias("comp"), "crowd_size").distinct())), "comp")
     crowd = crowd.select(F.col("comp").alias("crowd"), F.col("node").alias("b"), F.col("sig").alias("gb"), F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd_size") / rules.block)).cast("int").alias("block"))
-    sets = sets_of(seek.select(F.col("a").alias("id")).union(crowd.select("b")), docs, rules)
-    seeker = seek.join(sig.withColumnsRenamed({"node": "a", "sig": "ga"}), "a").join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a")
-    seeker = seeker.select("a", "crowd", "ga", "sa", F.explode(F.sequence(F.lit(0), F.ceil(F.col("crowd_size") / rules.block).cast("int") - 1)).alias("block"))
+    crowd = saved(crowd)
+    seeker = seek.join(sig.withColumnsRenamed({"node": "a", "sig": "ga"}), "a")
+    seeker = seeker.select("a", "crowd", "ga", F.explode(F.sequence(F.lit(0), F.ceil(F.col("crowd_size") / rules.block).cast("int") - 1)).alias("block"))
+    there = crowd.select(F.col("crowd").alias("c"), F.col("block").alias("k"), "gb")
+    seeker = saved(seeker.join(there, (F.col("crowd") == F.col("c")) & (F.col("block") == F.col("k")) & (estimate("ga", "gb", rules) >= least), "left_semi"))
+    asked = few(saved(seeker.select("crowd", "block").distinct()))
+    crowd = crowd.join(asked, ["crowd", "block"], "left_semi")
+    sets = sets_of(seeker.select(F.col("a").alias("id")).union(crowd.select("b")), docs, rules)
     full = crowd.join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
+    seeker = seeker.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a")
     found = saved(seeker.join(full, ["crowd", "block"]).where((estimate("ga", "gb", rules) >= least) & similar("sa", "sb", rules)).select("a", "b").distinct())
     label = labelled.select("node", "comp")
     met = found.join(label.withColumnsRenamed({"node": "a", "comp": "ca"}), "a").join(label.withColumnsRenamed({"node": "b", "comp": "cb"}), "b")
     second = saved(components(met.select("ca", "cb"), "ca", "cb").withColumnsRenamed({"node": "comp", "root": "comp2"}))
 
     # What is left are pairs of nodes in small components. In each bucket the members outside its largest component look
-    # for all others; a pair leaves the join only if it is near by its estimate, and once.
+    # for all others; a pair leaves the join only if it is near by its estimate, and once. Those who look are dealt into
+    # blocks, so that no task has more than a block of them.
     small = saved(labelled.join(large, "comp", "left_anti").join(few(second), "comp", "left").select("node", "keys", "sig", F.coalesce("comp2", "comp").alias("comp")))
     inside = small.select("node", "comp", F.explode("keys").alias("key"))
-    split = inside.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("n", "comp")).alias("top")).where("k > 1")
-    split = saved(split.select("key", "top"))
+    split = inside.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max_by("comp", F.struct("n", "comp")).alias("top")).where("k > 1")
+    split = saved(split.select("key", "top", F.ceil(F.col("all") / rules.block).cast("int").alias("ways")))
     here = inside.join(few(split), "key").join(small.select("node", "keys", "sig"), "node")
-    side = lambda s: here.select("key", *[F.col(c).alias(f"{n}{s}") for c, n in (("node", ""), ("comp", "c"), ("sig", "g"), ("keys", "k"))], "top")
-    asking = side("a").where("ca <> top")
+    side = lambda s: here.select("key", *[F.col(c).alias(f"{n}{s}") for c, n in (("node", ""), ("comp", "c"), ("sig", "g"), ("keys", "k"))], "top", "ways")
+    asking = side("a").where("ca <> top").withColumn("way", F.pmod(F.xxhash64("a"), F.col("ways")).cast("int")).drop("ways")
+    other = side("b").withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("top", "ways")
     # Two nodes that share several buckets meet in the first of them.
     shared = F.zip_with("ka", "kb", lambda x, y: F.when(x == y, x))
     once = F.filter(shared, lambda x: x.isNotNull())[0] == F.col("key")
-    near = asking.join(side("b").drop("top"), "key").where(F.expr("ca <> cb and (cb = top or a < b)") & (estimate("ga", "gb", rules) >= least) & once)
+    near = asking.join(other, ["key", "way"]).where(F.expr("ca <> cb and (cb = top or a < b)") & (estimate("ga", "gb", rules) >= least) & once)
     pairs = saved(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = confirmed(pairs, docs, rules)
     label = saved(labelled.select("node", "comp").join(few(second), "comp", "left").select("node", F.coalesce("comp2", "comp").alias("comp")))
