@@ -140,21 +140,24 @@ def similar(a: str, b: str, rules: NearRules) -> Column:
     return 100 * n >= rules.percent * (F.size(a) + F.size(b) - n)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
-    """Those pairs ``(a, b)`` whose full shingle sets are similar enough.
+def beside(pairs: DataFrame, values: DataFrame, rules: NearRules) -> DataFrame:
+    """Saved pairs ``(a, b)`` with the values ``(id, v)`` of both, as ``va`` and ``vb``.
 
     A node that many pairs have as their ``b``, the centre of a star, is dealt out: its pairs go to as many places as they
-    need, and a copy of its set to each.
+    need, and a copy of its value to each.
     """
-    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, rules)
     hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / rules.block).cast("int").alias("ways")).where("ways > 1")
     hubs = few(saved(hubs))
     ways = F.coalesce("ways", F.lit(1))
-    sa = sets.withColumnsRenamed({"id": "a", "set": "sa"})
-    sb = sets.withColumnsRenamed({"id": "b", "set": "sb"}).join(hubs, "b", "left").select("b", "sb", F.explode(F.sequence(F.lit(0), ways - 1)).alias("way"))
+    vb = values.select(F.col("id").alias("b"), F.col("v").alias("vb")).join(hubs, "b", "left").select("b", "vb", F.explode(F.sequence(F.lit(0), ways - 1)).alias("way"))
     dealt = pairs.join(hubs, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), ways).cast("int").alias("way"))
-    both = dealt.join(sa, "a").join(sb, ["b", "way"])
-    return both.where(similar("sa", "sb", rules)).select("a", "b").distinct()
+    return dealt.join(values.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(vb, ["b", "way"]).drop("way")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
+    """Those of the saved pairs ``(a, b)`` whose full shingle sets are similar enough."""
+    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, rules)
+    return beside(pairs, sets.withColumnRenamed("set", "v"), rules).where(similar("va", "vb", rules)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: NearRules | None = None) -> DataFrame:
@@ -179,8 +182,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sig = nodes.select("node", "sig")
 
     def close(pairs: DataFrame) -> DataFrame:
-        given = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "ga"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "gb"}), "b")
-        return saved(given.where(estimate("ga", "gb", rules) >= least).select("a", "b").distinct())
+        given = beside(saved(pairs), sig.withColumnsRenamed({"node": "id", "sig": "v"}), rules)
+        return saved(given.where(estimate("va", "vb", rules) >= least).select("a", "b").distinct())
 
     # Members against the least member of each of their buckets.
     bands = nodes.select("node", F.explode("keys").alias("key"))
