@@ -8,6 +8,8 @@ earlier turn, which a second join checks, so turn and rank together are a topolo
 from __future__ import annotations
 
 import json
+import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +33,61 @@ _TYPES = {
 }
 
 
+#: Values nested deeper are not read as JSON, far below the depth at which the interpreter gives up.
+MAX_DEPTH = 100
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if math.isinf(value):
+        raise ValueError("a number beyond what floats hold")
+    return value
+
+
+def too_deep(value) -> bool:
+    """Is a value nested more than :data:`MAX_DEPTH` levels? Level by level, so without recursion."""
+    level = [value]
+    for _ in range(MAX_DEPTH + 1):
+        level = [x for v in level for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())]
+        if not level:
+            return False
+    return True
+
+
+def read(text: str):
+    """A JSON value by the letter of the standard: no NaN or infinities, of equal keys the last; none too deep, and no
+    numbers beyond what floats hold."""
+    try:
+        value = json.loads(text, parse_constant=_no_number, parse_float=_finite)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    if too_deep(value):
+        raise ValueError("nested too deep")
+    return value
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no spaces and characters as they are, but for halves of surrogate pairs, which no encoding
+    has: they are escaped."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return text if text.isascii() else _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+_HALF = re.compile("[\ud800-\udfff]")
+
+
+def shown(text: str | None) -> str | None:
+    """A text that UTF-8 can hold: halves of surrogate pairs give way to their escapes."""
+    return None if text is None else _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def problems(value, schema: dict, at: str = "$") -> list[str]:
-    """What is wrong with a value: types, enumerations, required and unknown keys, lengths, bounds and items."""
+    """What is wrong with a value: types, enumerations, required and unknown keys, lengths, bounds and items. It goes as
+    deep as the schema and the value both do."""
     kinds = schema.get("type")
     if kinds and not any(_TYPES[k](value) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: not of type {kinds}"]
@@ -92,13 +142,15 @@ def parse(conv_id, turn, role: str | None, text: str | None, schemas: dict[str,
 
     A message of role ``assistant`` that is a JSON object with ``tool_calls`` makes calls; one of role ``tool`` with
     ``tool_call_id`` is a result. With ``plain``, a user's text is a call of ``reply`` under ``conversation:turn`` and
-    the assistant's text of the next turn its result. Anything else, null or empty texts included, makes neither.
+    the assistant's text of the next turn its result. Anything else makes neither: null or empty texts, JSON that does not
+    parse, holds NaN or an infinity, or is nested more than :data:`MAX_DEPTH` levels. Arguments given as text that is no
+    such JSON stay text. Very long texts are read whole.
     """
     data = None
     if text and text.lstrip()[:1] == "{":
         try:
-            data = json.loads(text)
-        except (ValueError, RecursionError):
+            data = read(text)
+        except ValueError:
             data = None
     calls: list[dict] = []
     results: list[dict] = []
@@ -108,21 +160,22 @@ def parse(conv_id, turn, role: str | None, text: str | None, schemas: dict[str,
             arguments = c.get("arguments")
             if isinstance(arguments, str):
                 try:
-                    arguments = json.loads(arguments)
-                except (ValueError, RecursionError):
+                    arguments = read(arguments)
+                except ValueError:
                     pass
-            calls.append({"id": c.get("id") if isinstance(c.get("id"), str) else None, "name": c.get("name") if isinstance(c.get("name"), str) else None, "value": arguments})
+            name = lambda x: shown(x) if isinstance(x, str) else None
+            calls.append({"id": name(c.get("id")), "name": name(c.get("name")), "value": arguments})
     elif role == "tool" and isinstance(data, dict) and isinstance(data.get("tool_call_id"), str):
         content = data.get("content")
-        results.append({"id": data["tool_call_id"], "content": content if isinstance(content, str) else canonical(content)})
+        results.append({"id": shown(data["tool_call_id"]), "content": shown(content) if isinstance(content, str) else canonical(content)})
     elif plain and text and conv_id is not None and turn is not None:
         if role == "user":
             calls.append({"id": f"{conv_id}:{turn}", "name": "reply", "value": {"text": text}})
         elif role == "assistant":
             results.append({"id": f"{conv_id}:{turn - 1}", "content": text})
     for c in calls:
-        c["refs"] = references(c["value"])
-        c["problem"] = "; ".join(problems(c["value"], schemas[c["name"]])) if c["name"] in schemas else "unknown tool"
+        c["refs"] = [shown(r) for r in references(c["value"])]
+        c["problem"] = shown("; ".join(problems(c["value"], schemas[c["name"]]))) if c["name"] in schemas else "unknown tool"
         c["arguments"] = canonical(c.pop("value"))
     for c, r in zip(calls, ranks(calls)):
         c["rank"] = r
@@ -136,7 +189,9 @@ def link(messages: DataFrame, schemas: dict[str, dict] | None = None, plain: boo
     the call with its result. ``status`` is the first that holds of ``unidentified`` (no id or conversation),
     ``duplicate`` (an earlier call, or result, has the id), ``orphan`` (a result without call), ``circular``,
     ``forward`` (refers to a call that is not earlier, or to none), ``invalid``, ``unanswered``, ``early`` (the result
-    stands before the call) and ``linked``. Earlier is by turn (null first), then place and content. Extra columns are not read.
+    stands before the call) and ``linked``. Earlier is by turn (null first), then place and content. Equal calls of equal
+    place, which repeated rows give, are told apart by number: one is the first, the others duplicates, and so with results.
+    Null and empty texts and an empty table give nothing; extra columns are not read, so their names do not matter.
     """
     schemas = SCHEMAS if schemas is None else schemas
 
@@ -168,17 +223,27 @@ def link(messages: DataFrame, schemas: dict[str, dict] | None = None, plain: boo
         .when(F.col("r").isNull(), "unanswered").when(F.col("r.result_turn") <= F.col("c.turn"), "early").otherwise("linked")
     )
     linked = met.select("conv_id", F.col("c.turn").alias("turn"), F.col("id").alias("call_id"), "c.rank", "c.name", status.alias("status"), "c.problem", "r.result_turn", "c.arguments", "r.content")
-    # Later calls and results under the same identifier are told, and linked with nothing.
-    again = calls.join(first.where("n > 1").select(*key, F.struct("c.turn", "c.k", "c.arguments", "c.name").alias("f")), key)
-    again = again.where(~place.eqNullSafe(F.col("f"))).select("conv_id", "turn", F.col("id").alias("call_id"), "rank", "name", F.lit("duplicate").alias("status"), "problem", F.lit(None).cast("long").alias("result_turn"), "arguments", F.lit(None).cast("string").alias("content"))
-    more = results.join(answer.where("m > 1").select(*key, F.col("r").alias("f")), key)
-    more = more.where(~F.struct("result_turn", "content").eqNullSafe(F.col("f"))).select("conv_id", F.lit(None).cast("long").alias("turn"), F.col("id").alias("call_id"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("name"), F.lit("duplicate").alias("status"), F.lit(None).cast("string").alias("problem"), "result_turn", F.lit(None).cast("string").alias("arguments"), "content")
-    lost = calls.where(~named).select("conv_id", "turn", F.col("id").alias("call_id"), "rank", "name", F.lit("unidentified").alias("status"), "problem", F.lit(None).cast("long").alias("result_turn"), "arguments", F.lit(None).cast("string").alias("content"))
+    # Later calls and results under the same identifier are told, and linked with nothing. Of rows equal to the first, all
+    # but one are later.
+    def later(rows: DataFrame, is_first) -> DataFrame:
+        names = [c for c in rows.columns if c != "f"]
+        counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("same")).withColumn("same", F.col("same") - is_first.cast("long"))
+        return counted.where("same > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "same"))).drop("col")
+
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    told = [F.col("id").alias("call_id"), "rank", "name"]
+    again = later(calls.join(first.where("n > 1").select(*key, F.struct("c.turn", "c.k", "c.arguments", "c.name").alias("f")), key), place.eqNullSafe(F.col("f")))
+    again = again.select("conv_id", "turn", *told, F.lit("duplicate").alias("status"), "problem", null("long", "result_turn"), "arguments", null("string", "content"))
+    more = later(results.join(answer.where("m > 1").select(*key, F.col("r").alias("f")), key), F.struct("result_turn", "content").eqNullSafe(F.col("f")))
+    more = more.select("conv_id", null("long", "turn"), F.col("id").alias("call_id"), null("int", "rank"), null("string", "name"), F.lit("duplicate").alias("status"), null("string", "problem"), "result_turn", null("string", "arguments"), "content")
+    lost = calls.where(~named).select("conv_id", "turn", *told, F.lit("unidentified").alias("status"), "problem", null("long", "result_turn"), "arguments", null("string", "content"))
     rows = linked.unionByName(again).unionByName(more).unionByName(lost)
 
     def write(columns):
         for i, n, a, c in zip(*columns):
-            yield (canonical({"arguments": json.loads(a) if a is not None else None, "id": i, "name": n, "result": c}),)
+            # The arguments are canonical already, and their key sorts first.
+            rest = canonical({"id": i, "name": n, "result": c})
+            yield (f'{{"arguments":{"null" if a is None else a},{rest[1:]}',)
 
     done = map_rows(rows, ["call_id", "name", "arguments", "content"], write, "message string")
     return done.select("conv_id", "turn", "call_id", "rank", "name", "status", "problem", "result_turn", "message")
