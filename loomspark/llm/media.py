@@ -89,8 +89,10 @@ def media_table(docs: DataFrame, keep: list[str], text: str = "text", rules: Med
     """Media columns of whole texts: sizes, checksums, the stored file and its fingerprint array on demand.
 
     ``media binary`` is the stored WAV file and ``fingerprint array<long>`` its time-coded peak pairs; without
-    ``with_media`` only their checksums are kept. Null and empty texts give 64 zero bytes. The payload's values are
-    those of the bytes read back from the stored file.
+    ``with_media`` only their checksums are kept. Null and empty texts give 64 zero bytes; very long texts are one
+    recording, transformed in blocks; equal texts, repeated rows among them, have equal values; peaks that tie go to the
+    lower bin. An empty table gives an empty result, and kept columns named like a result give way. The payload's values
+    are those of the bytes read back from the stored file.
     """
 
     def fn(columns):

@@ -102,7 +102,8 @@ def word_tokenizer(file: str | None = None) -> WordTokenizer:
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, file: str | None = None, with_ids: bool = False) -> DataFrame:
     """Rows ``(doc_id, piece, start, length, ids_crc32)``, with ``ids`` on demand; only longer documents are cut.
 
-    A null or empty text gives one piece that holds the end id alone. Repeated rows give their pieces each.
+    A null or empty text gives one piece that holds the end id alone; a very long one is tokenised whole and cut. Repeated
+    rows give their pieces each; an empty table gives none. Columns but the id and the text are not read.
     """
 
     def fn(columns):
@@ -262,7 +263,8 @@ def pack(rows: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_i
     """Add ``sequence_id`` and ``offset`` to rows of pieces. Every row gets its own place; equal rows are told apart.
 
     A piece of the full capacity has a sequence to itself, named by its own rank, and takes no part in the program.
-    Ranks are counted within ``(length, salt)`` groups, and the groups' sizes are summed up, so a length that most
+    Equal lengths are placed in the order of a hash, and rows that are equal throughout in any; an empty table gives an
+    empty result. Ranks are counted within ``(length, salt)`` groups, and the groups' sizes are summed up, so a length that most
     pieces share is dealt out to many tasks. A length over the capacity, under one, or null is an error.
     """
     from pyspark.sql import Window

@@ -132,7 +132,8 @@ def scored_spans(text: str | None, rules: PiiRules = PiiRules()) -> list[tuple[s
 def detect(docs: DataFrame, keep: list[str], text: str = "text", rules: PiiRules = PiiRules()) -> DataFrame:
     """``pii array<struct<kind, start, end, score>>`` beside the ``keep`` columns, over whole texts.
 
-    A null or empty text has no spans; repeated rows are treated alike; an input column named ``pii`` gives way.
+    A null or empty text has no spans; very long texts are searched whole; repeated rows are treated alike; spans are in
+    the order of kinds and places, so none tie; an empty table gives an empty result; a kept column named ``pii`` gives way.
     """
 
     def fn(columns):
@@ -167,6 +168,7 @@ def redact_text(text: str | None, rules: PiiRules = PiiRules()) -> str | None:
 
 
 def redact(docs: DataFrame, text: str = "text", rules: PiiRules = PiiRules()) -> DataFrame:
-    """The documents with all spans masked; other columns stay as they are, and null texts stay null."""
+    """The documents with all spans masked; other columns stay as they are, whatever their names, null texts stay null and
+    empty ones empty, repeated rows are masked alike, and an empty table stays empty."""
     done = map_rows(docs, [text], lambda columns: ((redact_text(t, rules),) for t in columns[0]), f"{P}text string", keep=[c for c in docs.columns if c != text])
     return done.select(*[F.col(f"{P}text").alias(c) if c == text else c for c in docs.columns])

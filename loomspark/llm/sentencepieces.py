@@ -116,17 +116,17 @@ class PieceEncoder:
             start = end + 1 - len(piece)
             if longest[start] is None or len(piece) > len(longest[start]):
                 longest[start] = piece
-        open_at = (1 << (n + 1)) - 1  # bit i: an encoding may still go on from position i
+        dead = bytearray(n // 8 + 1)  # a bit for each position from which no encoding goes on
         out: list[str] = []
         at, piece = 0, longest[0]
         while at < n:
             while piece is not None:
                 end = at + len(piece)
-                if open_at >> end & 1 and (not out or self.compatible(out[-1], piece)):
+                if not dead[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], piece)):
                     break
                 piece = self.shorter[piece]
             if piece is None:
-                open_at &= ~(1 << at)
+                dead[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise ValueError("no encoding")
                 piece = out.pop()
@@ -191,7 +191,8 @@ def encoder(model_file: str | None = None) -> PieceEncoder:
 def encoded(docs, keep: list[str], text: str = "text", model_file: str | None = None, add_eos: bool = True, with_ids: bool = True):
     """``ids array<int>``, ``decoded string`` and their digests beside the ``keep`` columns, over whole texts.
 
-    Null and empty texts give the end id alone and decode to the empty text. Repeated rows are treated alike. Texts
+    Null and empty texts give the end id alone and decode to the empty text. Repeated rows are treated alike, an empty
+    table gives an empty result, and kept columns named like a result give way; nothing ties. Very long texts are encoded whole. Texts
     go through row by row, so memory is bounded by the longest text and the two bounded caches of a process.
     """
     import hashlib
