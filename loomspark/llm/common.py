@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -103,6 +104,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_ROWS))
 
 
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def only(owner: str, forget: Callable[[], None]) -> None:
+    """Called in a Python worker by an operator with a memory of words: the memories of other operators are emptied, so a
+    worker that outlives a stage holds one of them at a time."""
+    _FORGET[owner] = forget
+    for other in [o for o in _FORGET if o != owner]:
+        _FORGET.pop(other)()
+
+
+def _give_back() -> None:
+    """Hand memory that a task has freed back to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def map_rows(
     df: DataFrame,
     inputs: list[str],
@@ -135,6 +156,7 @@ def map_rows(
                 columns = list(zip(*rows)) if rows else [[] for _ in types]
                 made = [pa.array(c, type=t) for c, t in zip(columns, types)]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n_kept)] + made, names=[*kept, *out.names])
+        _give_back()
 
     schema = T.StructType([T.StructField(k, df.schema[c].dataType) for c, k in zip(keep, kept)] + out.fields)
     done = sent.mapInArrow(run, schema)

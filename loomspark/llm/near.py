@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, few, map_rows, saved
+from .common import components, few, map_rows, only, saved
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -45,7 +45,7 @@ class _Words(dict):
     """Hashes of words, made when missing; the memory starts anew when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         value = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -56,6 +56,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _remember() -> None:
+    only("near", _WORDS.clear)
+
+
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text; with fewer words, of the whole sequence."""
     words = (text or "").encode().lower().split()
@@ -115,6 +119,7 @@ def described(docs: DataFrame, keep: list[str], text: str, rules: NearRules) ->
     """One row per document: the kept columns, the size and 128-bit name of its set, band keys and signature."""
 
     def fn(columns):
+        _remember()
         for t in columns[0]:
             s = shingles(t, rules.width)
             if not len(s):

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, map_rows
+from .common import P, map_rows, only
 
 # ---------------------------------------------------------------- tokens
 
@@ -99,6 +99,13 @@ def word_tokenizer(file: str | None = None) -> WordTokenizer:
     return WordTokenizer(file)
 
 
+def _remembering(file: str | None) -> WordTokenizer:
+    """The tokenizer of a worker, whose memory is the only one there."""
+    tokenizer = word_tokenizer(file)
+    only("packing", tokenizer.words.clear)
+    return tokenizer
+
+
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, file: str | None = None, with_ids: bool = False) -> DataFrame:
     """Rows ``(doc_id, piece, start, length, ids_crc32)``, with ``ids`` on demand; only longer documents are cut.
 
@@ -108,7 +115,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
 
     def fn(columns):
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        tokenizer = word_tokenizer(file)
+        tokenizer = _remembering(file)
         for t in columns[0]:
             raw = tokenizer.encode(t) + end
             cut = [raw[i : i + 4 * capacity] for i in range(0, len(raw), 4 * capacity)]
