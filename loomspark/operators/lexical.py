@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def postings(docs: DataFrame, key: str, text: str, tokenizer: Callable[[str], Column] = X.tokens) -> DataFrame:
-    """VEC-18, UDF-15: ``(token, key, tf, length)``. The length travels with the rows, so no join looks it up."""
+def postings(docs: DataFrame, key: str, text: str, tokenizer: Callable[[str], Column] = X.tokens, wanted: DataFrame | None = None) -> DataFrame:
+    """VEC-18, UDF-15: ``(token, key, tf, length)``. The length travels with the rows, so no join looks it up.
+
+    With ``wanted``, a table of distinct tokens, other tokens are left out before anything is counted.
+    """
     rows = docs.select(key, tokenizer(text).alias("__t")).select(key, F.size("__t").alias("length"), F.explode("__t").alias("token"))
+    if wanted is not None:
+        rows = rows.join(wanted, "token", "left_semi")
     return rows.groupBy("token", key).agg(F.count("*").alias("tf"), F.max("length").alias("length"))
 
 
@@ -32,17 +37,23 @@ def search(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query: st
     Only postings of query tokens leave the scan's stage. Scores are rounded before they are ranked, since sums depend
     on order; ties go by key. ``k`` under one gives nothing.
     """
+    return search_variants(queries, docs, k, query_id, query, key, text, [(k1, b)], tokenizer, digits).drop("variant")
+
+
+def search_variants(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query: str, key: str, text: str, variants: list[tuple[float, float]], tokenizer: Callable[[str], Column] = X.tokens, digits: int = 6) -> DataFrame:
+    """``search`` for several ``(k1, b)`` at once, numbered in ``variant``: one set of postings, scored once for each."""
     asked = queries.select(query_id, F.explode(F.array_distinct(tokenizer(query))).alias("token"))
-    found = postings(docs, key, text, tokenizer).join(asked.select("token").distinct(), "token", "left_semi")
+    found = postings(docs, key, text, tokenizer, asked.select("token").distinct())
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     stats = corpus_stats(docs, text, tokenizer)
     weight = df.crossJoin(F.broadcast(stats)).select("token", idf(F.col("n_docs"), F.col("df")).alias("idf"), "mean_length")  # one row
     scored = asked.join(weight, "token").join(found, "token")
     tf, length = F.col("tf"), F.col("length")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("mean_length")))
-    total = scored.groupBy(query_id, key).agg(F.round(F.sum(part), digits).alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), key)
-    return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    parts = [F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("mean_length"))) for k1, b in variants]
+    total = scored.groupBy(query_id, key).agg(F.array(*[F.round(F.sum(p), digits) for p in parts]).alias("__scores"))
+    each = total.select(query_id, key, F.posexplode("__scores").alias("variant", "score"))
+    w = Window.partitionBy(query_id, "variant").orderBy(F.desc("score"), key)
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fuse(rankings: list[DataFrame], keys: list[str], item: str, k: int = 60, weights: list[float] | None = None, digits: int = 9) -> DataFrame:
@@ -54,6 +65,16 @@ def fuse(rankings: list[DataFrame], keys: list[str], item: str, k: int = 60, wei
     for i, (r, w) in enumerate(zip(rankings, weights)):
         part = r.select(*keys, item, (F.lit(w) / (F.lit(k) + F.col("rank"))).alias("part"), F.lit(i).alias("source"))
         rows = part if rows is None else rows.unionByName(part)
+    return _fused(rows, keys, item, digits)
+
+
+def fuse_variants(ranking: DataFrame, keys: list[str], item: str, weights: list[float], k: int = 60, digits: int = 9) -> DataFrame:
+    """``fuse`` for rankings in one table, told apart by ``variant``; one weight for each."""
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("variant") + 1)
+    return _fused(ranking.select(*keys, item, (w / (F.lit(k) + F.col("rank"))).alias("part"), F.col("variant").alias("source")), keys, item, digits)
+
+
+def _fused(rows: DataFrame, keys: list[str], item: str, digits: int) -> DataFrame:
     total = rows.groupBy(*keys, item).agg(F.round(F.sum("part"), digits).alias("score"), F.array_join(F.array_sort(F.collect_set(F.col("source").cast("string"))), "+").alias("sources"))
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), item) if keys else Window.orderBy(F.desc("score"), item)
     return total.withColumn("rank", F.row_number().over(w))

@@ -149,9 +149,8 @@ SELECT item_id, doc_id, score, sources, rank FROM (SELECT *, row_number() OVER (
 def hybrid_topk(spark, sf):
     """WIN-04, VEC-24: two lexical rankings with other parameters, fused."""
     q, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    one = B.search(q, d, 20, "item_id", "text", "doc_id", "text")
-    two = B.search(q, d, 20, "item_id", "text", "doc_id", "text", k1=2.0, b=0.4)
-    return B.fuse([one, two], ["item_id"], "doc_id", weights=[1.0, 2.0]).where("rank <= 10")
+    both = B.search_variants(q, d, 20, "item_id", "text", "doc_id", "text", [(1.5, 0.75), (2.0, 0.4)])
+    return B.fuse_variants(both, ["item_id"], "doc_id", [1.0, 2.0]).where("rank <= 10")
 
 
 CARDS = "c AS (SELECT p_partkey AS novel_id, p_type AS genre, p_brand AS subgenre, string_split(p_name, ' ') AS elements, [p_type] AS elements_unverified, CASE WHEN p_size < 17 THEN 'low' WHEN p_size < 34 THEN 'mid' ELSE 'high' END AS pace FROM part)"
