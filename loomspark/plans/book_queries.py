@@ -14,7 +14,16 @@ def docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-@query()
+_HEAD = L.chapter_heading.removeprefix("^").removesuffix("$")
+_STRIP = lambda e: f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE {_STRIP('text')} <> ''),
+h AS (SELECT *, regexp_full_match(line, '{_HEAD}') AS head FROM l),
+c AS (SELECT *, sum(head::INTEGER) OVER (PARTITION BY doc_id ORDER BY n) AS chapter, bool_or(head) OVER (PARTITION BY doc_id) AS has FROM h)
+SELECT doc_id, CASE WHEN has THEN chapter ELSE 1 END::INTEGER AS index, coalesce(max({_STRIP('line')}) FILTER (head), '') AS title,
+  length({_STRIP("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT head), '')")})::INTEGER AS n_chars
+FROM c WHERE NOT has OR chapter > 0 GROUP BY doc_id, has, chapter""")
 def chapters(spark, sf):
     """TXT-15, FLT-20, FLT-21."""
     return D.chapters_table(docs(spark, sf), "doc_id", "text", L).select("doc_id", "index", "title", F.char_length("body").alias("n_chars"))
@@ -326,7 +335,9 @@ def profile_indices(spark, sf):
     return spark.createDataFrame([(i,) for i in D.profile_indices(100)], "idx int")
 
 
-@query()
+@query("""WITH s AS (SELECT conv_id::VARCHAR AS task_id, 'b' || (conv_id % 30) AS found, 'b' || ((conv_id + turn) % 30) AS given, (conv_id + turn) % 30 < 5 AS violation FROM conversations WHERE role = 'user'),
+l AS (SELECT task_id, CASE WHEN given <> found THEN 'ungrounded' END AS label FROM s UNION ALL SELECT task_id, CASE WHEN violation THEN 'violation' END FROM s UNION ALL SELECT task_id, 'unchecked' FROM s)
+SELECT task_id, count(label) = 0 AS passed, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels FROM l GROUP BY 1""")
 def trajectories(spark, sf):
     """JON-05, JON-06, EVL-01, EVL-03, EVL-07 to EVL-10, SET-05 to SET-10: conversations as trajectories, scored by task."""
     from ..operators import trajectories as R
