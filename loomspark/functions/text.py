@@ -358,7 +358,7 @@ def match_chapter(citation: str | Column, heading: str | Column) -> Column:
     """TXT-40: equal numbers if both have one, else equal without white space, else a citation of 4 characters inside the heading."""
     a, b = chapter_number(citation), chapter_number(heading)
     x, y = squash(citation), squash(heading)
-    return F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise((x == y) | ((F.char_length(x) >= 4) & F.contains(y, x)))
+    return F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise((x == y) | ((F.char_length(col(citation)) >= 4) & F.contains(y, x)))
 
 
 def fingerprint_redacted(c: str | Column) -> Column:

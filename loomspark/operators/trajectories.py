@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicon import Lexicon
+from .supply import answer_support
 
 SCHEMA = (
     "task_id string, session int, steps array<struct<observations:array<struct<tool:string,arguments:map<string,string>,result:string,error:string>>>>,"
@@ -104,6 +105,57 @@ def score_tasks(sessions: DataFrame, memory: DataFrame | None = None) -> DataFra
     return rows.groupBy("task_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels")).withColumn("passed", F.size("labels") == 0)
 
 
+# How an answer says that the book's digest has no answer, and the least share of it that sources must have.
+ABSTAINS = (
+    r"(未收录|没有收录|没被收录|不在摘要|摘要(里|中)?(没有|不包含|没收|未)|无法(回答|确认|查到|核实|定位)|没法(告诉|回答|讲|给你讲)|查不到"
+    r"|没有(找到|查到|看到)(这|那)一?章|不在(收录|可查|覆盖|摘要)范围|不在(这些|被)?收录|只(摘要)?收录了|超出(了)?(摘要|收录)|没能定位|没有原文可依据|不想凭.{0,6}猜)"
+)
+SUPPORT = 0.25
+
+
+def qa_labels(sessions: DataFrame, least: float = SUPPORT) -> DataFrame:
+    """EVL-02: ``labels`` of sessions that ask about one book.
+
+    Columns read: ``termination, novel_id, answerable`` (null: true), ``gold array<string>, question, final_answer, asked
+    boolean, profiled boolean, returned array<string>, passages array<string>, citations array<struct<novel_id, chapter>>,
+    chapters array<struct<kind, heading, text>>``. Null arrays count as empty. What the tool never returned is the tool's
+    fault, and then the labels for citations and support are not given; inventing a chapter counts either way.
+    """
+    strings, flag = "array<string>", lambda c: F.coalesce(F.col(c), F.lit(False))
+    empty = {"gold": strings, "returned": strings, "passages": strings, "citations": "array<struct<novel_id:string,chapter:string>>", "chapters": "array<struct<kind:string,heading:string,text:string>>"}
+    s = sessions.withColumns({f"__{c}": F.coalesce(F.col(c), F.array().cast(t)) for c, t in empty.items()})
+    gold, returned, cites, chapters = F.col("__gold"), F.col("__returned"), F.col("__citations"), F.col("__chapters")
+    is_gold = lambda c: F.exists(gold, lambda g: X.match_chapter(c, g))
+    headings = F.transform(chapters, lambda c: c["heading"])
+    opening = F.transform(F.filter(chapters, lambda c: c["kind"] == "opening"), lambda c: c["heading"])
+    chapter_hit = lambda c: F.get(F.filter(headings, lambda h: X.match_chapter(c, h)), F.lit(0))
+    section = lambda c: F.when(F.exists(returned, lambda r: X.squash(r) == X.squash(c)), F.lit(""))
+    hits = F.transform(cites, lambda c: F.when(c["novel_id"] == F.col("novel_id"), F.coalesce(chapter_hit(c["chapter"]), section(c["chapter"]))))
+    quote = X.quoted_line("question")
+    s = s.withColumns({
+        "__answerable": F.coalesce("answerable", F.lit(True)), "__hits": hits, "__quote": F.when(~F.coalesce(is_gold(quote), F.lit(False)), quote),
+        "__found": F.coalesce(F.exists(returned, is_gold) | (flag("profiled") & F.exists(opening, is_gold)), F.lit(False)),
+        "__cited": F.coalesce(F.exists(cites, lambda c: is_gold(c["chapter"])), F.lit(False)),
+    })
+    grounded = F.filter("__hits", lambda h: h.isNotNull() & (h != ""))
+    text_of = lambda h: F.try_element_at(F.filter(chapters, lambda c: c["heading"] == h), F.lit(-1))["text"]
+    sources = F.transform(F.when(F.size(grounded) > 0, grounded).otherwise(F.filter(headings, is_gold)), text_of)
+    shown = F.when((F.size("__passages") > 0) & F.col("__quote").isNotNull(), F.exists("__passages", lambda p: F.contains(X.squash(p), F.substring(X.squash("__quote"), 1, 12))))
+    s = s.withColumns({"__support": answer_support("final_answer", F.array_join(sources, "\n"), F.coalesce("question", F.lit(""))), "__shown": shown, "__n": F.size("__citations")})
+    given = lambda *pairs: F.array_compact(F.array(*[F.when(when, name if isinstance(name, Column) else F.lit(name)) for when, name in pairs]))
+    end = F.coalesce("termination", F.lit(""))
+    model = given((F.col("__n") == 0, "no_citation"), ((F.col("__n") > 0) & ~F.col("__cited"), "gold_not_cited"), (F.col("__support") < least, "answer_unsupported"))
+    s = s.withColumn("__model", model)
+    always = given((end != "finish", "format"), (end == "max_steps", "budget_exhausted"), (end.isin("loop", "model_error"), end), (~(flag("asked") | flag("profiled")), "book_unresolved"), (F.exists("__hits", lambda h: h.isNull()), "ungrounded_citation"))
+    own = (
+        F.when(F.col("__answerable") & ~F.col("__found"), F.array(F.lit("chapter_not_retrieved")))
+        .when(F.col("__answerable") & (F.size("__model") > 0) & ~F.coalesce("__shown", F.lit(True)), F.array(F.lit("quote_not_retrieved")))
+        .when(F.col("__answerable"), F.col("__model"))
+        .otherwise(given((F.col("final_answer").isNotNull() & ~F.col("final_answer").rlike(ABSTAINS), "fabricated_answer")))
+    )
+    return s.withColumn("labels", F.concat(always, own)).select(*[c for c in sessions.columns if c != "labels"], "labels")
+
+
 def unrequested(trajectories: DataFrame, requested: list[str], lex: Lexicon, tool: str = "check_term") -> DataFrame:
     """EVL-05, EVL-06: checks that nobody asked for: other forms of what was asked, and what has nothing to do with it."""
     c = calls_of(trajectories, tool).select("task_id", "session", F.col("arguments")["term"].alias("term"))
