@@ -97,6 +97,47 @@ def score_sessions(trajectories: DataFrame, violations: DataFrame, tool: str = "
     return full.withColumn("labels", labels)
 
 
+def ending_labels(termination: str | Column) -> list[tuple[Column, str | Column]]:
+    """What the way in which a session ended says about it, as conditions and labels; a null end is no proper one."""
+    end = F.coalesce(termination, F.lit(""))
+    return [(end != "finish", "format"), (end == "max_steps", "budget_exhausted"), (end.isin("loop", "model_error"), end)]
+
+
+def labelled(*pairs: tuple[Column, str | Column]) -> Column:
+    """The labels whose conditions hold, in order."""
+    return F.array_compact(F.array(*[F.when(when, name if isinstance(name, Column) else F.lit(name)) for when, name in pairs]))
+
+
+def session_labels(sessions: DataFrame, least: int = 1, required: bool = True) -> DataFrame:
+    """EVL-01: ``labels`` and rates of recommending sessions, row by row.
+
+    Columns read: ``termination, recommended array<string>, searched array<string>, in_text array<string>, meta
+    array<string>, terms map<string, array<string>>`` and ``tropes`` alike (what was checked of which book), ``verdicts
+    map<string, boolean>`` (does a book break the rule; null or missing: the rule is silent). Null arrays and maps count as
+    empty. Rates are null where no book or no constraint is there.
+    """
+    strings, checks = "array<string>", "map<string,array<string>>"
+    kinds = {"recommended": strings, "searched": strings, "in_text": strings, "meta": strings, "terms": checks, "tropes": checks, "verdicts": "map<string,boolean>"}
+    nothing = lambda t: (F.array() if t == strings else F.create_map()).cast(t)
+    s = sessions.withColumns({f"__{c}": F.coalesce(F.col(c), nothing(t)) for c, t in kinds.items()})
+    recs, n = F.col("__recommended"), F.size("__recommended")
+
+    def coverage(wanted: str, done: str) -> Column:
+        whole = lambda r: F.forall(wanted, lambda t: F.coalesce(F.array_contains(F.try_element_at(F.col(done), r), t), F.lit(False)))
+        return F.when((n > 0) & (F.size(wanted) > 0), F.size(F.filter(recs, whole)) / n)
+
+    verdict = lambda r: F.try_element_at(F.col("__verdicts"), r)
+    bound = (n > 0) & (F.size("__in_text") > 0)
+    decided, broken = F.size(F.filter(recs, lambda r: verdict(r).isNotNull())), F.size(F.filter(recs, verdict))
+    s = s.withColumns({
+        "n": n, "grounded": F.forall(recs, lambda r: F.array_contains("__searched", r)), "term_coverage": coverage("__in_text", "__terms"),
+        "trope_coverage": coverage("__meta", "__tropes"), "violation_rate": F.when(bound & (decided > 0), broken / decided), "undecided_rate": F.when(bound, 1 - decided / n),
+    })
+    skipped = F.coalesce(F.col("term_coverage") < 1, F.lit(False)) | F.coalesce(F.col("trope_coverage") < 1, F.lit(False))
+    labels = labelled(*ending_labels("termination"), (~F.col("grounded"), "ungrounded_id"), (F.lit(required) & (F.col("n") < least), "no_recommendation"), (F.col("violation_rate") > 0, "constraint_violated"), (skipped, "tool_skipped"))
+    return s.withColumn("labels", labels).drop(*[f"__{c}" for c in kinds])
+
+
 def score_tasks(sessions: DataFrame, memory: DataFrame | None = None) -> DataFrame:
     """EVL-03: a task passes if none of its sessions, nor its memory, has a label."""
     rows = sessions.select("task_id", "labels")
@@ -142,16 +183,14 @@ def qa_labels(sessions: DataFrame, least: float = SUPPORT) -> DataFrame:
     sources = F.transform(F.when(F.size(grounded) > 0, grounded).otherwise(F.filter(headings, is_gold)), text_of)
     shown = F.when((F.size("__passages") > 0) & F.col("__quote").isNotNull(), F.exists("__passages", lambda p: F.contains(X.squash(p), F.substring(X.squash("__quote"), 1, 12))))
     s = s.withColumns({"__support": answer_support("final_answer", F.array_join(sources, "\n"), F.coalesce("question", F.lit(""))), "__shown": shown, "__n": F.size("__citations")})
-    given = lambda *pairs: F.array_compact(F.array(*[F.when(when, name if isinstance(name, Column) else F.lit(name)) for when, name in pairs]))
-    end = F.coalesce("termination", F.lit(""))
-    model = given((F.col("__n") == 0, "no_citation"), ((F.col("__n") > 0) & ~F.col("__cited"), "gold_not_cited"), (F.col("__support") < least, "answer_unsupported"))
+    model = labelled((F.col("__n") == 0, "no_citation"), ((F.col("__n") > 0) & ~F.col("__cited"), "gold_not_cited"), (F.col("__support") < least, "answer_unsupported"))
     s = s.withColumn("__model", model)
-    always = given((end != "finish", "format"), (end == "max_steps", "budget_exhausted"), (end.isin("loop", "model_error"), end), (~(flag("asked") | flag("profiled")), "book_unresolved"), (F.exists("__hits", lambda h: h.isNull()), "ungrounded_citation"))
+    always = labelled(*ending_labels("termination"), (~(flag("asked") | flag("profiled")), "book_unresolved"), (F.exists("__hits", lambda h: h.isNull()), "ungrounded_citation"))
     own = (
         F.when(F.col("__answerable") & ~F.col("__found"), F.array(F.lit("chapter_not_retrieved")))
         .when(F.col("__answerable") & (F.size("__model") > 0) & ~F.coalesce("__shown", F.lit(True)), F.array(F.lit("quote_not_retrieved")))
         .when(F.col("__answerable"), F.col("__model"))
-        .otherwise(given((F.col("final_answer").isNotNull() & ~F.col("final_answer").rlike(ABSTAINS), "fabricated_answer")))
+        .otherwise(labelled((F.col("final_answer").isNotNull() & ~F.col("final_answer").rlike(ABSTAINS), "fabricated_answer")))
     )
     return s.withColumn("labels", F.concat(always, own)).select(*[c for c in sessions.columns if c != "labels"], "labels")
 
