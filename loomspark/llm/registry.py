@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chats, lines, media, near, packing, personal, quality, sentencepieces, substrings, urls
+from . import chats, lines, media, near, packing, periods, personal, quality, sentencepieces, substrings, urls
 from .common import checkpointed, saved, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.find_runs(table(spark, sf_dir, "documents"), keep=["doc_id"], prepare=periods.planted, with_runs=False)
+
+
 def _small(query: Query) -> Query:
     """The query in a session whose Arrow batches are small: documents are long."""
 
@@ -68,7 +72,7 @@ def _small(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {
     f.__name__: _small(f)
-    for f in (op1_quality, op2_sentencepiece, op3_packing, op4_substrings, op5_pii, op6_media, op7_urls, op8_chats, op9_near, op10_lines)
+    for f in (op1_quality, op2_sentencepiece, op3_packing, op4_substrings, op5_pii, op6_media, op7_urls, op8_chats, op9_near, op10_lines, op13_periods)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_urls": urls.oracle_sql(), "op8_chats": chats.ORACLE_SQL}
