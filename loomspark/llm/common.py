@@ -40,15 +40,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of our own in the shared one, not made yet; it is deleted with the saved tables."""
+    path = f"{shared_folder(spark)}/ls-{uuid.uuid4().hex}"
+    _SAVED.append(path)
+    return path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, later scans prune columns."""
-    path = f"{shared_folder(df.sparkSession)}/ls-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    _SAVED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Folders written by :func:`saved` that are still there, in the order of writing.
+#: Folders named by :func:`new_folder` that are still there, in the order of writing.
 _SAVED: list[str] = []
 
 
