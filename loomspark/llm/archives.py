@@ -219,7 +219,7 @@ def _write_files(rows: DataFrame, path: str) -> None:
     line end of its own; the row's last byte, a line end, is left to it. Spark moves files into place only when their
     task has been accepted, so tasks may fail or run twice."""
     ends = F.expr("substring(content, 1, length(content) - 1)").cast("string").alias("value")
-    rows.select(ends).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.select(ends).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
