@@ -47,10 +47,10 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, later scans prune columns."""
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, chats, lines, media, near, packing, periods, personal, quality, sentencepieces, substrings, urls
+from . import alignment, archives, chats, lines, media, near, packing, periods, personal, quality, sentencepieces, substrings, urls
 from .common import checkpointed, saved, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.converted(table(spark, sf_dir, "pages"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_table(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.find_runs(table(spark, sf_dir, "documents"), keep=["doc_id"], prepare=periods.planted, with_runs=False)
 
@@ -76,7 +80,7 @@ def _small(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {
     f.__name__: _small(f)
-    for f in (op1_quality, op2_sentencepiece, op3_packing, op4_substrings, op5_pii, op6_media, op7_urls, op8_chats, op9_near, op10_lines, op11_warc, op13_periods)
+    for f in (op1_quality, op2_sentencepiece, op3_packing, op4_substrings, op5_pii, op6_media, op7_urls, op8_chats, op9_near, op10_lines, op11_warc, op12_alignment, op13_periods)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_urls": urls.oracle_sql(), "op8_chats": chats.ORACLE_SQL, "op11_warc": archives.ORACLE_SQL}
