@@ -146,3 +146,16 @@ def test_query(spark, both):
         m = plain_tokens(both, docs[i])
         assert (rows[i].n_a, rows[i].n_b) == ((len(m[0]), len(m[1])) if m else (0, 0))
         assert rows[i].n_links == (sum(s < g and f < e for _, s, e in m[0] for _, f, g in m[1]) if m else 0)
+
+
+def test_both_libraries_give_the_same_ids():
+    pair = alignment.tokenizers_of()
+    assert pair.merging is not None
+    r = random.Random(6)
+    odd = [" ", "  ", "   ", "\n", " \n", "\n ", "\t", "\u00a0", "\x1c", "\x85", "\x00", "'s", " 's", "don't", "é", "ǅ", "²", "<s>", "<|endoftext|>", "12", "_", "--", "a", "The", "ing", "word", "ß", "\xad", "x" * 1999, "x" * 2001, " " * 499, " " * 501]
+    for _ in range(3000):
+        text = "".join(r.choice(odd) for _ in range(r.randint(1, 12)))
+        assert pair.encode_bytes(text) == pair.tokenizer.encode(text, add_special_tokens=False).ids, text
+    for c in range(0x250):
+        text = f"a{chr(c)}b 1{chr(c)}{chr(c)} {chr(c)}"
+        assert pair.encode_bytes(text) == pair.tokenizer.encode(text, add_special_tokens=False).ids, text
