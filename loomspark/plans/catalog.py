@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import book_queries, ingest_queries, search_queries, supply_queries, text_queries  # noqa: F401
+from . import book_queries, index_queries, ingest_queries, search_queries, supply_queries, text_queries  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
