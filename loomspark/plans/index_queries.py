@@ -20,10 +20,10 @@ r(p_partkey, s, i, best, ends) AS (
   SELECT p_partkey, s, i - 1, list_prepend(b.score, best), list_prepend(b.stop, ends) FROM (
     SELECT r.*, list_sort([x FOR x IN list_transform(range(1, least(longest, length(s) - i + 1) + 1), lambda l: {
       'score': coalesce(weights[substr(s, i, l)], CASE WHEN l = 1 THEN m.least END) + best[l], 'stop': i - 1 + l}) IF x.score IS NOT NULL], 'DESC')[1] AS b FROM r, m WHERE i > 0)),
-p(p_partkey, s, ends, at, words) AS (
+p(p_partkey, s, ends, pos, words) AS (
   SELECT p_partkey, s, ends, 0::BIGINT, []::VARCHAR[] FROM r WHERE i = 0
-  UNION ALL SELECT p_partkey, s, ends, ends[at + 1], list_append(words, substr(s, at + 1, ends[at + 1] - at)) FROM p WHERE at < length(s))
-SELECT p_partkey, len(words)::INTEGER AS n_words, array_to_string(words, '|') AS words FROM p WHERE at = length(s)
+  UNION ALL SELECT p_partkey, s, ends, ends[pos + 1], list_append(words, substr(s, (pos + 1)::INTEGER, (ends[pos + 1] - pos)::INTEGER)) FROM p WHERE pos < length(s))
+SELECT p_partkey, len(words)::INTEGER AS n_words, array_to_string(words, '|') AS words FROM p WHERE pos = length(s)
 """)
 def segmented_words(spark, sf):
     """TXT-30: names without their spaces, cut by a dictionary of the words of all names."""
