@@ -122,7 +122,8 @@ def calibration_sample(pairs: DataFrame, strata: list[str], keys: list[str], n:
     """HSH-17: round robin over strata of pairs in hash order, until there are ``n``."""
     h = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
     numbered = pairs.withColumn("h", h).withColumn("turn", F.row_number().over(Window.partitionBy(*strata).orderBy("h", *keys)))
-    return numbered.orderBy("turn", *strata, "h").limit(n).drop("h")
+    # No stratum gives more than n, so ranks beyond it end where they are counted.
+    return numbered.where(F.col("turn") <= n).orderBy("turn", *strata, "h").limit(n).drop("h")
 
 
 def sample_order(rows: DataFrame, key: str, n: int) -> DataFrame:

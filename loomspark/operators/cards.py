@@ -139,6 +139,11 @@ class CardFilter:
             ok = ok & (F.element_at("style", F.lit(dim)) == option)
         return F.coalesce(ok, F.lit(False))
 
+    def describe(self) -> str:
+        """FLT-10: the values, for people to read."""
+        parts = {"genre": "/".join(x for x in (self.genre, self.subgenre) if x), "elements": "、".join(self.elements), "style": "、".join(f"{d}={o}" for d, o in self.style)}
+        return "; ".join(f"{k} {v}" for k, v in parts.items() if v)
+
     def select(self, cards: DataFrame) -> DataFrame:
         """FLT-09: ids of matching cards."""
         return cards.where(self.matches()).select("novel_id")

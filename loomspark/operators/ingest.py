@@ -52,12 +52,6 @@ def title_index(books: DataFrame, key: str, novel_id: str = "novel_id") -> DataF
     return books.where(F.char_length(key) >= 2).groupBy(key).agg(F.min(novel_id).alias(novel_id), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """WIN-07, SET-01: the first row of each key in order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-
-
 def last_turns(turns: DataFrame, conversation: str, order: str, keep: int = 8) -> DataFrame:
     """WIN-08: the last turns of each conversation, and how many came before them."""
     w = Window.partitionBy(conversation).orderBy(F.col(order).desc())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.lexicon import Lexicon
+from ..functions.lexicon import ABSTAINS, Lexicon
 from .supply import answer_support
 
 SCHEMA = (
@@ -146,11 +146,7 @@ def score_tasks(sessions: DataFrame, memory: DataFrame | None = None) -> DataFra
     return rows.groupBy("task_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels")).withColumn("passed", F.size("labels") == 0)
 
 
-# How an answer says that the book's digest has no answer, and the least share of it that sources must have.
-ABSTAINS = (
-    r"(未收录|没有收录|没被收录|不在摘要|摘要(里|中)?(没有|不包含|没收|未)|无法(回答|确认|查到|核实|定位)|没法(告诉|回答|讲|给你讲)|查不到"
-    r"|没有(找到|查到|看到)(这|那)一?章|不在(收录|可查|覆盖|摘要)范围|不在(这些|被)?收录|只(摘要)?收录了|超出(了)?(摘要|收录)|没能定位|没有原文可依据|不想凭.{0,6}猜)"
-)
+#: The least share of an answer that its sources must have.
 SUPPORT = 0.25
 
 
@@ -195,22 +191,6 @@ def qa_labels(sessions: DataFrame, least: float = SUPPORT) -> DataFrame:
     return s.withColumn("labels", F.concat(always, own)).select(*[c for c in sessions.columns if c != "labels"], "labels")
 
 
-def unrequested(trajectories: DataFrame, requested: list[str], lex: Lexicon, tool: str = "check_term") -> DataFrame:
-    """EVL-05, EVL-06: checks that nobody asked for: other forms of what was asked, and what has nothing to do with it."""
-    c = calls_of(trajectories, tool).select("task_id", "session", F.col("arguments")["term"].alias("term"))
-    near = sorted({f for r in requested for f in (r, *lex.term_forms.get(r, ()))})
-    forms = F.array(*map(F.lit, near)).cast("array<string>")
-    asked_for = F.col("term").isin(*requested) if requested else F.lit(False)
-    kin = F.exists(forms, lambda f: F.contains(F.col("term"), f) | F.contains(f, F.col("term")))
-    return c.groupBy("task_id", "session").agg(F.count_if(~asked_for & kin).alias("expansion"), F.count_if(~asked_for & ~kin).alias("off_topic"), F.count_if(~asked_for).alias("total"))
-
-
-def session_state_labels(sessions: DataFrame) -> DataFrame:
-    """WIN-10: a later session against the one before: books recommended again."""
-    w = Window.partitionBy("task_id").orderBy("session")
-    return sessions.withColumn("before", F.lag("ids").over(w)).select("task_id", "session", F.coalesce(F.size(F.array_intersect("ids", "before")), F.lit(0)).alias("repeated"))
-
-
 def redacted(trajectories: DataFrame) -> DataFrame:
     """STR-22: results and the final answer give way to checksums and lengths."""
     show = lambda c: F.to_json(X.fingerprint_redacted(c))

@@ -276,7 +276,7 @@ SELECT book, string_agg(part, '、' ORDER BY place) AS coverage FROM p GROUP BY
 def coverage_lines(spark, sf):
     """ARR-19, VEC-25: the line that tells what was searched."""
     kind = F.when(F.col("lang") == "en", "opening").when(F.col("lang") == "de", "middle").when(F.col("lang") == "fr", "titles").otherwise("blurb")
-    s = docs(spark, sf).select((F.col("doc_id") % 50).alias("book"), F.struct("doc_id", kind.alias("kind"), "text").alias("s"))
+    s = docs(spark, sf).select((F.col("doc_id") % 50).alias("book"), F.struct("doc_id", kind.alias("kind"), X.heading_of("text").alias("text")).alias("s"))  # headings are gathered, not texts
     return s.groupBy("book").agg(F.array_sort(F.collect_list("s")).alias("s")).select("book", D.coverage_text("s").alias("coverage"))
 
 
