@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.lexicon import LATIN as L
 from ..operators import digest as D
 from ..operators import state as M
@@ -276,7 +277,10 @@ SELECT book, string_agg(part, '、' ORDER BY place) AS coverage FROM p GROUP BY
 def coverage_lines(spark, sf):
     """ARR-19, VEC-25: the line that tells what was searched."""
     kind = F.when(F.col("lang") == "en", "opening").when(F.col("lang") == "de", "middle").when(F.col("lang") == "fr", "titles").otherwise("blurb")
-    s = docs(spark, sf).select((F.col("doc_id") % 50).alias("book"), F.struct("doc_id", kind.alias("kind"), X.heading_of("text").alias("text")).alias("s"))  # headings are gathered, not texts
+    # Headings are gathered, not texts; a mark after one of full length keeps a blank at its end.
+    head = X.heading_of("text")
+    text = F.when(F.char_length(head) == 60, F.concat(head, F.lit("."))).otherwise(head)
+    s = docs(spark, sf).select((F.col("doc_id") % 50).alias("book"), F.struct("doc_id", kind.alias("kind"), text.alias("text")).alias("s"))
     return s.groupBy("book").agg(F.array_sort(F.collect_list("s")).alias("s")).select("book", D.coverage_text("s").alias("coverage"))
 
 
