@@ -113,6 +113,14 @@ def cut(text: str | None, spans: list[tuple[int, int]] | None) -> tuple[str | No
     return "".join([*out, text[at:]]), sum(gone), stretches
 
 
+def hot_runs(listed: DataFrame, rules: SpanRules) -> list[int]:
+    """Hashes of runs that many rows hold, fewer than ``HOT_SHARE``. One row in so many is looked at, whatever its text and id
+    are, so copies are looked at in their share. That only decides how rows are dealt."""
+    looked = listed.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_LOOK)) == 0)
+    least = max(rules.hot // _LOOK, (looked.agg(F.sum(F.size("runs"))).first()[0] or 0) // HOT_SHARE)
+    return [r.h for r in looked.select(F.inline("runs")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()]
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: SpanRules = SpanRules()) -> DataFrame:
     """All rows and columns, the text without repeated runs, and ``n_sentences``, ``n_removed`` and ``removed``, the
     stretches of the old text that are gone.
@@ -131,16 +139,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Sp
     listed = saved(map_rows(docs.select(*key, F.col(text).alias(f"{P}x")), [f"{P}x"], fn, "runs array<struct<h:bigint,g:bigint,a:int,k:int>>", keep=[f"{P}d", f"{P}t"]))
     spans = listed.select(f"{P}d", f"{P}t", F.inline("runs"))
     place = F.struct(f"{P}d", f"{P}t", "a")
-    # One document in so many tells which runs are hot, fewer than HOT_SHARE. That only decides how rows are dealt.
-    looked = listed.where(F.pmod(f"{P}t", F.lit(_LOOK)) == 0)
-    least = max(rules.hot // _LOOK, (looked.agg(F.sum(F.size("runs"))).first()[0] or 0) // HOT_SHARE)
-    hot = [r.h for r in looked.select(F.inline("runs")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()]
+    hot = hot_runs(listed, rules)
     # The firsts of hot runs are aggregated and come to their rows, which are dealt out; all other runs are brought
     # together once, where first and number are told to each row on the spot.
     first = saved(spans.where(F.col("h").isin(hot)).groupBy("h", "g").agg(F.min(place).alias("f")))
     marked = spans.join(F.broadcast(first) if len(hot) < HOT_SHARE else first, ["h", "g"], "left")
-    deal = F.when(F.col("f").isNotNull(), F.pmod(F.xxhash64(f"{P}d", f"{P}t"), F.lit(HOT_SHARE))).otherwise(F.lit(0))
-    same = Window.partitionBy("h", "g", deal)
+    # Rows of hot runs have their first already, so any dealing will do, and places are dealt out even where rows repeat.
+    marked = marked.withColumn("deal", F.when(F.col("f").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(HOT_SHARE))).otherwise(F.lit(0)))
+    same = Window.partitionBy("h", "g", "deal")
     told = marked.withColumns({"first": F.coalesce("f", F.min(place).over(same)), "n": F.count("*").over(same)})
     later = told.where((F.col("f").isNotNull() | (F.col("n") > 1)) & ~place.eqNullSafe(F.col("first")))
     spans_by_doc = saved(later.groupBy(f"{P}d", f"{P}t").agg(F.collect_list(F.struct("a", "k")).alias(f"{P}s")))
