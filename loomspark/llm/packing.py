@@ -290,9 +290,11 @@ def pack(rows: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_i
     by_length = (
         spark.createDataFrame(table, schema).groupBy("l").agg(F.sort_array(F.collect_list(F.struct("a", "b", "n", "s", "o"))).alias("t"))
     )  # one row per length; its intervals are as many as there are configurations that use it
+    # The checksum tells pieces apart whose ids are missing or repeated.
+    dealt = [c for c in ("ids_crc32",) if c in rows.columns and c not in order]
     # Each length is ranked in as many groups as its pieces need; where a group's ranks begin is joined, not broadcast.
     groups = spark.createDataFrame([(k, -(-v // _RANK_GROUP)) for k, v in histogram.items()], f"{P}l long, {P}n long")
-    salted = rows.join(F.broadcast(groups), F.col(length) == F.col(f"{P}l")).withColumn(f"{P}g", F.pmod(F.xxhash64(*order), F.col(f"{P}n")).cast("int")).drop(f"{P}l", f"{P}n")
+    salted = rows.join(F.broadcast(groups), F.col(length) == F.col(f"{P}l")).withColumn(f"{P}g", F.pmod(F.xxhash64(*order, *dealt), F.col(f"{P}n")).cast("int")).drop(f"{P}l", f"{P}n")
     sizes = salted.groupBy(F.col(length).alias("l"), F.col(f"{P}g").alias("g")).count()
     before = Window.partitionBy("l").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("l").alias(f"{P}l"), F.col("g").alias(f"{P}s"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(f"{P}first"))
