@@ -184,7 +184,7 @@ def normalise_subgenre(spark, sf):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, len(list_distinct([x FOR x IN string_split(props, ',') IF trim(x) <> '']))::BIGINT AS parts FROM events")
 def json_fields(spark, sf):
-    """JSN-14, JSN-18, SRC-22."""
+    """JSN-14."""
     from ..functions import jsons as J
 
     e = table(spark, sf, "events")
@@ -200,7 +200,7 @@ def session_list(spark, sf):
 
 @query("SELECT doc_id, text AS blurb FROM documents WHERE length(text) >= 50 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def load_profiles(spark, sf):
-    """SRC-15, SRC-17, SRC-34, FLT-15, FLT-16: required columns, short texts out, ids restricted."""
+    """SRC-15, SRC-17, FLT-15: required columns, short texts out, ids restricted."""
     from ..sources import tables as T
 
     return T.load_profiles(docs(spark, sf), "doc_id", "text", ids=table(spark, sf, "labels").where("quality = 1").select("doc_id")).select("doc_id", F.col("text").alias("blurb"))
@@ -224,7 +224,7 @@ def id_map(spark, sf):
 
 @query("SELECT item_id, quality, text FROM benchmark LEFT JOIN (SELECT doc_id AS item_id, max(quality) AS quality FROM labels GROUP BY 1) USING (item_id)")
 def filled_sheet(spark, sf):
-    """SRC-36."""
+    """A sheet joined with labels; the file itself is `filled_sheet_file`."""
     lab = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("item_id")).agg(F.max("quality").alias("quality"))
     return table(spark, sf, "benchmark").join(lab, "item_id", "left").select("item_id", "quality", "text")
 
@@ -328,7 +328,7 @@ def task_queries(spark, sf):
 
 @query("""SELECT p_partkey AS novel_id, to_json(string_split(p_name, ' '))::VARCHAR AS elements, p_type AS genre, md5(d.text) AS opening FROM part LEFT JOIN documents d ON d.doc_id = p_partkey""")
 def profiles(spark, sf):
-    """SRC-23, JSN-17, TOOL-04: cards with JSON fields beside the openings of their books."""
+    """JSN-17: cards with a JSON field beside the openings of their books."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("novel_id"), F.to_json(F.split("p_name", " ")).alias("elements"), F.col("p_type").alias("genre"))
     return p.join(docs(spark, sf).select(F.col("doc_id").alias("novel_id"), F.md5("text").alias("opening")), "novel_id", "left")
 

@@ -97,7 +97,7 @@ def anchor_summary(spark, sf):
 
 @query(f"WITH {P}, s AS (SELECT DISTINCT query_id, novel_id FROM jd WHERE positive = 2), h AS (SELECT DISTINCT query_id, novel_id, 1 AS hit FROM pool WHERE rank <= 2) SELECT query_id, round(sum(coalesce(hit, 0)) / count(*), 4) AS recall FROM s LEFT JOIN h USING (query_id, novel_id) GROUP BY 1")
 def strong_recall(spark, sf):
-    """JON-02, AGG-06, FLT-18."""
+    """JON-02, FLT-18."""
     v = verdicts(spark, sf)
     return S.strong_recall(rows(spark, sf), v.where(S.is_strong("positive")).select("query_id", "novel_id"), 2)
 
@@ -175,14 +175,14 @@ def calibration_agreement(spark, sf):
 
 @query(f"WITH {_R} SELECT doc_id, c3, d3, abs(c3 - d3)::INTEGER AS gap FROM r WHERE abs(c3 - d3) >= 2")
 def disagreements(spark, sf):
-    """JON-11, JON-01, JON-13."""
+    """JON-11."""
     return S.disagreements(raters(spark, sf), "c3", "d3", 2).select("doc_id", "c3", "d3", "gap")
 
 
 @query(f"""WITH {_R}, x AS (SELECT (doc_id % 5)::VARCHAR AS term, CASE WHEN c3 = 2 THEN true WHEN c3 = 0 THEN false END AS rule, toxic = 1 AS judge FROM r)
 SELECT term, count(*) AS pairs, count(rule) AS decided, count(*) FILTER (rule IS NULL) AS abstained, round(avg((rule = judge)::INTEGER), 4) AS agreement, count(*) FILTER (judge AND NOT rule) AS missed, count(*) FILTER (NOT judge AND rule) AS overfired FROM x GROUP BY 1""")
 def rule_vs_judge(spark, sf):
-    """AGG-24, JON-14."""
+    """AGG-24."""
     r = raters(spark, sf).select((F.col("doc_id") % 5).cast("string").alias("term"), F.when(F.col("c3") == 2, True).when(F.col("c3") == 0, False).alias("rule"), (F.col("toxic") == 1).alias("judge"))
     return S.rule_vs_judge(r, "term", "rule", "judge")
 

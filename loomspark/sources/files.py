@@ -145,11 +145,13 @@ def task_records(parts: list[DataFrame], key: str = "task_id") -> DataFrame:
 
 
 def manual_judgements(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-30, SRC-32, SRC-35: judged CSV files of a folder; bad labels are nought, blank notes empty."""
+    """SRC-30, SRC-32, SRC-35: judged CSV files of a folder; bad labels are nought, blank notes empty. Quotes are doubled in
+    them, cells may hold line ends, and a byte order mark is no part of a name."""
     from ..functions import jsons as J
+    from .sinks import read_csv
     from .tables import require
 
-    rows = spark.read.option("header", "true").option("recursiveFileLookup", "true").csv(path)
+    rows = read_csv(spark, path)
     require(rows, ["query_id", "novel_id", "relevance_label"])
     out = rows.withColumn("relevance_label", J.clamp_label("relevance_label"))
     if "constraint_violation" in rows.columns:
