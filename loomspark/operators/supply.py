@@ -248,14 +248,21 @@ def first_anchor(anchors: DataFrame, titles: DataFrame) -> DataFrame:
     return key.join(first, "k").select("query_id", "anchor", "novel_id")
 
 
+#: So many characters of a title are looked up in a query.
+TITLE_HEAD = 12
+
+
 def find_titles(queries: DataFrame, titles: DataFrame, limit: int = 3) -> DataFrame:
     """FLT-25, TOOL-01: the exact title, or else titles of three characters and more that the query holds, longest
-    first, ties by id from the largest. Candidates are titles whose first three characters stand in the query."""
+    first, ties by id from the largest. Candidates are titles whose first ``TITLE_HEAD`` characters stand in the query,
+    shorter ones whole, so titles that only begin alike don't meet under one key."""
     q = queries.withColumn("k", X.title_key("query"))
     exact = q.join(titles, F.col("k") == F.col("key")).select("query_id", "novel_id", "key", F.lit(0).alias("tier"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("k") - 2, F.lit(1))), lambda i: F.substring("k", i, F.lit(3)))
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length("k") - 2, F.lit(1)))
+    sizes = F.sequence(F.lit(3), F.lit(TITLE_HEAD))
+    grams = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(sizes, lambda n: i + n - 1 <= F.char_length("k")), lambda n: F.substring(F.col("k"), i, n))))
     asked = q.select("query_id", "k", F.explode(F.array_distinct(grams)).alias("g"))
-    begins = titles.where(F.char_length("key") >= 3).select("novel_id", "key", F.substring("key", 1, 3).alias("g"))
+    begins = titles.where(F.char_length("key") >= 3).select("novel_id", "key", F.substring("key", 1, TITLE_HEAD).alias("g"))
     held = asked.join(begins, "g").where(F.contains("k", F.col("key"))).select("query_id", "novel_id", "key", F.lit(1).alias("tier"))
     held = held.join(exact.select("query_id").distinct(), "query_id", "left_anti")
     w = Window.partitionBy("query_id").orderBy("tier", F.desc(F.char_length("key")), F.desc("novel_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lexical_index as I
+from ..operators import searchers as R
 from ..operators import segmentation as S
 from ..sources import folders
 from .base import query, table
@@ -48,3 +49,28 @@ def point_lookup(spark, sf):
     folders.save_by_key(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), path, "o_custkey", buckets=16)
     asked = table(spark, sf, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("o_custkey"))
     return folders.lookup_many(spark, path, asked, "o_custkey", buckets=16).groupBy("o_custkey").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
+
+
+_SECTION = "CASE vec_id % 3 WHEN 0 THEN 'blurb' WHEN 1 THEN 'card' ELSE 'middle' END"
+
+
+@query(f"""WITH s AS (SELECT vec_id // 4 AS novel_id, {_SECTION} AS section_kind, vec_id::INTEGER AS ordinal, embedding FROM embeddings),
+x AS (SELECT q.vec_id AS query_id, novel_id, section_kind, ordinal, round(list_inner_product(s.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS score FROM s, embeddings q),
+b AS (SELECT query_id, novel_id, max(score) AS score, arg_min({{'k': section_kind, 'o': ordinal}}, (-score, section_kind, ordinal)) AS w FROM x GROUP BY 1, 2)
+SELECT query_id, novel_id, round(score, 6) AS score, w.k AS section_kind, w.o AS ordinal, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, novel_id)::INTEGER AS rank FROM b) WHERE rank <= 5""")
+def best_sections(spark, sf):
+    """VEC-06, VEC-07, SRC-44: the books with the best sections for every vector as a query."""
+    e = table(spark, sf, "embeddings")
+    sections = e.select(F.floor(F.col("vec_id") / 4).alias("novel_id"), F.expr(_SECTION).alias("section_kind"), F.col("vec_id").cast("int").alias("ordinal"), "embedding")
+    return R.best_sections(e.select(F.col("vec_id").alias("query_id"), "embedding"), sections, 5).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 4) AS total, (SELECT count(*) FROM embeddings WHERE vec_id % 3 > 0) AS added FROM embeddings")
+def appended_vectors(spark, sf):
+    """VEC-08: two thirds of the vectors are added to the rest, after a check of keys and dimensions."""
+    path = folders.work_folder(spark)
+    e = table(spark, sf, "embeddings")
+    e.where("vec_id % 3 = 0").write.parquet(path)
+    added = R.append_vectors(path, e.where("vec_id % 3 > 0"), ["vec_id"])
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return spark.read.parquet(path).select("vec_id", "label", F.round(total, 4).alias("total"), F.lit(added).cast("long").alias("added"))
