@@ -333,10 +333,13 @@ def profiles(spark, sf):
     return p.join(docs(spark, sf).select(F.col("doc_id").alias("novel_id"), F.md5("text").alias("opening")), "novel_id", "left")
 
 
-@query("SELECT unnest([0, 1, 2, 3]) AS idx UNION SELECT round_even(4 + 90 * k / 6.0, 0)::INTEGER FROM range(1, 7) t(k)")
+@query("""WITH n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, greatest(1, floor(n * 0.95))::INTEGER AS usable FROM n),
+h AS (SELECT doc_id, usable, least(4, usable) AS head, least(10, usable) - least(4, usable) AS rest FROM u)
+SELECT doc_id, unnest(CASE WHEN usable - head <= rest THEN range(0, usable)::INTEGER[] ELSE list_sort(list_distinct(list_concat([0, 1, 2, 3], [round_even(head + k * ((usable - 1 - head)::DOUBLE / rest), 0)::INTEGER FOR k IN range(1, rest + 1)]))) END) AS idx FROM h""")
 def profile_indices(spark, sf):
-    """ARR-12: places of the ten chapters sampled from a hundred."""
-    return spark.createDataFrame([(i,) for i in D.profile_indices(100)], "idx int")
+    """ARR-12: the places that a profile samples, of every document's lines."""
+    d = docs(spark, sf).where("text is not null").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
+    return d.select("doc_id", F.explode(D.profile_places("n")).alias("idx"))
 
 
 @query("""WITH s AS (SELECT conv_id::VARCHAR AS task_id, 'b' || (conv_id % 30) AS found, 'b' || ((conv_id + turn) % 30) AS given, (conv_id + turn) % 30 < 5 AS violation FROM conversations WHERE role = 'user'),
