@@ -64,7 +64,7 @@ def vectors_in_order(vectors: DataFrame, order: str) -> DataFrame:
 
 
 def searchers(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """SRC-44: the tables that a folder holds, by what they serve; none is an error."""
+    """The tables that a folder holds, by what they serve; none is an error. See `searchers.load` for what searches them."""
     found = {}
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     system = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -86,7 +86,7 @@ def run_bench(rankings: dict[str, DataFrame], anchors: DataFrame, ks: list[int],
 
 
 def build_pool(queries: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
-    """SVC-11, VEC-28: lexical candidates of every query, as one configuration of a pool."""
+    """SVC-11: lexical candidates of every query, as one configuration of a pool. See `searchers.build_pool` for all."""
     return B.search(queries, docs, depth, "query_id", "query", "novel_id", "text").withColumn("config", F.lit("lexical"))
 
 
@@ -116,7 +116,7 @@ def score_run(trajectories: DataFrame, violations: DataFrame, tasks: DataFrame,
 
 
 def check_trope(cards: DataFrame, rules: dict[str, dict], cache: DataFrame, tropes: list[str]) -> DataFrame:
-    """TOOL-06, UDF-13: by book and trope, the card's word, else the cached verdict, else null, which is left to a model."""
+    """By book and trope, the card's word, else the cached verdict, else null, which is left to a model."""
     from .cards import card_verdict
 
     out = None
