@@ -29,7 +29,8 @@ def best_sections(queries: DataFrame, sections: DataFrame, k: int, oversample: i
 
     ``sections`` has ``novel_id, section_kind, ordinal, embedding``. So many sections are taken that they hold ``k`` books
     whatever they are: ``k`` times the most that a book has; with ``oversample``, ``k`` times that, and then fewer books
-    may come back.
+    may come back. Without it, one book with very many sections makes every query carry that many rows, so such a table
+    should be searched with it, or its long books cut.
     """
     named = sections.withColumn("section", F.struct("novel_id", "section_kind", "ordinal"))
     most = oversample or sections.groupBy("novel_id").count().agg(F.max("count")).first()[0] or 1
