@@ -5,8 +5,10 @@ place. Segments are indexed with the line's length; each line probes the lengths
 with the substrings that a match can use. Index entries and probes are shuffled once, as numbers and as rows of one
 table; only rows whose key others have too go on, and only their lines are read again. Those meet if the counts of
 characters in all their beginnings differ by no more than the threshold allows, and are then verified with a banded
-bit-parallel edit distance. Segments that many lines share are split by pieces of the counts, one of which near lines
-must share, so no segment's lines are all compared with each other.
+bit-parallel edit distance. Lines that share a segment with many others meet by what is left of them without it, which
+must be within the threshold too: what all of them begin and end with is taken off, and the rest is cut into segments
+again, so lines of one template meet by where they differ. What is still shared by many after some rounds is split by
+pieces of the counts, one of which near lines must share.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ from .common import P, few, saved
 class LineRules:
     """Exact copies of every line that isn't blank go. Lines of ``near_chars`` code points or more that are within
     ``threshold`` edits of an earlier one are near copies. With ``min_chars``, shorter lines are left alone, and it is the
-    edit join's minimum instead. A segment that over ``hot`` indexed lines share is split."""
+    edit join's minimum instead. A segment that over ``hot`` lines share is divided, ``rounds`` times at most."""
 
     threshold: int = 2
     min_chars: int | None = None
     hot: int = 64
     near_chars: int = 24
+    rounds: int = 4
 
     def taken(self, line: Column) -> Column:
         """Is a line one that may go?"""
@@ -104,35 +107,39 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return F.lit(i) * size + F.greatest(F.lit(0), F.lit(i) - (F.lit(k) - longer)).cast("int"), size + F.when(F.lit(i) >= F.lit(k) - longer, 1).otherwise(0)
 
 
-def index_keys(line: str, size: str, tau: int) -> list[Column]:
-    """Keys of a line's own segments."""
-    n = F.col(size)
-    parts = []
-    for i in range(tau + 1):
-        start, width = _segment(n, i, tau + 1)
-        parts.append(F.xxhash64(n, F.lit(i), F.substring(F.col(line), start + 1, width)))
-    return parts
+def _own_places(n: Column, tau: int) -> list[tuple[Column, int, Column, Column]]:
+    """Length, number, start (from 0) and size of a line's own segments."""
+    return [(n, i, *_segment(n, i, tau + 1)) for i in range(tau + 1)]
 
 
-def probe_keys(line: str, size: str, tau: int) -> list[Column]:
-    """Keys of the substrings that can match segment ``i`` of a line ``delta`` shorter: the edits before a segment and
+def _probe_places(n: Column, tau: int) -> list[tuple[Column, int, Column, Column]]:
+    """The same of the substrings that can match segment ``i`` of a line ``delta`` shorter: the edits before a segment and
     those after it bound how far it may have moved, from either end. A line's own segments, which lines of its own
-    length may hold, are left out; a substring that does not fit is null.
+    length may hold, are left out.
 
     Lines of one length probe each other, so one of the two may look for segments that moved to the right alone: with
     up to three edits a line has no segments that moved to either side.
     """
-    n = F.col(size)
-    parts = []
+    places = []
     for delta in range(tau + 1):
-        short = n - delta
         for i in range(tau + 1):
-            start, width = _segment(short, i, tau + 1)
+            start, width = _segment(n - delta, i, tau + 1)
             for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
                 if delta or shift > 0 or shift < 0 and tau > 3:
-                    at = start + shift
-                    parts.append(F.when((at >= 0) & (at + width <= n), F.xxhash64(short, F.lit(i), F.substring(F.col(line), at + 1, width))))
-    return parts
+                    places.append((n - delta, i, start + shift, width))
+    return places
+
+
+def index_keys(line: str, size: str, tau: int) -> list[Column]:
+    """Keys of a line's own segments."""
+    return [F.xxhash64(short, F.lit(i), F.substring(F.col(line), at + 1, width)) for short, i, at, width in _own_places(F.col(size), tau)]
+
+
+def probe_keys(line: str, size: str, tau: int) -> list[Column]:
+    """Keys of a line's other substrings that may be a segment of a near line; one that does not fit is null."""
+    n = F.col(size)
+    fits = lambda at, width: (at >= 0) & (at + width <= n)
+    return [F.when(fits(at, width), F.xxhash64(short, F.lit(i), F.substring(F.col(line), at + 1, width))) for short, i, at, width in _probe_places(n, tau)]
 
 
 def _let(value: Column, use) -> Column:
@@ -208,8 +215,9 @@ def line_id(h: Column) -> Column:
     return h.bitwiseAND(F.lit(-2))
 
 
-#: One line in so many tells which segments are hot. That only decides which way rows take: they are the same either way.
-_LOOK = 8
+#: One line in so many tells which segments are hot, and one in so many which substrings are. That only decides which way
+#: rows take: they are the same either way.
+_LOOK, _LOOK_FAR = 8, 64
 
 
 def met_entries(rows: DataFrame, rules: LineRules) -> DataFrame:
@@ -218,8 +226,12 @@ def met_entries(rows: DataFrame, rules: LineRules) -> DataFrame:
     keys = [c for c in rows.columns if c[0] in "ip" and c[1:].isdigit()]
     own = [c for c in keys if c[0] == "i"]
     taken = rows.where("i0 is not null").select("h", "g", *keys)
-    looked = taken.where(F.pmod("h", F.lit(_LOOK)) == 0).select("h", *own).distinct()
-    hot = looked.select(F.explode(F.array(*own)).alias("key")).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > rules.hot // _LOOK)
+    looked = taken.where(F.pmod("h", F.lit(_LOOK)) == 0).dropDuplicates(["h", "g"])
+    far = F.when(F.pmod("h", F.lit(_LOOK_FAR)) == 0, F.array(*[F.struct(F.col(k).alias("key"), F.lit(0).alias("own")) for k in keys if k not in own]))
+    near = F.array(*[F.struct(F.col(k).alias("key"), F.lit(1).alias("own")) for k in own])
+    seen = looked.select(F.inline(F.concat(near, F.coalesce(far, F.array())))).where("key is not null")
+    counts = seen.groupBy("key").agg(F.sum("own").alias("o"), F.sum(F.lit(1) - F.col("own")).alias("p"))
+    hot = counts.where((F.col("o") > rules.hot // _LOOK) | (F.col("p") > 16 * rules.hot // _LOOK_FAR))
     hot = few(saved(hot.select("key", F.lit(True).alias("hot"))))
     # One row per distinct line; numbers only, so the aggregation combines before the shuffle.
     flat = taken.dropDuplicates(["h", "g"])
@@ -232,17 +244,95 @@ def met_entries(rows: DataFrame, rules: LineRules) -> DataFrame:
     return cold.where("c > 1 and o = 1").select("key", "v").unionByName(table.where("hot").select("key", "v"))
 
 
+def _segments(line: str, size: str, tau: int, group: str | None = None, sizes: str | None = None) -> Column:
+    """All segments and probes of a line as ``(key, miss, at, width)``; ``miss`` is 0 for its own segments. Within a group the
+    key is of it too, and only sizes that its lines have are looked for."""
+    n = F.col(size)
+    salt = [F.col(group)] if group else []
+
+    def entry(miss: int, short: Column, i: int, at: Column, width: Column) -> Column:
+        there = (at >= 0) & (at + width <= n) & (F.array_contains(F.col(sizes), short) if sizes else F.lit(True))
+        key = F.xxhash64(*salt, short, F.lit(i), F.substring(F.col(line), at + 1, width))
+        return F.struct(F.when(there, key).alias("key"), F.lit(miss).alias("miss"), at.alias("at"), width.alias("width"))
+
+    return F.array(*[entry(0, *p) for p in _own_places(n, tau)], *[entry(1, *p) for p in _probe_places(n, tau)])
+
+
+def _without(line: str) -> Column:
+    """A line without ``width`` characters at ``at``. If two lines are within some edits, and these leave alone a segment
+    of one, both without that segment are within as many."""
+    rest = F.char_length(line)
+    return F.concat(F.substring(F.col(line), F.lit(1), F.col("at")), F.substring(F.col(line), F.col("at") + F.col("width") + 1, rest))
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many characters two strings have in common at their beginnings, by halving."""
+    most = F.least(F.char_length(a), F.char_length(b))
+    add = lambda n, k: n + F.when((n + k <= most) & (F.substring(a, n + 1, k) == F.substring(b, n + 1, k)), k).otherwise(0)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), add)
+
+
+def stripped(rows: DataFrame) -> DataFrame:
+    """Rows ``(key, v, miss, line)`` without what all lines of a key begin and end with, as ``(g, v, miss, line, size,
+    sizes)``. It leaves distances as they are. The first and the last line in order tell the beginning; sizes of a key
+    differ by the threshold at most, so ``sizes`` is short."""
+    size, back = F.char_length("line"), F.reverse("line")
+    ends = rows.groupBy("key").agg(
+        F.min("line").alias("a"), F.max("line").alias("b"), F.min(back).alias("y"), F.max(back).alias("z"), F.min(size).alias("least"), F.collect_set(size).alias("sizes")
+    )
+    cut = ends.withColumn("begin", _common(F.col("a"), F.col("b"))).withColumn("end", F.least(_common(F.col("y"), F.col("z")), F.col("least") - F.col("begin")))
+    lean = saved(cut.select("key", "begin", (F.col("begin") + F.col("end")).alias("off"), "sizes"))
+    core = F.substring(F.col("line"), F.col("begin") + 1, size - F.col("off"))
+    return rows.join(few(lean), "key").select(
+        F.col("key").alias("g"), "v", "miss", core.alias("line"), (size - F.col("off")).alias("size"), F.transform("sizes", lambda n: n - F.col("off")).alias("sizes")
+    )
+
+
+def divided(met: DataFrame, texts: DataFrame, rules: LineRules) -> DataFrame:
+    """Entries ``(key, v, miss)``, from :func:`met_entries` and ``(id, line)``: those whose key many share are replaced by
+    entries of what is left of their lines. Bit ``k`` of ``miss`` says that an entry was a probe in round ``k``: of two lines
+    that meet, one was an index entry in each."""
+    tau = rules.threshold
+    entries = met.select("key", "v", (F.lit(1) - F.col("v").bitwiseAND(F.lit(1))).cast("int").alias("miss"))
+    bit, found = 0, []
+    rest = None
+    while bit <= rules.rounds:
+        own = F.min(F.col("miss").bitwiseAND(F.lit(1 << bit))) == 0
+        counts = entries.groupBy("key").agg(F.count("*").alias("c"), own.alias("o")).where("c > 1 and o")
+        counts = saved(counts.select("key", (F.col("c") > rules.hot).alias("hot")))
+        hot = saved(counts.where("hot").select("key"))
+        if bit == rules.rounds or hot.isEmpty():
+            found.append(entries.join(few(counts), "key", "left_semi").select("key", "v", "miss"))
+            break
+        found.append(entries.join(few(saved(counts.where("not hot").select("key"))), "key", "left_semi").select("key", "v", "miss"))
+        if rest is None:
+            ids = saved(entries.join(few(hot), "key", "left_semi").select(line_id(F.col("v")).alias("id")).distinct())
+            lines = texts.select("id", "line", F.char_length("line").alias("size")).join(few(ids), "id", "left_semi")
+            all_ = lines.select(F.col("id").alias("v"), "line", F.inline(_segments("line", "size", tau)))
+            rest = all_.where("key is not null").select("key", "v", "miss", _without("line").alias("line"))
+        deeper = stripped(saved(rest.join(few(hot), "key", "left_semi")))
+        bit += 1
+        told = deeper.select("v", F.col("miss").alias("m"), "line", F.inline(_segments("line", "size", tau, "g", "sizes"))).where("key is not null")
+        rest = saved(told.select("key", "v", F.col("m").bitwiseOR(F.col("miss") * (1 << bit)).alias("miss"), _without("line").alias("line")))
+        entries = rest.select("key", "v", "miss")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def near_pairs(met: DataFrame, sketches: DataFrame, rules: LineRules) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of line numbers, from :func:`met_entries` and ``(id, s)``."""
+    """Candidate pairs ``(a, b)`` of line numbers, from :func:`met_entries` or :func:`divided` and ``(id, s)``."""
     tau = rules.threshold
-    known = met.select("key", F.col("v").bitwiseAND(F.lit(1)).alias("own"), line_id(F.col("v")).alias("id")).join(few(sketches), "id")
+    miss = F.col("miss") if "miss" in met.columns else F.lit(1) - F.col("v").bitwiseAND(F.lit(1))
+    known = met.select("key", miss.alias("miss"), line_id(F.col("v")).alias("id")).join(few(sketches), "id")
     hot = few(saved(met.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > rules.hot).select("key", F.lit(True).alias("hot"))))
     pieces = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(2 * tau))).otherwise(F.array(F.lit(-1)))
-    spread = known.join(hot, "key", "left").select("id", "own", "s", "key", F.explode(pieces).alias("j"))
+    spread = known.join(hot, "key", "left").select("id", "miss", "s", "key", F.explode(pieces).alias("j"))
     dealt = F.when(F.col("j") < 0, F.col("key")).otherwise(F.xxhash64("key", "j", piece(F.get("s", F.lit(0)), F.greatest("j", F.lit(0)), tau)))
-    spread = spread.select(dealt.alias("key"), "id", "own", "s")
-    left, right = (spread.select("key", F.col("id").alias(x), F.col("own").alias(f"o{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
-    near = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("oa") + F.col("ob") > 0) & counts_near(F.col("sa"), F.col("sb"), tau))
+    spread = spread.select(dealt.alias("key"), "id", "miss", "s")
+    left, right = (spread.select("key", F.col("id").alias(x), F.col("miss").alias(f"m{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    near = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ma").bitwiseAND(F.col("mb")) == 0) & counts_near(F.col("sa"), F.col("sb"), tau))
     return near.select("a", "b").distinct()
 
 
@@ -261,7 +351,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Li
     ids = saved(met.select(line_id(F.col("v")).alias("id")).distinct())
     read = occ.where(rules.joined(F.col("size"))).withColumn("id", line_id(F.col("h")))
     texts = saved(read.join(few(ids), "id", "left_semi").groupBy("id", "h", "g", "line").agg(F.min(place).alias("first")))
-    pairs = saved(near_pairs(met, saved(texts.select("id", sketch("line").alias("s")).distinct()), rules))
+    pairs = saved(near_pairs(saved(divided(met, texts, rules)), saved(texts.select("id", sketch("line").alias("s")).distinct()), rules))
     side = lambda s: texts.select(F.col("id").alias(s), F.struct("h", "g", "line", "first").alias(f"{s}x"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where("ax.line <> bx.line")
     near = both.where(within("ax.line", "bx.line", rules.threshold))
