@@ -291,7 +291,8 @@ def stripped(rows: DataFrame) -> DataFrame:
 def divided(met: DataFrame, texts: DataFrame, rules: LineRules) -> DataFrame:
     """Entries ``(key, v, miss)``, from :func:`met_entries` and ``(id, line)``: those whose key many share are replaced by
     entries of what is left of their lines. Bit ``k`` of ``miss`` says that an entry was a probe in round ``k``: of two lines
-    that meet, one was an index entry in each."""
+    that meet, one was an index entry in each. A key is left as it is where that would make over a fifth more comparisons:
+    lines that are all near each other share most segments, however they are cut."""
     tau = rules.threshold
     entries = met.select("key", "v", (F.lit(1) - F.col("v").bitwiseAND(F.lit(1))).cast("int").alias("miss"))
     bit, found = 0, []
@@ -299,12 +300,11 @@ def divided(met: DataFrame, texts: DataFrame, rules: LineRules) -> DataFrame:
     while bit <= rules.rounds:
         own = F.min(F.col("miss").bitwiseAND(F.lit(1 << bit))) == 0
         counts = entries.groupBy("key").agg(F.count("*").alias("c"), own.alias("o")).where("c > 1 and o")
-        counts = saved(counts.select("key", (F.col("c") > rules.hot).alias("hot")))
-        hot = saved(counts.where("hot").select("key"))
+        counts = saved(counts.select("key", "c", (F.col("c") > rules.hot).alias("hot")))
+        hot = saved(counts.where("hot").select("key", "c"))
         if bit == rules.rounds or hot.isEmpty():
-            found.append(entries.join(few(counts), "key", "left_semi").select("key", "v", "miss"))
+            found.append(entries.join(few(counts), "key", "left_semi"))
             break
-        found.append(entries.join(few(saved(counts.where("not hot").select("key"))), "key", "left_semi").select("key", "v", "miss"))
         if rest is None:
             ids = saved(entries.join(few(hot), "key", "left_semi").select(line_id(F.col("v")).alias("id")).distinct())
             lines = texts.select("id", "line", F.char_length("line").alias("size")).join(few(ids), "id", "left_semi")
@@ -312,8 +312,13 @@ def divided(met: DataFrame, texts: DataFrame, rules: LineRules) -> DataFrame:
             rest = all_.where("key is not null").select("key", "v", "miss", _without("line").alias("line"))
         deeper = stripped(saved(rest.join(few(hot), "key", "left_semi")))
         bit += 1
-        told = deeper.select("v", F.col("miss").alias("m"), "line", F.inline(_segments("line", "size", tau, "g", "sizes"))).where("key is not null")
-        rest = saved(told.select("key", "v", F.col("m").bitwiseOR(F.col("miss") * (1 << bit)).alias("miss"), _without("line").alias("line")))
+        told = deeper.select("g", "v", F.col("miss").alias("m"), "line", F.inline(_segments("line", "size", tau, "g", "sizes"))).where("key is not null")
+        parts = saved(told.select("g", "key", "v", F.col("m").bitwiseOR(F.col("miss") * (1 << bit)).alias("miss"), _without("line").alias("line")))
+        own = F.min(F.col("miss").bitwiseAND(F.lit(1 << bit))) == 0
+        work = parts.groupBy("g", "key").agg(F.count("*").alias("n"), own.alias("o")).where("n > 1 and o").groupBy(F.col("g").alias("key")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+        worth = saved(hot.join(work, "key", "left").where("5 * coalesce(work, 0) <= 6 * double(c) * c").select("key"))
+        found.append(entries.join(few(saved(counts.join(few(worth), "key", "left_anti").select("key"))), "key", "left_semi"))
+        rest = saved(parts.join(few(worth.withColumnRenamed("key", "g")), "g", "left_semi").select("key", "v", "miss", "line"))
         entries = rest.select("key", "v", "miss")
     out = found[0]
     for more in found[1:]:
