@@ -30,16 +30,21 @@ def single_version(column: str) -> Column:
 def id_map(df: DataFrame, key: str, title: str, text: str, preview: int = 300) -> DataFrame:
     """VEC-26, VEC-27: dense row numbers in key order.
 
-    Rows are numbered within sorted ranges, and each range starts where those before it end, so no task sees all.
+    Rows are numbered within sorted ranges, and each range starts where those before it end, so no task sees all. Ranges
+    are told from a sample, which each plan draws anew, so they are stored once and both counted and numbered from there.
     """
-    rows = df.select(key, F.col(title).alias("title"), F.substring(text, 1, preview).alias("preview"))
     from pyspark.sql import Window
 
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = rows.repartitionByRange(n, key).withColumn("__p", F.spark_partition_id())
+    from .folders import work_folder
+
+    rows = df.select(key, F.col(title).alias("title"), F.substring(text, 1, preview).alias("preview"))
+    spark, path, order = df.sparkSession, work_folder(df.sparkSession), F.col(key).asc_nulls_last()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    parted = spark.read.parquet(path)
     sizes = parted.groupBy("__p").count()
     starts = sizes.select("__p", (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__s"))  # a row per partition
-    numbered = parted.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1).join(F.broadcast(starts), "__p")
+    numbered = parted.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1).join(F.broadcast(starts), "__p")
     return numbered.withColumn("row", F.col("__n") + F.col("__s")).drop("__p", "__n", "__s")
 
 

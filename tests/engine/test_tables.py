@@ -452,3 +452,12 @@ def test_index_tables(spark, tmp_path):
     rows = ST.id_map(spark.range(50).select(F.col("id").alias("k"), F.lit("t").alias("title"), F.lit("x").alias("text")), "k", "title", "text").collect()
     assert sorted((r.k, r.row) for r in rows) == [(i, i) for i in range(50)]
     assert ST.density_map(spark.createDataFrame([("a", 1.0, None)], "k string, x double, y double"), "k", ["x", "y"]).first().densities == {"x": 1.0, "y": 0.0}
+
+
+def test_row_numbers_hold_where_ranges_are_sampled(spark, tmp_path):
+    from loomspark.sources import tables as ST
+
+    k = F.col("id") * 7919 % 20_000
+    spark.range(20_000).select(k.alias("k"), F.md5(k.cast("string")).alias("title"), F.sha2(k.cast("string"), 256).alias("text")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = ST.id_map(spark.read.parquet(str(tmp_path / "t")), "k", "title", "text").collect()
+    assert sorted((r.k, r.row) for r in rows) == [(i, i) for i in range(20_000)]
