@@ -233,9 +233,12 @@ def truncate(c: str | Column, limit: int, marker: str = "…[截断]") -> Column
 
 def tokens(c: str | Column) -> Column:
     """TXT-30: words in lower case; runs of CJK characters become bigrams."""
-    words = F.regexp_extract_all(F.lower(col(c)), F.lit(r"[\p{IsHan}]+|[\p{L}\p{N}_&&[^\p{IsHan}]]+"), F.lit(0))
+    low = F.lower(col(c))
+    words = F.regexp_extract_all(low, F.lit(r"[\p{IsHan}]+|[\p{L}\p{N}_&&[^\p{IsHan}]]+"), F.lit(0))
     split = lambda w: F.when(w.rlike(r"^\p{IsHan}{2,}$"), F.transform(F.sequence(F.lit(1), F.char_length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w))
-    return F.flatten(F.transform(words, split))
+    # Below U+2E80 there are no Han characters, so one plain pattern finds the same words there.
+    plain = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.when(low.rlike(r"[\x{2e80}-\x{10ffff}]"), F.flatten(F.transform(words, split))).otherwise(plain)
 
 
 def query_terms(c: str | Column, lex: Lexicon = _ZH) -> Column:

@@ -129,10 +129,9 @@ bm AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id OR
 def bm25_index_stats(spark, sf):
     """VEC-18, VEC-19."""
     d = table(spark, sf, "documents")
-    p = B.postings(d, "doc_id", "text")
-    stats = B.corpus_stats(d, "text")
-    by_token = p.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
-    return by_token.groupBy("n_docs", F.round("mean_length", 6).alias("mean_length")).agg(F.count("*").alias("vocabulary"), F.sum("df").alias("postings"), F.round(F.sum(B.idf(F.col("n_docs"), F.col("df"))), 4).alias("idf_sum"))
+    by_token, n_docs, mean = B.frequencies(B.token_lists(d, "doc_id", "text"))
+    rows = by_token.agg(F.count("*").alias("vocabulary"), F.sum("df").alias("postings"), F.round(F.sum(B.idf(F.lit(n_docs), F.col("df"))), 4).alias("idf_sum"))
+    return rows.select(F.lit(n_docs).cast("long").alias("n_docs"), F.round(F.lit(mean).cast("double"), 6).alias("mean_length"), "vocabulary", "postings", "idf_sum")
 
 
 @query(f"WITH {BM} SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM bm WHERE rank <= 10")
