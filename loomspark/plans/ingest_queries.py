@@ -89,12 +89,15 @@ POOL = """pool AS (SELECT l_orderkey AS query_id, l_returnflag AS config, l_part
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS rank FROM lineitem)"""
 
 
-def pool(spark, sf):
+def pool(spark, sf, parts=None):
     """Candidate rows from line items, ranked within their query."""
     from pyspark.sql import Window
 
+    from ..operators import supply as S
+
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    li = table(spark, sf, "lineitem")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_returnflag")
+    li = S.spread(li, parts, "l_orderkey")
     return li.select(F.col("l_orderkey").alias("query_id"), F.col("l_returnflag").alias("config"), F.col("l_partkey").alias("novel_id"), F.col("l_extendedprice").alias("score"), F.row_number().over(w).cast("long").alias("rank"))
 
 
