@@ -329,10 +329,15 @@ def bare(c: str | Column, marks: str = QUOTE_MARKS) -> Column:
 
 def quote_supported(quote: str | Column, source: str | Column, window: int = 6, marks: str = QUOTE_MARKS) -> Column:
     """TXT-43: a quote stands in the source; from 8 characters on, any window of it does; under 4, never."""
-    q, s = bare(quote, marks), bare(source, marks)
-    n = F.char_length(q)
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: F.substring(q, i, F.lit(window)))
-    return F.when(n < 4, False).when(F.contains(s, q), True).when(n >= 8, F.exists(pieces, lambda p: F.contains(s, p))).otherwise(False)
+
+    def told(q: Column, s: Column) -> Column:
+        n = F.char_length(q)
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: F.substring(q, i, F.lit(window)))
+        return F.when(n < 4, False).when(F.contains(s, q), True).when(n >= 8, F.exists(pieces, lambda p: F.contains(s, p))).otherwise(False)
+
+    # Both are bound once; inside the lambda a source would be made bare again for each window.
+    both = F.array(F.struct(bare(quote, marks).alias("q"), bare(source, marks).alias("s")))
+    return F.transform(both, lambda x: told(x["q"], x["s"]))[0]
 
 
 def numeral(c: str | Column) -> Column:
