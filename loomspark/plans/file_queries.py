@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import supply as S
 from ..sources import files as R
 from ..sources import folders, sinks
 from .agreement_queries import _LABELS, judged, sheet
 from .base import query, table
-from .supply_queries import P, rows
+from .supply_queries import P, dealt, rows
 
 
 @query("""WITH f AS (SELECT doc_id // 16 AS shelf, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS t FROM documents GROUP BY 1)
@@ -28,8 +29,9 @@ def file_inventory(spark, sf):
 @query(f"WITH {P} SELECT query_id, config, rank, novel_id, title, kind, task_id, CASE WHEN novel_id % 2 = 0 THEN title END AS note FROM rows")
 def pool_files(spark, sf):
     """SRC-24 to SRC-26: the queries and the rows of a pool as two JSON sinks, read back and joined."""
-    path = folders.work_folder(spark)
-    r = rows(spark, sf)
+    path, kept = folders.work_folder(spark), folders.work_folder(spark)
+    rows(spark, sf).drop("score").write.parquet(kept)  # both sinks are made of it
+    r = spark.read.parquet(kept)
     hits = r.select("query_id", "config", "rank", "novel_id", "title", F.when(F.col("novel_id") % 2 == 0, F.col("title")).alias("note"))
     sinks.write_pool(hits, r.select("query_id", "kind", "task_id").distinct(), path)
     back = R.read_jsonl(spark, f"{path}/pool.jsonl", "query_id long, config string, rank long, novel_id long, title string, note string", required=("query_id", "novel_id"))
@@ -55,6 +57,7 @@ def filled_sheet_file(spark, sf):
     one = G.one_per(judged(spark, sf), ["query_id", "novel_id"], ["config", "rank"]).where("judge_relevance_label is not null")
     labels = one.select("query_id", "novel_id", F.col("judge_relevance_label").alias("relevance_label"), F.col("judge_constraint_violation").alias("constraint_violation"), F.concat(F.lit('by judge, "'), F.col("judge_relevance_label"), F.lit('"')).alias("notes"))
     path = folders.work_folder(spark)
+    labels = S.spread(labels, dealt(spark, sf), "query_id", "novel_id")
     filled = sinks.write_filled_sheet(sheet(spark, sf), labels, path)
     back = R.manual_judgements(spark, path)
     return back.select(*[F.col(c).cast("long").alias(c) for c in ("query_id", "novel_id")], "relevance_label", "constraint_violation", "notes", F.lit(filled).cast("long").alias("filled"))
