@@ -92,3 +92,16 @@ def test_point_lookup(spark, tmp_path):
     assert folders.lookup(spark, path, "id", [None, 9999], buckets=16).collect() == []
     many = folders.lookup_many(spark, path, spark.createDataFrame([(3,), (None,), (3,), (499,)], "id int"), "id", buckets=16)
     assert sorted(x.text for x in many.collect()) == ["text 3", "text 499"]
+
+
+def test_blocks_of_postings_move_and_not_postings_of_queries(spark, tmp_path, monkeypatch):
+    # Small blocks of queries and of counted tokens, and a key with two rows.
+    monkeypatch.setattr(lexical_index, "QUERIES", 7)
+    monkeypatch.setattr(lexical_index, "TOKENS", 50)
+    docs, queries = corpus(80)
+    d, q = spark.createDataFrame([*docs, (5, "w0 w1 the the")], "id int, text string"), spark.createDataFrame(queries, "q int, text string")
+    index = lexical_index.save(d, str(tmp_path / "i"), "id", "text", buckets=4, block=4, shard_docs=30)
+    found = lexical_index.search(index, q, 3, "q", "text")
+    plan = found._jdf.queryExecution().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") and "explode(postings" not in plan
+    assert rows(found) == rows(lexical.search(q, d, 3, "q", "text", "id", "text"))
