@@ -8,7 +8,7 @@ from ..operators import supply as S
 from ..sources import files as R
 from ..sources import folders, sinks
 from .agreement_queries import _LABELS, judged, sheet
-from .base import query, table
+from .base import TASK_ROWS, query, table
 from .supply_queries import P, dealt, rows
 
 
@@ -16,14 +16,17 @@ from .supply_queries import P, dealt, rows
 SELECT shelf::BIGINT AS shelf, 'ok' AS read_status, 'utf-8' AS detected_encoding, length(t) AS char_count, octet_length(encode(t))::BIGINT AS file_size_bytes, 0::BIGINT AS decode_replacement_chars, sha256(t) AS text_sha256 FROM f""")
 def file_inventory(spark, sf):
     """SRC-01, SRC-02, SRC-07 to SRC-09, SRC-12, SRC-13: sixteen documents a text file; found, decoded, listed, and their texts read."""
-    path = folders.work_folder(spark)
+    path, kept = folders.work_folder(spark), folders.work_folder(spark)
     docs = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 16).alias("shelf"), "doc_id", "text")
     docs.repartition("shelf").sortWithinPartitions("shelf", "doc_id").select("shelf", "text").write.partitionBy("shelf").text(path)
     found = R.discover(spark, path)
-    listed = R.inventory(found)
-    seen = R.texts(listed, found).select("novel_id", F.sha2("text", 256).alias("text_sha256"))
+    told = ["read_status", "detected_encoding", "char_count", "file_size_bytes", "decode_replacement_chars"]
+    R.inventory(found).select("novel_id", "relative_path", "absolute_path", *told).write.parquet(kept)
+    listed = spark.read.parquet(kept)
+    few = F.broadcast(listed) if listed.count() <= TASK_ROWS else listed  # then contents stay where they are read
+    seen = R.texts(few, found).select("novel_id", F.sha2("text", 256).alias("text_sha256"))
     shelf = F.regexp_extract("relative_path", r"shelf=(\d+)", 1).cast("long")
-    return listed.join(seen, "novel_id").select(shelf.alias("shelf"), "read_status", "detected_encoding", "char_count", "file_size_bytes", "decode_replacement_chars", "text_sha256")
+    return listed.join(seen, "novel_id").select(shelf.alias("shelf"), *told, "text_sha256")
 
 
 @query(f"WITH {P} SELECT query_id, config, rank, novel_id, title, kind, task_id, CASE WHEN novel_id % 2 = 0 THEN title END AS note FROM rows")

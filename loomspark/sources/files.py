@@ -15,6 +15,8 @@ from ..functions.lexicon import Lexicon
 
 #: Files of an Arrow batch that are decoded at one time; books are long.
 SLICE = 8
+#: Tasks of a listing, at most: else each folder up to the ten thousandth has a task of its own.
+LISTING = 256
 CODECS = ("utf-8", "utf-8-sig", "gb18030", "gbk", "big5")
 
 
@@ -25,7 +27,13 @@ def is_junk(name: Column) -> Column:
 
 def discover(spark: SparkSession, folder: str, pattern: str = "*.txt", limit: int | None = None) -> DataFrame:
     """SRC-01, SRC-09: ``(path, relative_path, file_name, size, content)`` of all text files under a folder."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    given = spark.conf.get(tasks)
+    spark.conf.set(tasks, str(min(int(given), LISTING)))
+    try:  # files are listed here, and not when rows are asked for
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    finally:
+        spark.conf.set(tasks, given)
     name = F.element_at(F.split("path", "/"), -1)
     root = folder.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
     at = F.instr("path", root)
